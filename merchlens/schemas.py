@@ -43,6 +43,7 @@ EXPORT_META = T.StructType(
         T.StructField("probs_dtype", T.StringType()),
         T.StructField("created_at", T.StringType()),
         T.StructField("extra", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("data_path", T.StringType()),
     ]
 )
 

@@ -8,12 +8,15 @@ from pyspark.sql import types as T
 
 from ..schemas import LABEL, PRODUCT, require_columns
 
-_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+_CSV = {
+    "header": True, "quote": '"', "escape": '"',
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 
 
 def read_product_csv(spark: SparkSession, path: str, schema: T.StructType = PRODUCT) -> DataFrame:
     """Products from quoted CSV whose first column is the row id; no inference pass."""
-    return spark.read.schema(schema).options(**_CSV).csv(path)
+    return spark.read.schema(schema).options(**_CSV, multiLine=True).csv(path)
 
 
 def read_label_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -21,7 +24,7 @@ def read_label_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_product_csv(df: DataFrame, path: str) -> None:
-    df.write.options(header=True, quote='"', escape='"', quoteAll=True, emptyValue="").csv(path)
+    df.write.options(**_CSV).csv(path)
 
 
 def image_path(imageid: Column, productid: Column, root: str) -> Column:

@@ -1,12 +1,14 @@
 """Validated export and verified load of prediction sets.
 
-Layout: ``<root>/data/model=<m>/split=<s>/*.parquet`` and one metadata row under
-``<root>/meta/model=<m>/split=<s>``. Metadata is written after the data, so a set
-without metadata is an unfinished export.
+Layout: ``<root>/data/model=<m>/split=<s>/run=<id>/*.parquet`` and one metadata row
+under ``<root>/meta/model=<m>/split=<s>``. Each export writes a new run folder and
+the metadata row that points to it comes last, so a failed or repeated export never
+leaves metadata that describes other data.
 """
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -40,8 +42,8 @@ def export_predictions(
         F.col("probs").cast("array<float>"),
         *([F.col("y_true").cast("long")] if has_y else []),
     )
-    target = f"{root}/data/model={model}/split={split}"
-    data.write.mode("overwrite").parquet(target)
+    target = f"{root}/data/model={model}/split={split}/run={uuid.uuid4().hex[:12]}"
+    data.write.parquet(target)
     # The checks read what was written, so a recomputed input cannot differ from the files.
     # Ids are grouped first: a distinct count without a group would end in one task.
     written = df.sparkSession.read.parquet(target)
@@ -63,7 +65,7 @@ def export_predictions(
     n = int(checks["rows"])
     meta = (
         model, split, signature, fp, k, n, has_y, [n, k], "float32",
-        datetime.now(timezone.utc).isoformat(), {a: str(b) for a, b in (extra or {}).items()},
+        datetime.now(timezone.utc).isoformat(), {a: str(b) for a, b in (extra or {}).items()}, target,
     )
     row = df.sparkSession.createDataFrame([meta], EXPORT_META).coalesce(1)
     row.write.mode("overwrite").json(f"{root}/meta/model={model}/split={split}")
@@ -97,7 +99,7 @@ def load_predictions(
     if require_y_true and not meta["has_y_true"]:
         raise AssertionError("y_true required but not exported")
     schema = "idx long, probs array<float>" + (", y_true long" if meta["has_y_true"] else "")
-    path = f"{root}/data/model={model}/split={split}"
+    path = meta["data_path"]
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as missing:
