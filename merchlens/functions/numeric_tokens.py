@@ -7,13 +7,15 @@ Project per pattern and no expression is repeated.
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dims import BUCKETS, UNIT_FACTORS, unit_spellings
+from .ngrams import let
 from .text_merge import blank
 
 TITLE_TOKEN, DESCRIPTION_TOKEN = "[TITRE]", "[DESC]"
@@ -81,23 +83,21 @@ def measures_of(strategy: str | list[str]) -> list[Measure]:
     return [m for m in MEASURES if m.name in names]
 
 
-def _map_literal(entries: dict[str, object]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+def _map_literal(entries: dict[str, object], kind: str) -> Column:
+    """A constant map; folded to a literal before execution."""
+    return F.from_json(F.lit(json.dumps(entries)), f"map<string,{kind}>")
 
 
 def unit_symbol(unit: Column) -> Column:
     """Lower-cased unit with written-out spellings mapped to their symbol."""
-    low = F.lower(unit)
-    return F.coalesce(F.try_element_at(_map_literal(unit_spellings()), low), low)
+    return let(
+        F.lower(unit), lambda u: F.coalesce(F.try_element_at(_map_literal(unit_spellings(), "string"), u), u)
+    )
 
 
 def unit_factor(symbol: Column) -> Column:
     """Factor to the base unit; units without one are left as they are."""
-    return F.coalesce(F.try_element_at(_map_literal(UNIT_FACTORS), symbol), F.lit(1.0))
-
-
-def to_number(text: Column) -> Column:
-    return F.translate(text, ",", ".").try_cast("double")
+    return F.coalesce(F.try_element_at(_map_literal(UNIT_FACTORS, "double"), symbol), F.lit(1.0))
 
 
 def bucket_label(value: Column, measure: str) -> Column:
@@ -105,77 +105,127 @@ def bucket_label(value: Column, measure: str) -> Column:
     if measure not in BUCKETS:
         return F.lit(measure)
     bounds, labels = BUCKETS[measure]
-    uppers = bounds[1:] + [float("inf")]
-    out = None
-    for lo, hi, label in zip(bounds, uppers, labels):
-        inside = (value >= lo) & (value < hi)
-        out = F.when(inside, label) if out is None else out.when(inside, label)
-    return out.otherwise(F.lit(measure + "inconnu"))
 
+    def pick(v: Column) -> Column:
+        out = F.when((v < bounds[0]) | (v >= float("inf")) | v.isNull(), F.lit(measure + "inconnu"))
+        for upper, label in zip(bounds[1:], labels):
+            out = out.when(v < upper, label)
+        return out.otherwise(labels[-1])
 
-def token(label: Column) -> Column:
-    return F.concat(F.lit("["), F.translate(label, " ", "_"), F.lit("]"))
+    return let(value, pick)
 
 
-def _hits(text: Column, m: Measure) -> Column:
-    """Array of structs (value texts '0'.., unit as last field), one per match."""
-    groups = [*m.values] + ([m.unit] if m.unit is not None else [])
-    if not groups:
-        groups = [0]
-    found = [F.regexp_extract_all(text, F.lit(m.regex), F.lit(g)) for g in groups]
-    return F.arrays_zip(*found)
+# Unicode noncharacters that mark a match and its groups while a text is rewritten.
+MARK, GROUP, ESCAPE = "\uFDD0", "\uFDD1", "\uFDD2"
+_ESCAPES = [(ESCAPE, ESCAPE + "\uFDD5"), (MARK, ESCAPE + "\uFDD3"), (GROUP, ESCAPE + "\uFDD4")]
 
 
-def _base_values(hit: Column, m: Measure) -> tuple[list[Column], Column]:
-    """Numbers of one match in base units (null where an optional group is empty) and the unit."""
-    if m.unit is None or m.name == "numero":
-        unit, factor = F.lit(None).cast("string"), F.lit(1.0)
-    else:
-        unit = unit_symbol(hit.getField(str(len(m.values))))
-        factor = unit_factor(unit)
-    return [to_number(hit.getField(str(i))) * factor for i in range(len(m.values))], unit
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _has_unit(m: Measure) -> bool:
+    # the marker word of a numbering ("n°") has no unit table
+    return m.unit is not None and m.name != "numero"
+
+
+# The steps below are SQL text: one parse per pattern instead of hundreds of calls from
+# Python. In each of them ``g`` is the bound array of captured groups of one match.
+
+
+def _pieces(text: str, m: Measure) -> str:
+    """Text cut at the matches of one pattern in a single pass.
+
+    Even elements are plain text, odd ones hold the captured groups of a match. An
+    optional group that did not take part is empty.
+    """
+    groups = [*m.values] + ([m.unit] if _has_unit(m) else [])
+    marked = MARK + GROUP.join(f"${g}" for g in groups) + MARK
+    return f"split(regexp_replace({text}, {_quoted(m.regex)}, '{marked}'), '{MARK}', -1)"
+
+
+def _numbers(m: Measure) -> list[str]:
+    return [f"try_cast(translate(g[{i}], ',', '.') AS DOUBLE)" for i in range(len(m.values))]
+
+
+def _base_numbers(m: Measure) -> list[str]:
+    """Numbers of one match in base units; null where an optional group is empty."""
+    if not _has_unit(m):
+        return _numbers(m)
+    factors = {s: UNIT_FACTORS[u] for s, u in unit_spellings().items()} | UNIT_FACTORS
+    known = {s: f for s, f in factors.items() if re.search(m.core + r"\Z", "1 x 1 x 1 " + s)}
+    if not known:
+        return _numbers(m)
+    table = f"from_json({_quoted(json.dumps(known))}, 'map<string,double>')"
+    factor = f"coalesce(try_element_at({table}, lower(g[{len(m.values)}])), 1D)"
+    return [f"{v} * {factor}" for v in _numbers(m)]
 
 
-def _measured(hit: Column, m: Measure) -> Column:
-    """The (measure, value, unit, base_value, label) rows of one match."""
-    values, unit = _base_values(hit, m)
+def _label(value: str, m: Measure, fmt: str = "{}") -> str:
+    """Label of the half-open bucket that holds the value, bound once as ``v``."""
+    bounds, labels = BUCKETS[m.name]
+    labels = [_quoted(fmt.format(x)) for x in labels]
+    unknown = _quoted(fmt.format(m.name + "inconnu"))
+    cases = " ".join(f"WHEN v < {upper}D THEN {x}" for upper, x in zip(bounds[1:], labels))
+    outside = f"v IS NULL OR v < {bounds[0]}D OR v >= double('infinity')"
+    return f"transform(array({value}), v -> CASE WHEN {outside} THEN {unknown} {cases} ELSE {labels[-1]} END)[0]"
+
+
+def _token(value: str, m: Measure) -> str:
+    return f"translate({_label(value, m, '[{}]')}, ' ', '_')"
+
+
+def _replacement(m: Measure) -> str:
+    if m.name not in BUCKETS:
+        return _quoted(f"[{m.name}]")
+    values = _base_numbers(m)
+    if not m.is_range:
+        return _token(" * ".join(values), m)
+    low, high = (_token(v, m) for v in values)
+    return f"CASE WHEN g[0] <> '' THEN concat('entre ', {low}, ' et ', {high}) ELSE {high} END"
+
+
+def _measured(m: Measure) -> str:
+    """Array of the (measure, value, unit, base_value, label) rows of one match."""
+    raw, base = _numbers(m), _base_numbers(m)
     if m.name not in BUCKETS:
-        raw = to_number(hit.getField("0"))
-        rows = [(raw, raw)]
+        rows = [(raw[0], raw[0])]
     elif m.is_range:
-        rows = [(to_number(hit.getField(str(i))), v) for i, v in enumerate(values)]
+        rows = list(zip(raw, base))
     else:
-        raws = [to_number(hit.getField(str(i))) for i in range(len(values))]
-        rows = [(reduce(lambda a, b: a * b, raws), reduce(lambda a, b: a * b, values))]
-    structs = [
-        F.struct(
-            F.lit(m.name).alias("measure"),
-            raw.alias("value"),
-            unit.alias("unit"),
-            base.alias("base_value"),
-            bucket_label(base, m.name).alias("label"),
-        )
-        for raw, base in rows
+        rows = [(" * ".join(raw), " * ".join(base))]
+    unit = "CAST(NULL AS STRING)"
+    if _has_unit(m):
+        symbols = f"from_json({_quoted(json.dumps(unit_spellings()))}, 'map<string,string>')"
+        low = f"lower(g[{len(m.values)}])"
+        unit = f"coalesce(try_element_at({symbols}, {low}), {low})"
+    cells = [
+        f"named_struct('measure', {_quoted(m.name)}, 'value', {value}, 'unit', {unit}, 'base_value', {number}, "
+        f"'label', {_label(number, m) if m.name in BUCKETS else _quoted(m.name)})"
+        for value, number in rows
     ]
-    return F.array(*structs)
+    return f"array({', '.join(cells)})"
 
 
-def _replacement(hit: Column, m: Measure) -> Column:
-    if m.name not in BUCKETS:
-        return F.lit(f"[{m.name}]")
-    values, _ = _base_values(hit, m)
-    if not m.is_range:
-        return token(bucket_label(reduce(lambda a, b: a * b, values), m.name))
-    low, high = (token(bucket_label(v, m.name)) for v in values)
-    has_low = hit.getField("0") != ""
-    return F.when(has_low, F.concat(F.lit("entre "), low, F.lit(" et "), high)).otherwise(high)
+def _per_match(piece: str, body: str) -> str:
+    return f"transform(array(split({piece}, '{GROUP}', -1)), g -> {body})[0]"
+
+
+def _woven(pieces: str, m: Measure) -> str:
+    token = _per_match("p", _replacement(m))
+    return f"array_join(transform({pieces}, (p, i) -> CASE WHEN i % 2 = 0 THEN p ELSE {token} END), '')"
+
+
+def _escaped(text: Column) -> Column:
+    for mark, escape in _ESCAPES:
+        text = F.replace(text, F.lit(mark), F.lit(escape))
+    return text
 
 
-def _rewritten(text: Column, m: Measure) -> Column:
-    pieces = F.split(text, m.regex, -1)
-    tokens = F.transform(_hits(text, m), lambda h: _replacement(h, m))
-    woven = F.zip_with(pieces, tokens, lambda p, t: F.array(p, F.coalesce(t, F.lit(""))))
-    return F.when(text.rlike(m.regex), F.array_join(F.flatten(woven), "")).otherwise(text)
+def _unescaped(text: Column) -> Column:
+    for mark, escape in reversed(_ESCAPES):
+        text = F.replace(text, F.lit(escape), F.lit(mark))
+    return text
 
 
 def plain_powers(text: Column) -> Column:
@@ -184,10 +234,10 @@ def plain_powers(text: Column) -> Column:
 
 def replace_measures(df: DataFrame, columns: list[str], strategy: str | list[str] = "light") -> DataFrame:
     """Replace every measurement in the given text columns by its token; nulls become ''."""
-    df = df.withColumns({c: plain_powers(blank(F.col(c))) for c in columns})
+    df = df.withColumns({c: _escaped(plain_powers(blank(F.col(c)))) for c in columns})
     for m in measures_of(strategy):
-        df = df.withColumns({c: _rewritten(F.col(c), m) for c in columns})
-    return df
+        df = df.withColumns({c: F.expr(_woven(_pieces(f"`{c}`", m), m)) for c in columns})
+    return df.withColumns({c: _unescaped(F.col(c)) for c in columns})
 
 
 def merge_numeric_text(
@@ -211,17 +261,16 @@ def extract_measures(
 ) -> DataFrame:
     """One row per measured value: ``keep`` columns + measure, value, unit, base_value, label."""
     measures = measures_of(strategy)
-    df = df.select(*keep, plain_powers(blank(F.col(text))).alias("_text"))
+    df = df.select(*keep, _escaped(plain_powers(blank(F.col(text)))).alias("_text"))
     found = []
     for i, m in enumerate(measures):
         name = f"_found{i}"
         found.append(name)
-        rows = F.flatten(F.transform(_hits(F.col("_text"), m), lambda h: _measured(h, m)))
-        df = df.withColumns(
-            {name: F.when(F.col("_text").rlike(m.regex), rows), "_text": _rewritten(F.col("_text"), m)}
-        )
-    packed = F.flatten(F.filter(F.array(*[F.col(n) for n in found]), lambda a: a.isNotNull()))
-    rows = df.select(*keep, F.inline(packed))
+        df = df.withColumn("_pieces", F.expr(_pieces("_text", m)))
+        hits = "filter(_pieces, (p, i) -> i % 2 = 1)"
+        rows = f"flatten(transform({hits}, h -> {_per_match('h', _measured(m))}))"
+        df = df.withColumns({name: F.expr(rows), "_text": F.expr(_woven("_pieces", m))})
+    rows = df.select(*keep, F.inline(F.concat(*[F.col(n) for n in found])))
     return rows.filter(F.col("value").isNotNull())
 
 
