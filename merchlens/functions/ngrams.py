@@ -19,29 +19,32 @@ def word_tokens(c: Column, lowercase: bool = False) -> Column:
     return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
 
 
-def _grams(units: Column, n: int, sep: str) -> Column:
+def _join_grams(words: Column, n: int) -> Column:
+    """n-grams of an array: each (n-1)-gram is extended by the word after it."""
     if n == 1:
-        return units
-    starts = F.size(units) - F.lit(n - 1)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(starts, F.lit(1))),
-        lambda i: F.array_join(F.slice(units, i, n), sep),
+        return words
+    count = F.greatest(F.size(words) - F.lit(n - 1), F.lit(0))
+    return F.zip_with(
+        F.slice(_join_grams(words, n - 1), F.lit(1), count),
+        F.slice(words, F.lit(n), count),
+        lambda gram, word: F.concat(gram, F.lit(" "), word),
     )
-    return F.when(starts >= 1, grams).otherwise(F.array().cast("array<string>"))
-
-
-def _range_grams(units: Column, lo: int, hi: int, sep: str) -> Column:
-    if lo == hi == 1:
-        return units
-    return let(units, lambda u: F.concat(*[_grams(u, n, sep) for n in range(lo, hi + 1)]))
 
 
 def word_ngrams(c: Column, lo: int = 1, hi: int = 2, lowercase: bool = False) -> Column:
-    return _range_grams(word_tokens(c, lowercase), lo, hi, " ")
+    tokens = word_tokens(c, lowercase)
+    if lo == hi == 1:
+        return tokens
+    return let(tokens, lambda w: F.concat(*[_join_grams(w, n) for n in range(lo, hi + 1)]))
 
 
 def char_ngrams(c: Column, lo: int = 3, hi: int = 5, lowercase: bool = False) -> Column:
-    """n-grams over raw characters, blanks included; runs of white space count as one blank."""
+    """n-grams over raw characters, blanks included; runs of white space count as one blank.
+
+    The pattern looks ahead over n characters and then moves on by one, so a single
+    regex pass yields all overlapping n-grams of one length.
+    """
     c = F.lower(c) if lowercase else c
-    chars = F.split(F.regexp_replace(c, r"(?U)\s\s+", " "), "")
-    return _range_grams(F.filter(chars, lambda x: x != ""), lo, hi, "")
+    c = F.regexp_replace(c, r"(?U)\s\s+", " ")
+    windows = [F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}})).")) for n in range(lo, hi + 1)]
+    return windows[0] if lo == hi else F.concat(*windows)

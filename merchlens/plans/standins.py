@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from ..dims import CANONICAL_CLASSES
 from ..functions.proba import argmax, softmax
+from ..session import use_all_cores
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """A test table. Text and vector tables feed row-wise work, so every core gets a share."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    if columns:
+        df = df.select(*columns)
+    return use_all_cores(df) if name in ("documents", "pages", "part", "embeddings") else df
 
 
 # --- products: first line of a document is the title, the rest the description ---------------

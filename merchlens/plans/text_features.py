@@ -30,6 +30,7 @@ from ..functions.text_stats import (
 )
 from ..operators.splits import stratified_flag
 from ..operators.summaries import describe_features, feature_summary
+from ..session import persist_to_table
 from . import sqltext as S
 from .registry import query
 from .standins import MEASURE_TEXTS, PRODUCTS, measure_texts, products, table
@@ -86,7 +87,8 @@ _DESCRIBE = " UNION ALL ".join(
 
 @query("feature_description", f"WITH {PRODUCTS}, {FEATURES} {_DESCRIBE}")
 def feature_description(spark: SparkSession, sf: str) -> DataFrame:
-    rows = extract_text_features(products(spark, sf), COLUMNS, ["idx"])
+    # three passes read the features, the texts are read once
+    rows = persist_to_table(extract_text_features(products(spark, sf), COLUMNS, ["idx"]), "text-features")
     out = describe_features(rows, feature_names(COLUMNS))
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c not in ("feature", "count")})
 

@@ -49,6 +49,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), "merchlens", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def use_all_cores(df):
+    """Spread a scan that has fewer partitions than the session has cores.
+
+    Large inputs already split into more partitions and are returned unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def persist_to_table(df, name: str):
     """Cut the lineage by writing to the shared folder and reading back.
 
