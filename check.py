@@ -68,10 +68,12 @@ def compare(name, spark, con, sf):
 def main():
     parser = argparse.ArgumentParser()
     parser.add_argument("names", nargs="*")
+    parser.add_argument("--module", help="only queries of one plan module")
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
     args = parser.parse_args()
     registry.load_all()
-    names = [n for n in registry.QUERIES if not args.names or any(fnmatch.fnmatch(n, p) for p in args.names)]
+    names = [n for n, q in registry.QUERIES.items() if not args.module or q.__module__.endswith("." + args.module)]
+    names = [n for n in names if not args.names or any(fnmatch.fnmatch(n, p) for p in args.names)]
     spark = build_session("check", 8)
     con = duckdb.connect()
     for t in TABLES:
