@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import local_rows
+
 # --- Fixed values: category code, full name, short name, group ---------------------------
 CATEGORIES: list[tuple[int, str, str, str]] = [
     (10, "Livres techniques, éducatifs, artistiques ou spirituels", "Livres techniques", "Livres & Médias"),
@@ -213,16 +215,12 @@ VECTORIZER_PRESETS: dict[str, dict] = {
 
 
 def category_dim(spark: SparkSession) -> DataFrame:
-    return F.broadcast(
-        spark.createDataFrame(
-            CATEGORIES, "code int, name string, short_name string, group_name string"
-        ).coalesce(1)
-    )
+    return F.broadcast(local_rows(spark, CATEGORIES, "code int, name string, short_name string, group_name string"))
 
 
 def class_dim(spark: SparkSession, classes: list[int] | None = None) -> DataFrame:
     rows = list(enumerate(classes or CANONICAL_CLASSES))
-    return F.broadcast(spark.createDataFrame(rows, "class_idx int, code int").coalesce(1))
+    return F.broadcast(local_rows(spark, rows, "class_idx int, code int"))
 
 
 def bucket_rows() -> list[tuple[str, float, float, str]]:
@@ -234,6 +232,4 @@ def bucket_rows() -> list[tuple[str, float, float, str]]:
 
 
 def bucket_dim(spark: SparkSession) -> DataFrame:
-    return F.broadcast(
-        spark.createDataFrame(bucket_rows(), "measure string, lo double, hi double, label string").coalesce(1)
-    )
+    return F.broadcast(local_rows(spark, bucket_rows(), "measure string, lo double, hi double, label string"))

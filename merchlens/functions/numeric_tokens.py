@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dims import BUCKETS, UNIT_FACTORS, unit_spellings
+from ..session import local_rows
 from .ngrams import let
 from .text_merge import blank
 
@@ -277,7 +278,7 @@ def extract_measures(
 def token_vocabulary(spark: SparkSession, strategy: str | list[str] = "light") -> DataFrame:
     """Every token a strategy can emit, with the two column markers."""
     rows = [(TITLE_TOKEN,), (DESCRIPTION_TOKEN,)] + [(t,) for t in strategy_tokens(strategy)]
-    return spark.createDataFrame(rows, "token string").distinct()
+    return local_rows(spark, rows, "token string").distinct()
 
 
 def strategy_tokens(strategy: str | list[str]) -> list[str]:

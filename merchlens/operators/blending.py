@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.proba import argmax, at, negative_log_likelihood, normalize, ranked, rescale, weighted_sum
+from ..session import local_rows
 from .metrics import class_scores, score_summary
 
 
@@ -106,7 +107,7 @@ def blend_sweep(
     summary = score_summary(class_scores(counts, by), by).select("configuration", "f1_weighted")
     loss = counts.groupBy("configuration").agg((F.sum("nll") / F.sum("n")).alias("log_loss"))
     names = ", ".join(f"w_{m} double" for m in models)
-    weights = df.sparkSession.createDataFrame(weight_rows, f"configuration string, {names}")
+    weights = local_rows(df.sparkSession, weight_rows, f"configuration string, {names}")
     return F.broadcast(weights).join(summary, "configuration").join(loss, "configuration")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_text
+from ..session import local_rows
 from .classifiers import Columns, fit_evaluate_time, fit_model
 from .scaling import PopulationScaler
 from .vectorize import FeatureUnion, merged_union, split_union
@@ -98,10 +99,10 @@ GRID_SCHEMA = (
 )
 
 
-def _result_table(spark: SparkSession, records: list[dict]) -> DataFrame:
+def result_table(spark: SparkSession, records: list[dict]) -> DataFrame:
     names = [part.split()[0] for part in GRID_SCHEMA.split(", ")]
     rows = [tuple(r.get(n) for n in names) for r in records]
-    return spark.createDataFrame(rows, GRID_SCHEMA).orderBy(F.desc("f1_score"))
+    return local_rows(spark, rows, GRID_SCHEMA).orderBy(F.desc("f1_score"))
 
 
 def grid_search(
@@ -113,7 +114,7 @@ def grid_search(
         run_vectorizer_experiment(train, val, max_features=m, ngram_range=n, **params)
         for m, n in product(max_features_list, ngram_ranges)
     ]
-    return _result_table(train.sparkSession, records)
+    return result_table(train.sparkSession, records)
 
 
 def penalty_search(train: DataFrame, val: DataFrame, union: FeatureUnion, C_values, model: str = "svm", y: str = "y", **params) -> DataFrame:
@@ -126,7 +127,7 @@ def penalty_search(train: DataFrame, val: DataFrame, union: FeatureUnion, C_valu
             lambda rows, C=C: fit_model(model, rows, Columns(label=y), C=C, **params), lambda m, rows: m.transform(rows), a, b, y
         )
         records.append((float(C), r["f1_train"], r["f1_val"], r["train_time_s"]))
-    return train.sparkSession.createDataFrame(records, "C double, f1_train double, f1_val double, train_time_s double")
+    return local_rows(train.sparkSession, records, "C double, f1_train double, f1_val double, train_time_s double")
 
 
 def compare_strategies(
@@ -150,7 +151,7 @@ def compare_strategies(
                 max_features=max_features, ngram_range=ngram_range, model=model, y=y, **params,
             )
         records.append({**record, "strategy": name})
-    return _result_table(train.sparkSession, records)
+    return result_table(train.sparkSession, records)
 
 
 def run_manual_features(train: DataFrame, val: DataFrame, columns: list[str], model: str, y: str = "y", **params) -> dict:
@@ -191,7 +192,7 @@ def title_weight_sweep(
                 "train_time": r["train_time_s"], "predict_time": r["pred_time_s"],
             }
         )
-    return _result_table(train.sparkSession, records)
+    return result_table(train.sparkSession, records)
 
 
 def cleaning_ablation(
@@ -205,7 +206,7 @@ def cleaning_ablation(
         union = merged_union("_clean", max_features=max_features, ngram_range=ngram_range)
         r = run_union(cleaned.filter(is_train), cleaned.filter(~is_train), union, "logreg", y, C=C, max_iter=max_iter)
         records.append((name, group, float(r["f1_val"]), float(r["accuracy"])))
-    return with_baseline_delta(df.sparkSession.createDataFrame(records, RESULT_SCHEMA))
+    return with_baseline_delta(local_rows(df.sparkSession, records, RESULT_SCHEMA))
 
 
 def with_baseline_delta(results: DataFrame, baseline: str = BASELINE) -> DataFrame:

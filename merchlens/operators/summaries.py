@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import local_rows
+
 QUANTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 ACCURACY = 10_000
 
@@ -44,8 +46,8 @@ def describe_features(df: DataFrame, features: list[str]) -> DataFrame:
         for j, (q_name, q) in enumerate(QUANTILES.items()):
             brackets.append((name, q_name, q * (n - 1), float(marks[2 * j]), float(marks[2 * j + 1])))
     spark = df.sparkSession
-    base = spark.createDataFrame(
-        rows, "feature string, count long, mean double, std double, min double, max double"
+    base = local_rows(
+        spark, rows, "feature string, count long, mean double, std double, min double, max double"
     )
     if not brackets:
         return base.select("feature", "count", "mean", "std", "min", *[F.lit(None).cast("double").alias(q) for q in QUANTILES], "max")
@@ -56,7 +58,8 @@ def describe_features(df: DataFrame, features: list[str]) -> DataFrame:
         structs.append(F.when((x >= lo) & (x <= hi), F.struct(F.lit(k).alias("k"), x.alias("value"))))
         below.append(F.count_if(x < lo).alias(f"b{k}"))
     under = df.agg(*below).first()
-    plan = spark.createDataFrame(
+    plan = local_rows(
+        spark,
         [(k, name, q, pos, int(under[f"b{k}"])) for k, (name, q, pos, _, _) in enumerate(brackets)],
         "k int, feature string, q string, pos double, below long",
     )

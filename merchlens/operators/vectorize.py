@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..dims import VECTORIZER_PRESETS
 from ..functions.ngrams import char_ngrams, word_ngrams
 from ..functions.text_merge import blank
+from ..session import local_rows
 from .scaling import PopulationScaler
 
 LOG_STEPS = 64  # buckets per doubling of a term frequency
@@ -142,7 +143,7 @@ class FittedVectorizer:
 
     def vocabulary(self, spark) -> DataFrame:
         rows = list(zip(range(len(self.terms)), self.terms, self.tf, self.df, self.idf))
-        return spark.createDataFrame(rows, "term_idx int, term string, tf long, df long, idf double")
+        return local_rows(spark, rows, "term_idx int, term string, tf long, df long, idf double")
 
     def transform(self, df: DataFrame, text: str, out: str) -> DataFrame:
         p = self.params

@@ -11,6 +11,7 @@ from ..operators import blending as B
 from ..operators import calibrate as K
 from ..operators.classifiers import Columns, logistic_regression
 from ..operators.splits import stratified_flag
+from ..session import local_rows
 from .registry import query
 from .standins import (
     LOGITS,
@@ -84,7 +85,7 @@ def best_grid_temperature(spark: SparkSession, sf: str) -> DataFrame:
 def fitted_temperatures(spark: SparkSession, sf: str) -> DataFrame:
     z = logits(spark, sf)
     rows = [(m, K.fit_temperature(z, f"z_{m}", "y")) for m in NAMES]
-    return spark.createDataFrame(rows, "model string, temperature double")
+    return local_rows(spark, rows, "model string, temperature double")
 
 
 def sql_normalize(p: str) -> str:

@@ -10,6 +10,7 @@ from ..functions.text_merge import blank, raw_text
 from ..functions.text_stats import add_text_features
 from ..operators.scaling import PopulationScaler
 from ..operators.vectorize import Vectorizer, merged_union, sparse_entries, split_union, word_char_union
+from ..session import local_rows
 from .registry import query
 from .sqltext import LETTER
 from .standins import products, table
@@ -82,7 +83,7 @@ def word_char(spark: SparkSession, sf: str) -> DataFrame:
     docs = _documents(spark, sf)
     union = word_char_union("text", (3, 5), {"max_features": MAX_WORDS}, {"max_features": MAX_CHARS}).fit(docs)
     names = list(enumerate(union.feature_names()))
-    columns = spark.createDataFrame(names, "term_idx int, feature string")
+    columns = local_rows(spark, names, "term_idx int, feature string")
     entries = union.transform(docs).select(F.inline(sparse_entries(F.col("features"))))
     totals = entries.groupBy("term_idx").agg(F.count(F.lit(1)).alias("documents"), F.round(F.sum("value"), 5).alias("total"))
     return totals.join(F.broadcast(columns), "term_idx").drop("term_idx")

@@ -6,7 +6,17 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
+
+_ARROW_TYPES = {
+    T.LongType: pa.int64(),
+    T.IntegerType: pa.int32(),
+    T.DoubleType: pa.float64(),
+    T.StringType: pa.string(),
+    T.BooleanType: pa.bool_(),
+}
 
 
 def build_session(app: str = "merchlens", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -49,6 +59,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), "merchlens", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def local_rows(spark: SparkSession, rows, schema):
+    """A small table from driver-side rows, planned as local data (no Python workers, no job)."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = {
+        f.name: pa.array([row[i] for row in rows], _ARROW_TYPES[type(f.dataType)]) for i, f in enumerate(schema.fields)
+    }
+    return spark.createDataFrame(pa.table(columns), schema=schema)
+
+
 def use_all_cores(df):
     """Spread a scan that has fewer partitions than the session has cores.
 

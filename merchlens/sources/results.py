@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import FUSION_PARAM
+from ..session import local_rows
 
 
 def save_results(df: DataFrame, path: str, metadata: dict | None = None) -> None:
     """A result table (one row per run) as one CSV file, with a JSON row beside it."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
     if metadata is not None:
-        text = df.sparkSession.createDataFrame([(json.dumps(metadata, default=str),)], "value string")
+        text = local_rows(df.sparkSession, [(json.dumps(metadata, default=str),)], "value string")
         text.coalesce(1).write.mode("overwrite").text(path.rstrip("/") + "_metadata")
 
 
