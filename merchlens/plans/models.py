@@ -86,7 +86,7 @@ def sigmoid_calibration(spark: SparkSession, sf: str) -> DataFrame:
     rows = vectorized_documents(spark, sf)
 
     def fit_margins(train: DataFrame):
-        return C.linear_margins(C.linear_svm(train, C=0.2, max_iter=50))
+        return C.linear_margins(C.linear_svm(train, C=0.2, max_iter=20))
 
     model = calibrate_with_folds(rows.filter("is_train"), "idx", "y", len(LANGS), fit_margins)
     scored = model.predict_proba(rows)

@@ -33,5 +33,4 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     for module in MODULES:
-        if not __import__("os").path.exists(f"/root/repo/merchlens/plans/{module}.py"): continue  # TMP
         importlib.import_module(f"merchlens.plans.{module}")

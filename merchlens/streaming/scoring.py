@@ -26,9 +26,16 @@ def accept_requests(df: DataFrame) -> DataFrame:
     return df.filter(F.length(title) > 0).withColumn("description", description)
 
 
-def batch_predictor(make_predict: Callable, n_classes: int, batch_size: int = 32):
-    """Arrow-batched scorer; the model is built once per Python worker."""
-    return predict_batch_udf(make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
+def batch_predictor(make_predict: Callable, batch_size: int = 32, input_width: int | None = None):
+    """Arrow-batched scorer of rows -> array of class scores.
+
+    The model is built once per Python worker. ``input_width`` is the length of an
+    array input; leave it out for scalar inputs such as text.
+    """
+    shapes = None if input_width is None else [[input_width]]
+    return predict_batch_udf(
+        make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size, input_tensor_shapes=shapes
+    )
 
 
 def score_calibrated(df: DataFrame, logits: dict[str, str], temperatures: dict[str, float], weights: dict[str, float], out: str) -> DataFrame:
