@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_text
-from ..session import local_rows
+from ..session import local_rows, persist_to_table
 from .classifiers import Columns, fit_evaluate_time, fit_model
 from .scaling import PopulationScaler
 from .vectorize import FeatureUnion, merged_union, split_union
@@ -57,14 +57,22 @@ def run_union(
 ) -> dict:
     """Fit a feature union and a classifier, then score both sides."""
     cols = cols or Columns(label=y)
+    written: dict[str, DataFrame] = {}
+
+    def vectors(fitted, rows: DataFrame, side: str) -> DataFrame:
+        # solver and evaluation read the vectors, the texts are vectorised once per side
+        if side not in written:
+            out = fitted.transform(rows, cols.features).select(cols.label, cols.features)
+            written[side] = persist_to_table(out, f"vectors-{side}")
+        return written[side]
 
     def fit(rows: DataFrame):
         features = union.fit(rows)
-        return features, fit_model(model, features.transform(rows, cols.features), cols, **params)
+        return features, fit_model(model, vectors(features, rows, "train"), cols, **params)
 
     def transform(fitted, rows: DataFrame) -> DataFrame:
         features, classifier = fitted
-        return classifier.transform(features.transform(rows, cols.features))
+        return classifier.transform(vectors(features, rows, "train" if rows is train else "val"))
 
     return fit_evaluate_time(fit, transform, train, val, y)
 

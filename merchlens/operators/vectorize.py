@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..dims import VECTORIZER_PRESETS
 from ..functions.ngrams import char_ngrams, word_ngrams
 from ..functions.text_merge import blank
-from ..session import local_rows
+from ..session import local_rows, persist_to_table
 from .scaling import PopulationScaler
 
 LOG_STEPS = 64  # buckets per doubling of a term frequency
@@ -113,10 +113,11 @@ class Vectorizer:
 def top_terms(stats: DataFrame, k: int) -> DataFrame:
     """The k terms of largest tf, ties by term.
 
-    A histogram over log-spaced tf buckets shows which buckets fit whole. Only the
-    bucket that crosses the limit is sorted.
+    The statistics are written once, since reading the texts again costs far more. A
+    histogram over log-spaced tf buckets then shows which buckets fit whole, and only
+    the bucket that crosses the limit is sorted.
     """
-    bucketed = stats.withColumn("_b", F.floor(F.log2("tf") * LOG_STEPS))
+    bucketed = persist_to_table(stats.withColumn("_b", F.floor(F.log2("tf") * LOG_STEPS)), "terms")
     histogram = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()
     room, cut = k, None
     for row in sorted(histogram, key=lambda r: -r["_b"]):
@@ -125,7 +126,7 @@ def top_terms(stats: DataFrame, k: int) -> DataFrame:
             break
         room -= row["n"]
     if cut is None:
-        return stats
+        return bucketed.drop("_b")
     whole = bucketed.filter(F.col("_b") > cut)
     if room == 0:
         return whole.drop("_b")
