@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 from itertools import product
 
 from pyspark.ml.feature import VectorAssembler
@@ -49,6 +50,14 @@ CLEANING_EXPERIMENTS: list[tuple[str, str, tuple[str, ...]]] = [
     ("merges_only", "7_Combos", _MERGES),
 ]
 
+def run_all(jobs: list, parallelism: int = 1) -> list:
+    """Run independent experiments in order, or a few at a time on the same cluster."""
+    if parallelism <= 1:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(lambda job: job(), jobs))
+
+
 RESULT_SCHEMA = "experiment string, group string, f1_weighted double, accuracy double"
 
 
@@ -115,13 +124,14 @@ def result_table(spark: SparkSession, records: list[dict]) -> DataFrame:
 
 def grid_search(
     train: DataFrame, val: DataFrame, max_features_list=(5000, 10_000, 20_000),
-    ngram_ranges=((1, 1), (1, 2), (1, 3)), **params,
+    ngram_ranges=((1, 1), (1, 2), (1, 3)), parallelism: int = 1, **params,
 ) -> DataFrame:
     """Every max_features x n-gram combination on one fixed split."""
-    records = [
-        run_vectorizer_experiment(train, val, max_features=m, ngram_range=n, **params)
+    jobs = [
+        partial(run_vectorizer_experiment, train, val, max_features=m, ngram_range=n, **params)
         for m, n in product(max_features_list, ngram_ranges)
     ]
+    records = run_all(jobs, parallelism)
     return result_table(train.sparkSession, records)
 
 
@@ -205,15 +215,17 @@ def title_weight_sweep(
 
 def cleaning_ablation(
     df: DataFrame, text: str, y: str, is_train: Column, experiments=None, max_features: int = 10_000,
-    ngram_range=(1, 2), C: float = 2.0, max_iter: int = 1000,
+    ngram_range=(1, 2), C: float = 2.0, max_iter: int = 1000, parallelism: int = 1,
 ) -> DataFrame:
     """Clean, vectorise, fit and score once per configuration on one shared split."""
-    records = []
-    for name, group, flags in experiments or CLEANING_EXPERIMENTS:
+
+    def run(name: str, group: str, flags: tuple[str, ...]) -> tuple:
         cleaned = df.withColumn("_clean", clean_text(F.col(text), **dict.fromkeys(flags, True)))
         union = merged_union("_clean", max_features=max_features, ngram_range=ngram_range)
         r = run_union(cleaned.filter(is_train), cleaned.filter(~is_train), union, "logreg", y, C=C, max_iter=max_iter)
-        records.append((name, group, float(r["f1_val"]), float(r["accuracy"])))
+        return name, group, float(r["f1_val"]), float(r["accuracy"])
+
+    records = run_all([partial(run, *e) for e in experiments or CLEANING_EXPERIMENTS], parallelism)
     return with_baseline_delta(local_rows(df.sparkSession, records, RESULT_SCHEMA))
 
 

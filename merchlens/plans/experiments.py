@@ -45,7 +45,7 @@ def fit_evaluate(spark: SparkSession, sf: str) -> DataFrame:
 def cleaning_ablation(spark: SparkSession, sf: str) -> DataFrame:
     rows = experiment_rows(spark, sf)
     return X.cleaning_ablation(
-        rows, "text_raw", "y", F.col("is_train"), max_features=200, ngram_range=(1, 1), max_iter=10
+        rows, "text_raw", "y", F.col("is_train"), max_features=200, ngram_range=(1, 1), max_iter=10, parallelism=4
     )
 
 
@@ -98,7 +98,7 @@ def vectorizer_experiment(spark: SparkSession, sf: str) -> DataFrame:
 @query("grid_search")
 def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     train, val = _sides(experiment_rows(spark, sf))
-    return X.grid_search(train, val, (100, 300), ((1, 1), (1, 2)), text_columns=("designation", "description"), **FAST)
+    return X.grid_search(train, val, (100, 300), ((1, 1), (1, 2)), 4, text_columns=("designation", "description"), **FAST)
 
 
 @query("penalty_search")
