@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import BOILERPLATE_PHRASES, PUNCTUATION, STOPWORDS
+from .ngrams import let
 
 # --- Fixed values: Windows-1252 characters and the bytes they stand for ---------------------
 CP1252_CHARS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
@@ -80,9 +81,12 @@ _UNTIDY = (
 )
 
 
+def _tidy_if_needed(c: Column) -> Column:
+    return F.when(c.rlike(_UNTIDY), tidy_characters(c)).otherwise(c)
+
+
 def fix_encoding(c: Column) -> Column:
-    repaired = fix_mojibake(c)
-    return F.when(repaired.rlike(_UNTIDY), tidy_characters(repaired)).otherwise(repaired)
+    return _tidy_if_needed(let(c, fix_mojibake))
 
 
 # Text made only of characters outside this class is already in NFC.
@@ -247,39 +251,59 @@ CLEANING_FLAGS = (
 )
 
 
-def clean_text(c: Column, **flags: bool) -> Column:
-    """Apply the switched-on steps in their fixed order; null becomes the empty text."""
+def _stages(flags: dict[str, bool]) -> list:
+    """Steps in their fixed order. A stage uses its input several times, so each gets its own projection."""
     unknown = set(flags) - set(CLEANING_FLAGS)
     if unknown:
         raise TypeError(f"unknown cleaning flags {sorted(unknown)}")
     on = {name for name, value in flags.items() if value}
-    c = F.coalesce(c.cast("string"), F.lit(""))
+    stages = [lambda c: F.coalesce(c.cast("string"), F.lit(""))]
     if "fix_encoding" in on:
-        c = fix_encoding(c)
+        stages += [fix_mojibake, _tidy_if_needed]
     if on & {"unescape_html", "normalize_unicode", "fix_encoding"}:
-        c = _decode_text(c, "unescape_html" in on, bool(on & {"normalize_unicode", "fix_encoding"}))
-    for name, step in (
-        ("remove_html_tags", remove_html_tags),
-        ("lowercase", F.lower),
-        ("merge_dimensions", merge_dimensions),
-        ("merge_units", merge_units),
-        ("merge_durations", merge_durations),
-        ("merge_age_ranges", merge_age_ranges),
-        ("tag_years", tag_years),
-        ("remove_punctuation", remove_punctuation),
-        ("remove_boilerplate", remove_boilerplate),
-    ):
-        if name in on:
-            c = step(c)
-    token_flags = {
-        "stopwords": "remove_stopwords" in on,
-        "single_letters": "remove_single_letters" in on,
-        "single_digits": "remove_single_digits" in on,
-        "pure_punctuation": "remove_pure_punct_tokens" in on,
-    }
-    if any(token_flags.values()):
-        c = filter_tokens(c, **token_flags)
-    return collapse_whitespace(c)
+        unescape, nfc = "unescape_html" in on, bool(on & {"normalize_unicode", "fix_encoding"})
+        stages.append(lambda c: _decode_text(c, unescape, nfc))
+
+    def native(c: Column) -> Column:
+        for name, step in (
+            ("remove_html_tags", remove_html_tags),
+            ("lowercase", F.lower),
+            ("merge_dimensions", merge_dimensions),
+            ("merge_units", merge_units),
+            ("merge_durations", merge_durations),
+            ("merge_age_ranges", merge_age_ranges),
+            ("tag_years", tag_years),
+            ("remove_punctuation", remove_punctuation),
+            ("remove_boilerplate", remove_boilerplate),
+        ):
+            if name in on:
+                c = step(c)
+        filters = {
+            "stopwords": "remove_stopwords" in on,
+            "single_letters": "remove_single_letters" in on,
+            "single_digits": "remove_single_digits" in on,
+            "pure_punctuation": "remove_pure_punct_tokens" in on,
+        }
+        if any(filters.values()):
+            c = filter_tokens(c, **filters)
+        return collapse_whitespace(c)
+
+    return [*stages, native]
+
+
+def clean_text(c: Column, **flags: bool) -> Column:
+    """Apply the switched-on steps in their fixed order; null becomes the empty text."""
+    for stage in _stages(flags):
+        c = stage(c)
+    return c
+
+
+def clean_frame(df: DataFrame, columns: dict[str, Column], **flags: bool) -> DataFrame:
+    """The same for whole columns, one projection per stage: {output name: text expression}."""
+    df = df.withColumns(columns)
+    for stage in _stages(flags):
+        df = df.withColumns({name: stage(F.col(name)) for name in columns})
+    return df
 
 
 FINAL_FLAGS = dict.fromkeys(
@@ -309,4 +333,4 @@ def clean_columns(
         "remove_html_tags": remove_html,
         "lowercase": lowercase,
     }
-    return df.withColumns({prefix + c: clean_text(F.col(c), **flags) for c in columns})
+    return clean_frame(df, {prefix + c: F.col(c) for c in columns}, **flags)

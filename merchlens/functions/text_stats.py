@@ -110,11 +110,19 @@ def token_frequencies(
     return df.withColumns(out).drop("_joined")
 
 
+def _any_of(terms: list[str]) -> str:
+    """Alternation of the terms; plain words get a first-letter check that skips most positions."""
+    pattern = "|".join(terms)
+    if all(t.isalnum() for t in terms):
+        return f"(?=[{''.join(sorted({t[0] for t in terms}))}])(?:{pattern})"
+    return pattern
+
+
 def keyword_counts(c: Column, keywords: dict[str, list[str]] | None = None) -> dict[str, Column]:
     """Non-overlapping keyword hits per category, case-sensitive, inside words too."""
     keywords = KEYWORDS if keywords is None else keywords
     return {
-        f"{category}_keywords": F.regexp_count(blank(c), F.lit("|".join(terms)))
+        f"{category}_keywords": F.regexp_count(blank(c), F.lit(_any_of(terms)))
         for category, terms in keywords.items()
     }
 

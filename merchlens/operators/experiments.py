@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import clean_text
+from ..functions.cleaning import clean_frame
 from ..session import local_rows, persist_to_table
 from .classifiers import Columns, fit_evaluate_time, fit_model
 from .scaling import PopulationScaler
@@ -220,7 +220,7 @@ def cleaning_ablation(
     """Clean, vectorise, fit and score once per configuration on one shared split."""
 
     def run(name: str, group: str, flags: tuple[str, ...]) -> tuple:
-        cleaned = df.withColumn("_clean", clean_text(F.col(text), **dict.fromkeys(flags, True)))
+        cleaned = clean_frame(df, {"_clean": F.col(text)}, **dict.fromkeys(flags, True))
         union = merged_union("_clean", max_features=max_features, ngram_range=ngram_range)
         r = run_union(cleaned.filter(is_train), cleaned.filter(~is_train), union, "logreg", y, C=C, max_iter=max_iter)
         return name, group, float(r["f1_val"]), float(r["accuracy"])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..dims import VECTORIZER_PRESETS
-from ..functions.ngrams import char_ngrams, word_ngrams
+from ..functions.ngrams import char_ngrams, let, word_ngrams
 from ..functions.text_merge import blank
 from ..session import local_rows, persist_to_table
 from .scaling import PopulationScaler
@@ -83,15 +83,22 @@ class Vectorizer:
         Hot n-grams are summed on the map side, so a term in a third of all
         documents costs its reducer one row per map task.
         """
-        one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-        grams = df.select(self.grams(F.col(text)).alias("g"))
-        marks = F.concat(
-            F.transform("g", lambda t: F.struct(t.alias("term"), one.alias("tf"), zero.alias("df"))),
-            F.transform(
-                F.array_distinct("g"), lambda t: F.struct(t.alias("term"), zero.alias("tf"), one.alias("df"))
+        grams = df.select(F.sort_array(self.grams(F.col(text))).alias("g"))
+        # in a sorted array a term is new in its document when its left neighbour differs
+        marks = let(
+            F.col("g"),
+            lambda g: F.transform(
+                g,
+                lambda t, i: F.struct(
+                    t.alias("term"), F.when((i > 0) & (F.get(g, i - 1) == t), 0).otherwise(1).alias("is_first")
+                ),
             ),
         )
-        return grams.select(F.inline(marks)).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+        return (
+            grams.select(F.inline(marks))
+            .groupBy("term")
+            .agg(F.count(F.lit(1)).alias("tf"), F.sum("is_first").alias("df"))
+        )
 
     def vocabulary(self, df: DataFrame, text: str, n_docs: int | None = None) -> DataFrame:
         """Kept terms (term, tf, df): within the df bounds, most frequent first, ties by term."""

@@ -163,7 +163,7 @@ _FULL = S.collapse(S.filter_tokens(S.boilerplate(S.lone_marks(S.dots_list("chars
     f"WITH {MEASURE_TEXTS}, c AS (SELECT idx, string_split({_STEPS}, '') AS chars FROM measured) SELECT idx, {_FULL} AS clean FROM c",
 )
 def clean_text_all_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return measure_texts(spark, sf).select("idx", C.clean_text(F.col("text"), **_ALL_FLAGS).alias("clean"))
+    return C.clean_frame(measure_texts(spark, sf).select("idx", "text"), {"clean": F.col("text")}, **_ALL_FLAGS).drop("text")
 
 
 _TIDY = "lower(regexp_replace(nfc_normalize(text), '<[^>]+>', ' ', 'g'))"
@@ -174,7 +174,7 @@ _TIDY = "lower(regexp_replace(nfc_normalize(text), '<[^>]+>', ' ', 'g'))"
     f"SELECT doc_id, {S.collapse(_PUNCT)} AS clean FROM (SELECT doc_id, string_split({_TIDY}, '') AS chars FROM documents)",
 )
 def final_clean(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).select("doc_id", C.final_clean(F.col("text")).alias("clean"))
+    return C.clean_frame(documents(spark, sf), {"clean": F.col("text")}, **C.FINAL_FLAGS).drop("text")
 
 
 def _column_sql(x: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..dims import KEYWORDS, STOPWORDS_EN, STOPWORDS_FR, UNIT_PATTERNS
-from ..functions.cleaning import final_clean
+from ..functions.cleaning import FINAL_FLAGS, clean_frame
 from ..functions.ngrams import char_ngrams
 from ..functions.text_merge import raw_text
 from ..functions.text_stats import (
@@ -226,7 +226,8 @@ _RAW = S.strip(f"{S.strip('designation')} || ' ' || {S.strip(_DESCRIPTION)}")
 )
 def catalog_language_report(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("t")
-    clean = products(spark, sf).select("lang", final_clean(raw_text(F.col("designation"), F.col("description"))).alias("t"))
+    text = raw_text(F.col("designation"), F.col("description"))
+    clean = clean_frame(products(spark, sf).select("lang", "designation", "description"), {"t": text}, **FINAL_FLAGS)
     stats = clean.groupBy("lang").agg(
         F.count(F.lit(1)).alias("products"),
         F.round(F.avg(char_length(t)), 6).alias("mean_chars"),
