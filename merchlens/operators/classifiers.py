@@ -6,6 +6,7 @@ the matching penalty is 1 / (C * n) on unscaled features.
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass
 
@@ -81,12 +82,16 @@ class RidgeModel:
 
 
 def ridge_classifier(df: DataFrame, n_classes: int, cols: Columns = Columns(), alpha: float = 1.0, n: int | None = None):
-    n = df.count() if n is None else n
+    counts = {int(r[0]): r[1] for r in df.groupBy(cols.label).count().collect()}
+    n = sum(counts.values()) if n is None else n
     models = []
     for k in range(n_classes):
         target = df.withColumn("_target", F.when(F.col(cols.label) == k, 1.0).otherwise(-1.0))
+        share = counts.get(k, 0) / n
+        # Spark divides the penalty by the deviation of the target
+        deviation = 2.0 * math.sqrt(share * (1.0 - share)) or 1.0
         fit = LinearRegression(
-            featuresCol=cols.features, labelCol="_target", regParam=alpha / n, elasticNetParam=0.0,
+            featuresCol=cols.features, labelCol="_target", regParam=alpha / n * deviation, elasticNetParam=0.0,
             standardization=False, solver="auto",
         ).fit(target)
         models.append(fit)
