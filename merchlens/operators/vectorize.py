@@ -109,6 +109,8 @@ class Vectorizer:
         return stats if self.max_features is None else top_terms(stats, self.max_features)
 
     def fit(self, df: DataFrame, text: str) -> FittedVectorizer:
+        if self.max_features is None:
+            raise ValueError("fit needs max_features; use vocabulary() for an unbounded term table")
         n_docs = df.count()
         kept = sorted(self.vocabulary(df, text, n_docs).collect(), key=lambda r: r["term"])
         if not kept:

