@@ -21,47 +21,57 @@ def row_hash(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string")))
 
 
-def _cut_rows(df: DataFrame, label: str, key: str, fraction: float, seed: int) -> DataFrame:
-    """Per class the (hash, key) of the last row inside the first ``fraction`` of its rows."""
+def _ordered(hash_column: str, key: str) -> Column:
+    return F.struct(F.col(hash_column).alias("h"), F.col(key).alias("k"))
+
+
+def _cut_rows(df: DataFrame, label: str, key: str, fractions: list[float], seed: int) -> DataFrame:
+    """Per class and fraction the (hash, key) of the last row inside that first part of the class."""
     rows = df.select(label, key, row_hash(key, seed).alias("_hash"))
     rows = rows.withColumn("_prefix", F.substring("_hash", 1, PREFIX))
     counts = rows.groupBy(label, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     in_class = Window.partitionBy(label)
     running = in_class.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cumulated = counts.withColumn("_upto", F.sum("_n").over(running)).withColumn("_total", F.sum("_n").over(in_class))
     located = (
-        counts.withColumn("_upto", F.sum("_n").over(running))
-        .withColumn("_take", F.round(F.lit(fraction) * F.sum("_n").over(in_class)).cast("long"))
+        cumulated.select("*", F.posexplode(F.array(*[F.lit(f) for f in fractions])).alias("_cut", "_fraction"))
+        .withColumn("_take", F.round(F.col("_fraction") * F.col("_total")).cast("long"))
         .filter((F.col("_upto") >= F.col("_take")) & (F.col("_upto") - F.col("_n") < F.col("_take")))
-        .select(label, "_prefix", (F.col("_take") - F.col("_upto") + F.col("_n")).alias("_rank"))
+        .select(label, "_prefix", "_cut", (F.col("_take") - F.col("_upto") + F.col("_n")).alias("_rank"))
     )
     ranked = lookup_join(rows, located, [label, "_prefix"]).withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(label, "_prefix").orderBy("_hash", key))
-    )
-    return ranked.filter(F.col("_rn") == F.col("_rank")).select(
-        label, F.col("_hash").alias("_cut_hash"), F.col(key).alias("_cut_key")
+        "_rn", F.row_number().over(Window.partitionBy(label, "_prefix", "_cut").orderBy("_hash", key))
     )
+    last = [
+        F.max(F.when(F.col("_cut") == i, _ordered("_hash", key))).alias(f"_last{i}") for i in range(len(fractions))
+    ]
+    return ranked.filter(F.col("_rn") == F.col("_rank")).groupBy(label).agg(*last)
+
+
+def _with_parts(df: DataFrame, label: str, key: str, fractions: list[float], seed: int) -> DataFrame:
+    """Flags _in0, _in1, ... for the first part of every class at each fraction."""
+    cuts = _cut_rows(df, label, key, fractions, seed)
+    joined = lookup_join(df, cuts, [label], "left").withColumn("_hash", row_hash(key, seed))
+    flags = {
+        f"_in{i}": F.coalesce(_ordered("_hash", key) <= F.col(f"_last{i}"), F.lit(False)) for i in range(len(fractions))
+    }
+    return joined.withColumns(flags).drop("_hash", *[f"_last{i}" for i in range(len(fractions))])
 
 
 def stratified_flag(
     df: DataFrame, label: str, key: str, fraction: float, seed: int = 42, out: str = "in_first"
 ) -> DataFrame:
     """True for the first round(fraction * n) rows of every class in seeded hash order."""
-    cuts = _cut_rows(df, label, key, fraction, seed)
-    joined = lookup_join(df, cuts, [label], "left").withColumn("_hash", row_hash(key, seed))
-    inside = (F.col("_hash") < F.col("_cut_hash")) | (
-        (F.col("_hash") == F.col("_cut_hash")) & (F.col(key) <= F.col("_cut_key"))
-    )
-    return joined.withColumn(out, F.coalesce(inside, F.lit(False))).drop("_hash", "_cut_hash", "_cut_key")
+    return _with_parts(df, label, key, [fraction], seed).withColumnRenamed("_in0", out)
 
 
 def assign_split(
     df: DataFrame, label: str, key: str, train: float = 0.7, val: float = 0.15, seed: int = 42, out: str = "split"
 ) -> DataFrame:
     """train / val / test, stratified by label and reproducible from the seed."""
-    df = stratified_flag(df, label, key, train, seed, "_train")
-    df = stratified_flag(df, label, key, train + val, seed, "_seen")
-    name = F.when(F.col("_train"), "train").when(F.col("_seen"), "val").otherwise("test")
-    return df.withColumn(out, name).drop("_train", "_seen")
+    df = _with_parts(df, label, key, [train, train + val], seed)
+    name = F.when(F.col("_in0"), "train").when(F.col("_in1"), "val").otherwise("test")
+    return df.withColumn(out, name).drop("_in0", "_in1")
 
 
 def split_digests(df: DataFrame, key: str = "idx", split: str = "split") -> DataFrame:
