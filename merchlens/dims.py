@@ -221,15 +221,3 @@ def category_dim(spark: SparkSession) -> DataFrame:
 def class_dim(spark: SparkSession, classes: list[int] | None = None) -> DataFrame:
     rows = list(enumerate(classes or CANONICAL_CLASSES))
     return F.broadcast(local_rows(spark, rows, "class_idx int, code int"))
-
-
-def bucket_rows() -> list[tuple[str, float, float, str]]:
-    rows = []
-    for measure, (bounds, labels) in BUCKETS.items():
-        uppers = bounds[1:] + [float("inf")]
-        rows += [(measure, lo, hi, label) for lo, hi, label in zip(bounds, uppers, labels)]
-    return rows
-
-
-def bucket_dim(spark: SparkSession) -> DataFrame:
-    return F.broadcast(local_rows(spark, bucket_rows(), "measure string, lo double, hi double, label string"))

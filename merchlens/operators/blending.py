@@ -41,10 +41,6 @@ def weights_from_log_loss(losses: DataFrame) -> DataFrame:
     return losses.withColumn("weight", inverse / F.sum(inverse).over(Window.partitionBy()))
 
 
-def weight_dict(weights: DataFrame) -> dict[str, float]:
-    return {r["model"]: r["weight"] for r in weights.select("model", "weight").collect()}
-
-
 def blend_columns(models: list[str], weights: dict[str, float]) -> Column:
     """Weighted mean of probability columns of the same row; nothing is shuffled."""
     w = check_weights(models, weights)

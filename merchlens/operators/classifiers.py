@@ -182,7 +182,7 @@ def linear_scores(features: DataFrame, weights: DataFrame, key: str, max_rows: i
     return products.groupBy(key, "class_idx").agg(F.sum(F.col("value") * F.col("w")).alias("score"))
 
 
-def complement_log_weights(counts: DataFrame, classes: DataFrame, alpha: float = 1.0) -> DataFrame:
+def complement_log_weights(counts: DataFrame, classes: list[int], alpha: float = 1.0) -> DataFrame:
     """Complement naive Bayes weights by SQL: counts (class_idx, term, n) -> (class_idx, term, w).
 
     ``classes`` lists the class indices; terms a class never used still get a weight.
@@ -190,14 +190,13 @@ def complement_log_weights(counts: DataFrame, classes: DataFrame, alpha: float =
     per_term = counts.groupBy("term").agg(
         F.sum("n").alias("_all"), F.map_from_entries(F.collect_list(F.struct("class_idx", "n"))).alias("_by")
     )
-    n_classes = [r["class_idx"] for r in classes.select("class_idx").distinct().orderBy("class_idx").collect()]
     cells = F.array(
         *[
             F.struct(
                 F.lit(c).alias("class_idx"),
                 (F.col("_all") + F.lit(alpha) - F.coalesce(F.try_element_at("_by", F.lit(c)), F.lit(0))).alias("_comp"),
             )
-            for c in n_classes
+            for c in classes
         ]
     )
     comp = per_term.select("term", F.inline(cells))

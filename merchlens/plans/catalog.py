@@ -73,6 +73,7 @@ def features_labels_join(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {PROBS}
     SELECT idx, y AS y_true, {sql_argmax("alpha")} AS pred, len(alpha) AS classes,
            round(list_sum(alpha), 4) AS total, round(alpha[1], 4) AS p0 FROM probs""",
+    ints=["classes"],
 )
 def prediction_export_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     rows = probabilities(spark, sf).select("idx", F.col("alpha").alias("probs"), F.col("y").alias("y_true"))

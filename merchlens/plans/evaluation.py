@@ -99,6 +99,7 @@ _CONFUSION = "confusion AS (SELECT y_true, pred_alpha AS y_pred, count(*) AS n F
     f"""WITH {PREDICTIONS}, {_CONFUSION}, s AS (SELECT *, n / sum(n) OVER (PARTITION BY y_true) AS share FROM confusion),
     r AS (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY n DESC, y_pred) AS rank FROM s WHERE y_true <> y_pred)
     SELECT y_true, y_pred, n, round(share, 6) AS share, rank FROM r WHERE rank <= 3""",
+    ints=["rank"],
 )
 def top_confusions(spark: SparkSession, sf: str) -> DataFrame:
     confusion = M.confusion_counts(predictions(spark, sf), "y_true", "pred_alpha")
@@ -119,6 +120,7 @@ def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {PREDICTIONS}, {SCORES}, r AS (SELECT label, f1, row_number() OVER (ORDER BY f1 DESC, label) AS best_rank,
       row_number() OVER (ORDER BY f1, label) AS worst_rank FROM scores)
     SELECT label, round(f1, 6) AS f1, best_rank, worst_rank FROM r WHERE best_rank <= 3 OR worst_rank <= 3""",
+    ints=["best_rank", "worst_rank"],
 )
 def best_and_worst(spark: SparkSession, sf: str) -> DataFrame:
     scores = M.class_scores(M.confusion_counts(predictions(spark, sf), "y_true", "pred_alpha"))
@@ -168,6 +170,7 @@ def modality_importance(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {COEFFICIENTS}, n AS (SELECT *, coef / sum(abs(coef)) OVER (PARTITION BY class_idx) AS coef_norm,
       row_number() OVER (PARTITION BY class_idx ORDER BY abs(coef) DESC, feature) AS rank FROM coefficients)
     SELECT class_idx, feature, split_part(feature, '__', 1) AS block, rank, round(coef_norm, 6) AS coef_norm FROM n WHERE rank <= 5""",
+    ints=["rank"],
 )
 def top_features(spark: SparkSession, sf: str) -> DataFrame:
     top = M.top_features(coefficients(spark, sf), 5)
@@ -196,6 +199,7 @@ _HISTORY = """history AS (SELECT o_orderpriority || '-' || year(o_orderdate) AS
     "best_row_per_run",
     f"""WITH {_HISTORY}, r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY val_f1 DESC, epoch) AS rn FROM history)
     SELECT name, epoch, val_f1, val_loss FROM r WHERE rn = 1""",
+    ints=["epoch"],
 )
 def best_row(spark: SparkSession, sf: str) -> DataFrame:
     return M.best_row_per_run(run_history(spark, sf), "name", "val_f1", "epoch")
@@ -205,6 +209,7 @@ def best_row(spark: SparkSession, sf: str) -> DataFrame:
     "best_values_per_run",
     f"""WITH {_HISTORY} SELECT name, first(epoch ORDER BY val_f1 DESC, epoch) AS epoch, first(val_f1 ORDER BY val_f1 DESC, epoch) AS val_f1,
     first(val_loss ORDER BY val_f1 DESC, epoch) FILTER (val_loss IS NOT NULL) AS val_loss FROM history GROUP BY name""",
+    ints=["epoch"],
 )
 def best_values(spark: SparkSession, sf: str) -> DataFrame:
     return M.best_values_per_run(run_history(spark, sf), "name", "val_f1", "epoch")

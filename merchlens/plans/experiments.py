@@ -171,7 +171,7 @@ def tracked_scores(spark: SparkSession, sf: str) -> DataFrame:
     "verify_best_score",
     f"""WITH {GRID} SELECT round(max(f1_score), 6) AS best_score,
     CASE WHEN (SELECT arg_max(strategy, f1_score) FROM grid) = 'split' THEN 'weighting' ELSE 'strategies' END AS best_experiment,
-    0.55 AS final_score, abs(0.55 - max(f1_score)) < 0.0001 AS is_optimal FROM grid""",
+    0.55::DOUBLE AS final_score, abs(0.55 - max(f1_score)) < 0.0001 AS is_optimal FROM grid""",
 )
 def verify_best_score(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(X.verify_best(X.track_scores(tables(spark, sf)), 0.55), "best_score")

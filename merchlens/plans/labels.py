@@ -174,6 +174,7 @@ def split_signature(spark: SparkSession, sf: str) -> DataFrame:
            (SELECT count(*) FROM (SELECT DISTINCT idx FROM a) WHERE idx NOT IN (SELECT idx FROM b)) AS missing_right,
            (SELECT count(*) FROM (SELECT DISTINCT idx FROM b) WHERE idx NOT IN (SELECT idx FROM a)) AS missing_left,
            0 AS different_multiplicity, false AS aligned""",
+    longs=["different_multiplicity"],
 )
 def alignment_report(spark: SparkSession, sf: str) -> DataFrame:
     left = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"))

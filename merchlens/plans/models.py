@@ -119,10 +119,10 @@ nb AS (SELECT class_idx, term, -ln(c / sum(c) OVER (PARTITION BY class_idx)) AS
 def _complement_weights(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = with_language_index(table(spark, sf, "documents").select("doc_id", "text", "lang"))
     fitted = Vectorizer(kind="count", ngram_range=(1, 2), max_features=MAX_WORDS).fit(docs, "text")
-    entries = fitted.entries(docs, "text", ["doc_id", "y"])
+    # read twice: for the weights and for the scores
+    entries = persist_to_table(fitted.entries(docs, "text", ["doc_id", "y"]), "entries")
     counts = entries.groupBy(F.col("y").cast("int").alias("class_idx"), "term").agg(F.sum("value").alias("n"))
-    classes = docs.select(F.col("y").cast("int").alias("class_idx")).distinct()
-    return entries, C.complement_log_weights(counts, classes)
+    return entries, C.complement_log_weights(counts, list(range(len(LANGS))))
 
 
 @query("complement_weights_sql", f"WITH {_NB} SELECT class_idx, term, round(w, 6) AS w FROM nb")

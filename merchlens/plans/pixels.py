@@ -58,6 +58,7 @@ UNION ALL SELECT image_id, 'b', b FROM pixels)"""
     slots AS (SELECT image_id, channel, bin FROM (SELECT DISTINCT image_id FROM pixels), (VALUES ('r'), ('g'), ('b')) t(channel),
       (SELECT unnest(range(0, 16)) AS bin))
     SELECT image_id, channel, bin, coalesce(n, 0) AS n FROM slots LEFT JOIN c USING (image_id, channel, bin)""",
+    ints=["bin"],
 )
 def rgb_histogram(spark: SparkSession, sf: str) -> DataFrame:
     hist = P.rgb_histogram(pixels(spark, sf), 16)
@@ -154,6 +155,7 @@ def label_centroids(spark: SparkSession, sf: str):
     slots AS (SELECT image_id, word FROM (SELECT DISTINCT vec_id // 25 AS image_id FROM embeddings), (SELECT unnest(range(0, 10)) AS word))
     SELECT image_id, s.word AS word, round(coalesce(n / (SELECT sum(n) FROM counts k WHERE k.image_id = s.image_id), 0), 6) AS share
     FROM slots s LEFT JOIN counts USING (image_id, word)""",
+    ints=["word"],
 )
 def visual_word_histogram(spark: SparkSession, sf: str) -> DataFrame:
     rows, images = descriptors(spark, sf)

@@ -192,6 +192,7 @@ def blend_sweep(spark: SparkSession, sf: str) -> DataFrame:
     "stack_features",
     f"""WITH {PROBS}, s AS (SELECT idx, alpha || beta AS v FROM probs)
     SELECT idx, len(v) AS width, round(v[1], 6) AS first, round(v[11], 6) AS eleventh, round(list_sum(v), 6) AS total FROM s""",
+    ints=["width"],
 )
 def stack_features(spark: SparkSession, sf: str) -> DataFrame:
     scores = score_rows(spark, sf)
@@ -249,6 +250,7 @@ def predict_with_contributions(spark: SparkSession, sf: str) -> DataFrame:
     r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY p[k + 1] DESC, k) AS rank FROM cells)
     SELECT idx, rank, k AS class_idx, round(p[k + 1], 6) AS P_final, round(alpha[k + 1], 6) AS P_text,
            round(beta[k + 1], 6) AS P_image FROM r WHERE rank <= 5""",
+    ints=["rank", "class_idx"],
 )
 def top_classes(spark: SparkSession, sf: str) -> DataFrame:
     rows = probabilities(spark, sf).withColumn("final", B.blend_columns(NAMES, WEIGHTS))

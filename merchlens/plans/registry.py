@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import importlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +17,14 @@ MODULES = (
 )
 
 
-def query(name: str, oracle: str | None = None):
-    """Register a query; without an oracle only its rows are checked."""
+def query(name: str, oracle: str | None = None, ints: Iterable[str] = (), longs: Iterable[str] = ()):
+    """Register a query; without an oracle only its rows are checked.
+
+    ``ints`` and ``longs`` name oracle columns that are cast to the width Spark returns.
+    """
+    casts = [f'"{c}"::INTEGER AS "{c}"' for c in ints] + [f'"{c}"::BIGINT AS "{c}"' for c in longs]
+    if oracle is not None and casts:
+        oracle = f"SELECT * REPLACE ({', '.join(casts)}) FROM ({oracle})"
 
     def register(fn: Query) -> Query:
         if name in QUERIES:

@@ -55,6 +55,7 @@ def _centroid_model(centroids: list[list[float]]):
         FROM embeddings, (SELECT unnest(range(0, 64)) AS pos) GROUP BY ALL) GROUP BY label),
     s AS (SELECT vec_id AS idx, k, list_sum(list_transform(c, lambda x, i: x * embedding[i]::DOUBLE)) AS z FROM embeddings, cent)
     SELECT idx, arg_max(k, z) AS pred, round(max(z), 6) AS score FROM s GROUP BY ALL""",
+    longs=["pred"],
 )
 def batch_model_scoring(spark: SparkSession, sf: str) -> DataFrame:
     predict = S.batch_predictor(_centroid_model(label_centroids(spark, sf)), batch_size=64, input_width=64)

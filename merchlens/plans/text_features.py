@@ -60,7 +60,7 @@ def _rounded(names: list[str]) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" if n.endswith("ratio") else n for n in names)
 
 
-@query("text_features", f"WITH {PRODUCTS}, {FEATURES} SELECT idx, {_rounded(list(_FEATURES))} FROM features")
+@query("text_features", f"WITH {PRODUCTS}, {FEATURES} SELECT idx, {_rounded(list(_FEATURES))} FROM features", ints=[n for n in _FEATURES if not n.endswith("ratio")])
 def text_features(spark: SparkSession, sf: str) -> DataFrame:
     rows = extract_text_features(products(spark, sf), COLUMNS, ["idx"])
     return rows.withColumns({n: F.round(n, 6) for n in rows.columns if n.endswith("ratio")})
@@ -70,6 +70,7 @@ def text_features(spark: SparkSession, sf: str) -> DataFrame:
     "text_lengths",
     f"""WITH {PRODUCTS} SELECT idx, length(designation) AS char_designation, length(coalesce(description, '')) AS char_description,
     {S.words("designation")} AS word_designation, {S.words("description")} AS word_description FROM products""",
+    ints=[f"{u}_{c}" for u in ("char", "word") for c in COLUMNS],
 )
 def lengths(spark: SparkSession, sf: str) -> DataFrame:
     rows = products(spark, sf).select("idx", *COLUMNS)
@@ -119,6 +120,7 @@ def _count(x: str, pattern: str) -> str:
     "SELECT page_id, " + ", ".join(f"{_count('x', t)} AS {n}" for t, n in TOKENS.items()) + ", "
     + ", ".join(f"round({_count('x', t)} / length(x), 6) AS {n}_rate" for t, n in TOKENS.items())
     + " FROM (SELECT page_id, ' ' || url || ' ' || html AS x FROM pages)",
+    ints=TOKENS.values(),
 )
 def frequencies(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages")
@@ -132,6 +134,7 @@ def frequencies(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "keyword_features",
     "SELECT doc_id, " + ", ".join(f'{_count("text", "|".join(w))} AS "{c}_keywords"' for c, w in KEYWORDS.items()) + " FROM documents",
+    ints=[f"{c}_keywords" for c in KEYWORDS],
 )
 def keywords(spark: SparkSession, sf: str) -> DataFrame:
     counts = keyword_counts(F.col("text"))
@@ -146,6 +149,7 @@ _ANY_UNIT = S.quoted("(?i)" + "|".join(f"(?:{p})" for p in UNIT_PATTERNS.values(
     f"""WITH {MEASURE_TEXTS} SELECT idx, {S.keep_only("text", "[^0-9]+")} AS nb_digits_text,
     regexp_matches(text, 'n° ?[0-9]')::INT AS contains_numerotation, regexp_matches(text, {_ANY_UNIT})::INT AS has_any_unit,
     regexp_matches(designation, {_ANY_UNIT})::INT AS title_has_unit FROM measured""",
+    ints=["nb_digits_text"],
 )
 def units(spark: SparkSession, sf: str) -> DataFrame:
     title = unit_flags(F.col("designation"))["has_any_unit"].alias("title_has_unit")

@@ -149,14 +149,14 @@ def _union_sql(blocks: dict[str, tuple[str, float]]) -> str:
     SELECT s.idx AS idx, {width} + {len(MANUAL)} AS columns, {filled} AS non_zero, round(sqrt({squares}), 4) AS norm FROM s {joins}"""
 
 
-@query("split_vectorizer", _union_sql({"a": ("designation", 1.2), "b": ("description", 1.0)}))
+@query("split_vectorizer", _union_sql({"a": ("designation", 1.2), "b": ("description", 1.0)}), ints=["columns", "non_zero"])
 def split_vectorizer(spark: SparkSession, sf: str) -> DataFrame:
     rows = _featured(spark, sf)
     union = split_union("designation", "description", MANUAL, title_weight=1.2, max_features=500)
     return _entries(union.fit(rows).transform(rows))
 
 
-@query("merged_vectorizer", _union_sql({"a": ("text", 1.0)}))
+@query("merged_vectorizer", _union_sql({"a": ("text", 1.0)}), ints=["columns", "non_zero"])
 def merged_vectorizer(spark: SparkSession, sf: str) -> DataFrame:
     rows = _featured(spark, sf)
     return _entries(merged_union("text", MANUAL, max_features=500).fit(rows).transform(rows))

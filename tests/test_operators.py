@@ -280,7 +280,7 @@ def test_complement_bayes_agrees_with_spark_ml(spark):
     long = wide.select("doc", F.col("y").cast("int").alias("class_idx"), F.posexplode("a").alias("p", "value"))
     long = long.withColumn("term", F.concat(F.lit("t"), F.col("p")))
     totals = long.groupBy("class_idx", "term").agg(F.sum("value").alias("n"))
-    weights = C.complement_log_weights(totals, totals)
+    weights = C.complement_log_weights(totals, [0, 1, 2])
     scores = C.linear_scores(long.select("doc", "term", "value"), weights, "doc")
     sql = {r["doc"]: r["c"] for r in scores.groupBy("doc").agg(F.max_by("class_idx", "score").alias("c")).collect()}
     assert sql == ml

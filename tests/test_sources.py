@@ -17,6 +17,8 @@ def test_csv_keeps_quotes_newlines_and_nulls(spark, tmp_path):
     path = str(tmp_path / "products")
     catalog.write_product_csv(spark.createDataFrame(rows, PRODUCT), path)
     assert sorted(map(tuple, catalog.read_product_csv(spark, path).collect())) == rows
+    (tmp_path / "labels.csv").write_text(",prdtypecode\n1,10\n2,2280\n")
+    assert [tuple(r) for r in catalog.read_label_csv(spark, str(tmp_path / "labels.csv")).collect()] == [(1, 10), (2, 2280)]
 
 
 def test_columns_are_required(spark):
