@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import partial, reduce
 from itertools import product
 
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_frame
-from ..session import local_rows, persist_to_table
+from ..session import local_rows, persist_to_table, run_all
 from .classifiers import Columns, fit_evaluate_time, fit_model
 from .scaling import PopulationScaler
 from .vectorize import FeatureUnion, merged_union, split_union
@@ -50,14 +49,6 @@ CLEANING_EXPERIMENTS: list[tuple[str, str, tuple[str, ...]]] = [
     ("merges_only", "7_Combos", _MERGES),
 ]
 
-def run_all(jobs: list, parallelism: int = 1) -> list:
-    """Run independent experiments in order, or a few at a time on the same cluster."""
-    if parallelism <= 1:
-        return [job() for job in jobs]
-    with ThreadPoolExecutor(parallelism) as pool:
-        return list(pool.map(lambda job: job(), jobs))
-
-
 RESULT_SCHEMA = "experiment string, group string, f1_weighted double, accuracy double"
 
 

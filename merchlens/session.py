@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -77,6 +78,14 @@ def use_all_cores(df):
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def run_all(jobs: list, parallelism: int = 1) -> list:
+    """Run independent jobs in order, or a few at a time on the same cluster."""
+    if parallelism <= 1:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(lambda job: job(), jobs))
+
+
 def persist_to_table(df, name: str):
     """Cut the lineage by writing to the shared folder and reading back.
 
