@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .pieces import token_report
 from .sharding import shard_documents
 from .warc import archive_pages
 
@@ -43,3 +44,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(read(spark, sf_dir, "pages"))
+
+
+@query("op10_pieces")
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_report(read(spark, sf_dir, "documents"))
