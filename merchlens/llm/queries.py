@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .langid import identify
 from .pieces import token_report
 from .sharding import shard_documents
 from .warc import archive_pages
@@ -49,3 +50,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pieces")
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(read(spark, sf_dir, "documents"))
+
+
+@query("op5_language")
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"))
