@@ -10,6 +10,7 @@ from .common import read
 from .langid import identify
 from .pieces import token_report
 from .sharding import shard_documents
+from .vectors import near_vectors
 from .warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +56,23 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_language")
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op6_vectors",
+    """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+    reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b),
+    c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+    n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+    SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.component_id, e.vec_id) AS component_id,
+      coalesce(c.component_id, e.vec_id) = e.vec_id AS kept
+    FROM embeddings e LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+    """,
+)
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"))
