@@ -157,13 +157,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     revisit = F.col("newest").isNotNull() & ~F.col("newest").eqNullSafe(F.col("page_id"))
     rows = rows.withColumn("refers_to", F.when(revisit, F.col("newest")))
     rows = rows.withColumn("html", F.when(~revisit, F.col("html"))).drop("newest")
-    sample = (
-        pages.select("page_id", "url", html.alias("html"))
-        .withColumn("html", F.substring("html", 1, SAMPLE_BYTES))
-        .orderBy(F.xxhash64("page_id", "url"))
-        .limit(SAMPLE_RECORDS)
-        .collect()
-    )
+    pick = F.xxhash64("page_id", "url")
+    last = pages.select(pick.alias("h")).orderBy("h").limit(SAMPLE_RECORDS).agg(F.max("h")).first()[0]
+    chosen = pages.filter(pick <= F.lit(last)).limit(SAMPLE_RECORDS)
+    sample = chosen.select("page_id", "url", F.substring(html, 1, SAMPLE_BYTES).alias("html")).collect()
     samples = [record(r["page_id"], r["url"], bytes(r["html"]), len(r["html"]), hashlib.sha1(r["html"]).hexdigest()) for r in sample]
     manifest = rows.mapInArrow(_writer(folder, train(samples)), "file string, records long, bytes long")
     return written(manifest, "warc-manifest")
