@@ -10,6 +10,7 @@ from .common import read
 from .decontaminate import find_leaks
 from .langid import identify
 from .pieces import token_report
+from .secrets import find_secrets
 from .sharding import shard_documents
 from .vectors import near_vectors
 from .warc import archive_pages
@@ -82,3 +83,8 @@ def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_decontamination")
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op4_secrets")
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(read(spark, sf_dir, "documents"))
