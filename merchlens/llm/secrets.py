@@ -46,7 +46,7 @@ GRAM_SLOTS = 27**GRAM
 #: Words that speak for and against a secret, near it or in the path.
 ASSIGNED = re.compile(rb"(token|secret|passw(or)?d|passwd|pwd|api_?-?key|access_?-?key|auth|credential|private_?-?key|bearer)[\"']?\s*[=:]\s*[\"']?$", re.I)
 FOR_WORDS = re.compile(rb"token|secret|passw|pwd|key|auth|credential|bearer|login", re.I)
-AGAINST_WORDS = re.compile(rb"sha\d|hash|md5|commit|uuid|checksum|digest|card|phone|isbn|order|invoice|example|sample|dummy", re.I)
+AGAINST_WORDS = re.compile(rb"(?<![.@\w])(?:sha\d|hash|md5|commit|uuid|checksum|digest|card|phone|isbn|order|invoice|example|sample|dummy)", re.I)
 PATH_WORDS = re.compile(r"test|example|sample|fixture|mock|doc|vendor|lock", re.I)
 #: Formats that are secrets wherever they stand.
 FORMATS = {
