@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .decontaminate import find_leaks
 from .langid import identify
+from .minhash import near_duplicates
 from .pieces import token_report
 from .secrets import find_secrets
 from .sharding import shard_documents
@@ -88,3 +89,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_secrets")
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read(spark, sf_dir, "documents"))
+
+
+@query("op1_minhash")
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
