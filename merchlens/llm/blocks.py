@@ -169,3 +169,64 @@ def byte_rows(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.A
     out = np.ascontiguousarray(data[ragged(starts, lengths)])
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every run of ``width`` values."""
+    if len(x) < width:
+        return x[:0]
+    span = 1
+    while span * 2 <= width:
+        x = np.minimum(x[:-span], x[span:])
+        span *= 2
+    return x if span == width else np.minimum(x[: len(x) - (width - span)], x[width - span :])
+
+
+def range_keys(keys: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int = 0xC2B2AE3D27D4EB4F) -> np.ndarray:
+    """64-bit keys of the runs begin..end of ``keys``, equal for equal runs at any place."""
+    pow_, inv = powers(len(keys), base)
+    total = np.zeros(len(keys) + 1, U64)
+    np.cumsum(keys * pow_[: len(keys)], out=total[1:])
+    return mix((total[end] - total[begin]) * inv[begin] + (end - begin).astype(U64))
+
+
+@dataclass
+class Runs:
+    """Runs of windows with one anchor: first window, number of windows, anchor position, anchor and context keys."""
+
+    begin: np.ndarray
+    count: np.ndarray
+    anchor: np.ndarray
+    fingerprint: np.ndarray
+    context: np.ndarray
+
+    def pick(self, at) -> "Runs":
+        return Runs(self.begin[at], self.count[at], self.anchor[at], self.fingerprint[at], self.context[at])
+
+
+_PLACE = U64((1 << 26) - 1)
+
+
+def window_runs(keys: np.ndarray, first: np.ndarray, window: int, gram: int) -> Runs:
+    """Every run of ``window`` values within a row has an anchor: the ``gram`` of least key in it, the leftmost of equals.
+
+    The anchor depends on the window alone, so equal windows have equal anchors at equal places. Consecutive windows
+    with one anchor form a run; its context is all they cover.
+    """
+    n = len(keys)
+    empty = np.empty(0, np.int64)
+    if n < window:
+        return Runs(empty, empty, empty, np.empty(0, U64), np.empty(0, U64))
+    grams = window_keys(keys, gram)
+    place = sliding_min((grams & ~_PLACE) | np.arange(len(grams), dtype=U64), window - gram + 1) & _PLACE
+    bound = np.repeat(first[1:], np.diff(first))[: len(place)]
+    at = np.flatnonzero(np.arange(len(place)) + window <= bound)
+    if not len(at):
+        return Runs(empty, empty, empty, np.empty(0, U64), np.empty(0, U64))
+    p = place[at].astype(np.int64)
+    new = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+    begin, anchor = at[new], p[new]
+    count = np.diff(np.append(new, len(at)))
+    context = range_keys(keys, begin, begin + count + window - 1)
+    context = mix(context + count.astype(U64) * U64(0x9E6C63D0876A9A47) + (anchor - begin).astype(U64) * U64(0xE7037ED1A0B428DB))
+    return Runs(begin, count, anchor, grams[anchor], context)

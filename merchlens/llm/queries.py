@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read
 from .decontaminate import find_leaks
 from .langid import identify
 from .minhash import near_duplicates
 from .pieces import token_report
+from .repeats import remove_repeats
 from .secrets import find_secrets
 from .sharding import shard_documents
 from .vectors import near_vectors
@@ -94,3 +96,9 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_minhash")
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op2_repeats")
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeats(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
