@@ -15,6 +15,7 @@ from .pieces import token_report
 from .repeats import remove_repeats
 from .secrets import find_secrets
 from .sharding import shard_documents
+from .suffixes import remove_repeated_bytes
 from .vectors import near_vectors
 from .warc import archive_pages
 
@@ -102,3 +103,9 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove_repeats(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_suffixes")
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeated_bytes(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
