@@ -12,7 +12,6 @@ import heapq
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import local_rows
@@ -40,10 +39,10 @@ def lpt_shards(df: DataFrame, key: Column, size: Column, shards: int) -> DataFra
     ``key`` is any value (null is a key like others), ``size`` a non-negative long (null counts as 0). Slots number the
     rows of a shard by part and then by all columns; a part is a job, or a share of one where a job has many rows, so no
     task numbers more than about ``1 / BUNDLES`` of all rows. Equal rows get different slots in any order. Empty input
-    gives an empty result.
+    gives an empty result. Columns must be orderable (no maps).
     """
-    rest = df.columns
-    rows = df.withColumn("_key", F.coalesce(F.sha2(key.cast("binary"), 256), F.lit(""))).withColumn("_size", F.coalesce(size, F.lit(0)))
+    name = F.coalesce(F.sha2(key.cast("binary"), 256), F.lit(""))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), name.alias("_key"), F.coalesce(size, F.lit(0)).alias("_size"))
     rows = written(rows, "lpt-rows")
     groups = written(rows.groupBy("_key").agg(F.sum("_size").alias("bytes"), F.count("*").alias("rows")), "lpt-groups")
     total, n_rows = groups.agg(F.sum("bytes"), F.sum("rows")).first()
@@ -64,18 +63,14 @@ def lpt_shards(df: DataFrame, key: Column, size: Column, shards: int) -> DataFra
         rows.join(F.broadcast(names), "_key", "left")
         .withColumn("job", F.coalesce("_own", bundle))
         .join(F.broadcast(plan), "job")
-        .withColumn("_part", F.pmod(F.xxhash64(*_hashable(df), F.lit(7)), F.col("_parts")))
+        .withColumn("_part", F.pmod(F.xxhash64("_row", F.lit(7)), F.col("_parts")))
     )
     counts = placed_rows.groupBy("_shard", "job", "_part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("_shard").orderBy("job", "_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    at = F.row_number().over(Window.partitionBy("job", "_part").orderBy(*_hashable(df)))
+    at = F.row_number().over(Window.partitionBy("job", "_part").orderBy("_row"))
     numbered = placed_rows.withColumn("_at", at).join(F.broadcast(counts), ["_shard", "job", "_part"])
-    return numbered.select(*[F.col(f"`{c}`") for c in rest], "_shard", (F.col("_before") + F.col("_at") - 1).cast("long").alias("_slot"))
-
-
-def _hashable(df: DataFrame) -> list[Column]:
-    return [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return numbered.select("_row.*", "_shard", (F.col("_before") + F.col("_at") - 1).cast("long").alias("_slot"))
 
 
 def shard_documents(documents: DataFrame, shards: int = 40) -> DataFrame:
