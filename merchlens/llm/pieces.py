@@ -3,11 +3,17 @@
 The pieces and scores come from a model file, read once on the driver and broadcast (a vocabulary is some megabytes).
 A text is cut where no piece can cross (before a space mark, around characters that no piece holds). Distinct words of
 a block are encoded once: words of equal length advance together, hashes of their substrings probe the sorted piece
-keys, and the best score of each end position leaves a back pointer. Characters outside the vocabulary become bytes.
+keys, and the best option of each end position leaves a back pointer. Characters outside the vocabulary become bytes.
+
+Scores of a unigram model are log probabilities and add up along a path. Scores of a merge (BPE) model are ranks, whose
+sum means nothing; there a step from one piece to the next counts if merging their joint text gives just these two
+pieces. One such step leads to every position, so the search gives the ids that merging gives.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,8 +27,9 @@ from .blocks import U64, blocks, mix, powers, ragged
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 19
 CELLS = 1 << 21
+PAIRS = 1 << 20
 _BASE = 0xA24BAED4963EE407
 
 
@@ -60,10 +67,72 @@ class Pieces:
         self.chars = np.zeros(0x110000, bool)
         self.chars[sorted({ord(c) for p in names for c in p})] = True
         self.low = float(min(s for s in scores if s > -1e8)) - UNKNOWN_PENALTY
+        self.pair_key = self.pair_ok = None
+        self.merges = all(float(x).is_integer() for x in scores)
+        if self.merges:
+            self._learn_merges([names[i] for i in order])
         self.spell_len = np.array([len(s) for s in spelled], np.int64)
         self.spell_at = np.concatenate([[0], np.cumsum(self.spell_len)[:-1]])
         self.spell = np.frombuffer(b"".join(spelled), np.uint8)
 
+    def _learn_merges(self, names: list[str]) -> None:
+        """For every piece: the time it is formed at, the parts of its last merge, and whether merging forms it at all."""
+        rank = np.unique(-self.scores, return_inverse=True)[1]
+        self.rank = {p: int(r) for p, r in zip(names, rank, strict=True)}
+        at = {p: i for i, p in enumerate(names)}
+        n = len(names)
+        self.time, self.part = np.full(n, -1, np.int64), np.repeat(np.arange(n)[:, None], 2, axis=1)
+        self.size = np.array([len(p) for p in names])
+        pow_, _ = powers(self.longest, _BASE)
+        self.raw = np.array([sum(ord(c) * int(pow_[i]) for i, c in enumerate(p)) & (1 << 64) - 1 for p in names], U64)
+        self.order = rank.astype(np.int64)
+        self.formed = np.zeros(n, bool)
+        for p in sorted(names, key=len):
+            i = at[p]
+            if len(p) == 1:
+                self.formed[i] = True
+                continue
+            last = merge_pieces(self.rank, p, stop_before_last=True)
+            if len(last) == 2:
+                left, right = at[last[0]], at[last[1]]
+                self.formed[i], self.part[i] = True, (left, right)
+                self.time[i] = max(int(rank[i]), self.time[left], self.time[right])
+
+    def follows(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """:meth:`_follows` with a memory of recent pairs, one for each slot of a fixed table."""
+        if self.pair_key is None:
+            self.pair_key, self.pair_ok = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
+        pair = left * len(self.keys) + right
+        slot = ((pair.view(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - PAIRS.bit_length() + 1)).astype(np.int64)
+        new = np.flatnonzero(self.pair_key[slot] != pair)
+        out = self.pair_ok[slot]
+        if len(new):
+            out[new] = self._follows(left[new], right[new])
+            self.pair_key[slot[new]], self.pair_ok[slot[new]] = pair[new], out[new]
+        return out
+
+    def _follows(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether merging the joint text of two pieces gives these pieces: going back in time through the last merges
+        of either, no merge across the border may come earlier than the one undone (or as early, further left)."""
+        out = np.ones(len(left), bool)
+        alive = np.arange(len(left))
+        left, right = left.copy(), right.copy()
+        limit = np.full(len(left), np.iinfo(np.int64).max)
+        pow_, _ = powers(self.longest, _BASE)
+        while len(alive):
+            a, b = left[alive], right[alive]
+            joint = self.find(mix(self.raw[a] + self.raw[b] * pow_[self.size[a]] + (self.size[a] + self.size[b]).astype(U64)))
+            crossed = (joint >= 0) & (self.order[joint] < limit[alive])
+            out[alive[crossed]] = False
+            alive, a, b = alive[~crossed], a[~crossed], b[~crossed]
+            later = self.time[a] > self.time[b]
+            base = np.maximum(self.time[a], self.time[b]) < 0
+            limit[alive] = np.where(later, self.time[a], self.time[b] + 1)
+            left[alive] = np.where(later, self.part[a, 1], a)
+            right[alive] = np.where(later, b, self.part[b, 0])
+            alive = alive[~base]
+        return out
+
     def find(self, key: np.ndarray) -> np.ndarray:
         """Rank of each key among the piece keys, or -1."""
         out = np.full(key.shape, -1, np.int64)
@@ -80,10 +149,41 @@ def _key(chars: np.ndarray) -> U64:
     return mix(np.array([(chars * pow_[: len(chars)]).sum(dtype=U64)], U64) + U64(len(chars)))[0]
 
 
+def merge_pieces(rank: dict[str, int], text: str, stop_before_last: bool = False) -> list[str]:
+    """Pieces that merging leaves of a text: always the neighbours of best rank, the leftmost of equals."""
+    parts: list[str | None] = list(text)
+    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+    heap = []
+
+    def offer(i):
+        j = after[i]
+        if j < len(parts) and (r := rank.get(parts[i] + parts[j])) is not None:
+            heapq.heappush(heap, (r, i, j, len(parts[i]) + len(parts[j])))
+
+    for i in range(len(parts) - 1):
+        offer(i)
+    left = len(parts)
+    while heap and not (stop_before_last and left == 2):
+        _, i, j, size = heapq.heappop(heap)
+        if parts[i] is None or parts[j] is None or after[i] != j or len(parts[i]) + len(parts[j]) != size:
+            continue
+        parts[i] += parts[j]
+        parts[j] = None
+        left -= 1
+        after[i] = after[j]
+        if after[j] < len(parts):
+            before[after[j]] = i
+        if before[i] >= 0:
+            offer(before[i])
+        offer(i)
+    return [p for p in parts if p is not None]
+
+
 def viterbi(pieces: Pieces, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best segmentation of the rows of ``words`` (n x length code points): (ids, ids per word).
+    """Segmentation of the rows of ``words`` (n x length code points): (ids, ids per word).
 
-    Ties go to the longer last piece. A character no piece covers counts as unknown and becomes its UTF-8 bytes.
+    Ties go to the longer last piece. A character no piece covers counts as unknown and becomes its UTF-8 bytes. Merge
+    models: runs of space marks, whose pieces have equal ranks, and words without a path are merged step by step.
     """
     n, length = words.shape
     pow_, inv = powers(length, _BASE)
@@ -107,11 +207,17 @@ def viterbi(pieces: Pieces, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         alone = score[:, :, -1]
         alone[alone == -np.inf] = pieces.low
         for k, end in enumerate(ends):
-            options = best[:, starts[k]] + score[:, k]
+            options = _steps(pieces, rank, starts[k], found[:, k], sizes) if pieces.merges else best[:, starts[k]] + score[:, k]
             pick = options.argmax(axis=1)
             best[:, end] = options[np.arange(n), pick]
             back[:, end] = sizes[pick]
             rank[:, end] = found[np.arange(n), k, pick]
+    odd = np.flatnonzero(~np.isfinite(best[:, length]) | (words[:, :2] == MARK).all(1)) if pieces.merges and length > 1 else []
+    for i in odd:
+        end = 0
+        for p in merge_pieces(pieces.rank, "".join(map(chr, words[i]))):
+            end += len(p)
+            back[i, end], rank[i, end] = len(p), pieces.find(np.array([_key(words[i, end - len(p) : end])], U64))[0]
     # walk back from the ends of all words together
     at, rows, steps = np.full(n, length), np.arange(n), []
     while len(rows):
@@ -127,6 +233,20 @@ def viterbi(pieces: Pieces, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.int32), np.bincount(row, minlength=n)
 
 
+def _steps(pieces: Pieces, rank: np.ndarray, starts: np.ndarray, found: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(words x sizes) 0 where the piece of that size may end the prefix, after the piece its start was reached by."""
+    out = np.full(found.shape, -np.inf)
+    flat = np.flatnonzero(found >= 0)
+    row, k = np.divmod(flat, found.shape[1])
+    piece, start = found.ravel()[flat], starts[k]
+    before = rank[row, start]
+    ok = (start == 0) & pieces.formed[piece]
+    inner = np.flatnonzero((before >= 0) & (start > 0) & pieces.formed[piece])
+    ok[inner] = pieces.follows(before[inner], piece[inner])
+    out.ravel()[flat[ok]] = 0.0
+    return out
+
+
 def _with_bytes(pieces: Pieces, words, row, end, ids):
     out, count = [], np.zeros(len(words), np.int64)
     for r, e, i in zip(row, end, ids, strict=True):
