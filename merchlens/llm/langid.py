@@ -43,9 +43,9 @@ def gram_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     n_rows = len(offsets) - 1
     chars = _folded()[np.frombuffer(bytes(data).decode().encode("utf-32-le"), np.uint32)]
     rows = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-    # a space between rows, so that words end with their row
-    chars = np.insert(chars, rows, 0x20)
-    rows = rows + np.arange(n_rows + 1)
+    # two spaces between rows, the end of one and the begin of the next, so that no n-gram reaches into another row
+    chars = np.insert(chars, np.repeat(rows, 2), 0x20)
+    rows = rows + 2 * np.arange(n_rows + 1) + 1
     row = np.repeat(np.arange(n_rows, dtype=np.int64) * DIMENSIONS, np.diff(rows))
     chars = chars[rows[0] : rows[-1]]
     letters = chars != 0x20
