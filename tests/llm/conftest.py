@@ -1,14 +1,5 @@
-import random
-
 import pytest
-
-WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
-
-
-def prose(seed: int, n: int) -> str:
-    """Repeatable text of ``n`` words, hardly any two texts sharing five in a row."""
-    rng = random.Random(seed)
-    return " ".join(rng.choice(WORDS) + str(rng.randrange(1000)) for _ in range(n))
+from samples import prose
 
 
 @pytest.fixture(scope="session")
