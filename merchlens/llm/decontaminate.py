@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,19 @@ RANK = 256
 OVERSAMPLE = 8
 #: Items handled in one pass over the corpus; a longer benchmark takes more passes.
 ITEMS = 1024
-SIMILARITY = 0.3
+SIMILARITY = 0.4
+#: Items over ``LONG`` words are looked for by parts of ``PART`` words, half overlapping, so that a passage inside a long
+#: item still comes near to one of its parts.
+LONG = 60
+PART = 40
+#: Words in a larger share of the half passages are no features (function words).
+COMMON = 0.05
 #: Share of an item's words, in order, that make a copy; and, with its answer present, a paraphrase.
 COPY = 0.75
 PARAPHRASE = 0.55
 ANSWER = 0.9
+#: Share of a passage's words (or of a shorter item's) that must follow the item's order for a closer look.
+PRESENT = 0.4
 MIN_WORDS = 5
 #: Answers are the last sentence, or so many last words of an item if that is shorter.
 ANSWER_WORDS = 4
@@ -57,6 +66,7 @@ class Items:
     basis: np.ndarray
     latent: np.ndarray
     norm: np.ndarray
+    owner: np.ndarray
 
     def __post_init__(self):
         self.masks = [_masks(w) for w in self.words]
@@ -163,21 +173,31 @@ def _gram_times(passages: DataFrame, thin: np.ndarray) -> np.ndarray:
     return out
 
 
+def inverse_frequency(df: np.ndarray, n: int) -> np.ndarray:
+    """Log odds against a half passage having the word; words in more than ``COMMON`` of them weigh nothing."""
+    df = np.minimum(df, n)
+    odds = np.log((n - df + 0.5) / (df + 0.5))
+    return np.where(df > COMMON * n, 0, np.maximum(odds, 0)).astype(np.float32)
+
+
 def fit_items(rows: list[tuple[int, str]], df: np.ndarray, n: int, spark) -> Items | None:
     """Latent space of benchmark items (id, text); items of fewer than five words are left out."""
     kept = [(i, t, k) for i, t, k in ((i, t, keys_of(t)) for i, t in rows) if len(k) >= MIN_WORDS]
     if not kept:
         return None
-    idf = np.log1p(n / np.maximum(df, 1)).astype(np.float32)
+    idf = inverse_frequency(df, n)
     used = np.unique(np.concatenate([features(k) for _, _, k in kept]))
     local = np.full(1 << FEATURE_BITS, -1, np.int32)
     local[used] = np.arange(len(used))
-    sparse = []
-    for _, _, k in kept:
-        at, tf = np.unique(local[features(k)], return_counts=True)
-        sparse.append((at.tolist(), (tf * idf[used[at]]).astype(float).tolist()))
+    sparse, owner = [], []
+    for i, (_, _, k) in enumerate(kept):
+        parts = [k] if len(k) <= LONG else [k[j : j + PART] for j in range(0, len(k) - PART // 2, PART // 2)]
+        for part in parts:
+            at, tf = np.unique(local[features(part)], return_counts=True)
+            sparse.append((at.tolist(), (tf * idf[used[at]]).astype(float).tolist()))
+            owner.append(i)
     passages = spark.createDataFrame(sparse, "at array<int>, value array<double>")
-    basis = latent_space(passages, len(used), min(RANK, len(kept)))
+    basis = latent_space(passages, len(used), min(RANK, len(sparse)))
     latent = np.stack([np.asarray(v) @ basis[a] for a, v in sparse])
     norm = np.array([np.linalg.norm(v) for _, v in sparse])
     answers = []
@@ -186,7 +206,7 @@ def fit_items(rows: list[tuple[int, str]], df: np.ndarray, n: int, spark) -> Ite
         answers.append((a if len(a) >= ANSWER_WORDS else k[-ANSWER_WORDS:]).tolist())
     return Items(
         [i for i, _, _ in kept], [k.tolist() for _, _, k in kept], answers, idf, local,
-        basis.astype(np.float32), latent.astype(np.float32), norm.astype(np.float32),
+        basis.astype(np.float32), latent.astype(np.float32), norm.astype(np.float32), np.array(owner),
     )
 
 
@@ -212,22 +232,23 @@ def near_passages(words, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarr
     pick = np.flatnonzero(part >= SIMILARITY**2 * full)
     out = []
     ends = np.append(begins[1:], len(words.key))
-    for low in range(0, len(pick), 4096):
-        p = pick[low : low + 4096]
-        last = np.where(next_same[p], ends[np.minimum(p + 1, len(ends) - 1)], ends[p])
-        size = last - begins[p]
-        at = ragged(begins[p], size)
-        owner = np.repeat(np.arange(len(p)), size)
+    for low in range(0, len(pick), 1024):
+        p = pick[low : low + 1024]
+        # every half passage is folded in once; sums of running totals give the halves, two halves a passage
+        halves, place = np.unique(np.concatenate([p, p[next_same[p]] + 1]), return_inverse=True)
+        at = ragged(begins[halves], ends[halves] - begins[halves])
+        bounds = np.concatenate([[0], np.cumsum(ends[halves] - begins[halves])])
         inside = local[at] >= 0
-        at, owner = at[inside], owner[inside]
-        if not len(at):
-            continue
-        cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        folded = np.add.reduceat(items.basis[local[at]] * weight[at][:, None], cuts)
-        who = p[owner[cuts]]
-        cosine = (folded @ items.latent.T) / (np.sqrt(full[who])[:, None] * items.norm[None, :])
+        bounds = np.concatenate([[0], np.cumsum(inside)])[bounds]
+        at = at[inside]
+        total = np.zeros((len(at) + 1, items.basis.shape[1]), np.float32)
+        np.cumsum(items.basis[local[at]] * weight[at][:, None], axis=0, out=total[1:])
+        half = total[bounds[1:]] - total[bounds[:-1]]
+        folded = half[place[: len(p)]]
+        folded[next_same[p]] += half[place[len(p) :]]
+        cosine = (folded @ items.latent.T) / (np.sqrt(np.maximum(full[p], 1e-9))[:, None] * items.norm[None, :])
         a, b = np.nonzero(cosine >= SIMILARITY)
-        out.append((begins[who[a]], b, cosine[a, b]))
+        out.append((begins[p[a]], items.owner[b], cosine[a, b]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else none
 
 
@@ -238,11 +259,14 @@ def leaks_of_block(words, items: Items) -> list[tuple[int, int, float, float, bo
     best: dict[tuple[int, int], tuple[float, float, bool]] = {}
     for s, i, r, c in zip(start.tolist(), item.tolist(), row.tolist(), cosine.tolist(), strict=True):
         known = best.get((r, i), (0.0, 0.0, False))
-        if known[1] == 1.0:
+        if known[1] >= COPY and known[2]:
             best[r, i] = (max(known[0], c), *known[1:])
             continue
-        n = len(items.words[i])
-        low, high = max(int(words.first[r]), s - n), min(int(words.first[r + 1]), s + PASSAGE + n)
+        n, stop = len(items.words[i]), int(words.first[r + 1])
+        passage = words.key[s : min(s + PASSAGE, stop)].tolist()
+        if common_subsequence(items.masks[i], n, passage) < PRESENT * min(PASSAGE, n):
+            continue
+        low, high = max(int(words.first[r]), s - n), min(stop, s + PASSAGE + n)
         region = words.key[low:high].tolist()
         share = common_subsequence(items.masks[i], n, region) / n
         found = False
@@ -264,38 +288,60 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     schema = "doc_id long, item_id long, similarity double, share double, answer_found boolean"
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
-    df, n = word_frequencies(texts.select("text"))
-    out = spark.createDataFrame([], schema)
-    chunk: list[tuple[int, str]] = []
-    for r in items.orderBy("item_id", "text").toLocalIterator():
-        chunk.append((r["item_id"], r["text"]))
-        if len(chunk) == ITEMS:
-            out, chunk = out.unionByName(_search(texts, fit_items(chunk, df, n, spark), schema)), []
-    return out.unionByName(_search(texts, fit_items(chunk, df, n, spark), schema)) if chunk else out
+    out = texts.sparkSession.createDataFrame([], schema)
+    for items in _item_blocks(texts, benchmark):
+        shared = texts.sparkSession.sparkContext.broadcast(items)
+        out = out.unionByName(texts.mapInArrow(_reported(shared), schema))
+    return out
 
 
-def _search(texts: DataFrame, items: Items | None, schema: str) -> DataFrame:
-    if items is None:
-        return texts.sparkSession.createDataFrame([], schema)
-    shared = texts.sparkSession.sparkContext.broadcast(items)
+def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``documents`` less the rows that contain a benchmark item, as :func:`find_leaks` finds them; all columns stay."""
+    for items in _item_blocks(documents.select(F.col("text").cast("string").alias("text")), benchmark):
+        shared = documents.sparkSession.sparkContext.broadcast(items)
+        documents = documents.mapInArrow(_filtered(shared), documents.schema)
+    return documents
 
+
+def _item_blocks(texts: DataFrame, benchmark: DataFrame):
+    """Latent spaces of up to ``ITEMS`` benchmark items each."""
+    spark = texts.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    df, n = word_frequencies(texts.select("text"))
+    rows = items.filter("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator()
+    while chunk := [(r["item_id"], r["text"]) for r in islice(rows, ITEMS)]:
+        found = fit_items(chunk, df, n, spark)
+        if found is not None:
+            yield found
+
+
+def _reported(shared):
     def run(batches):
-        m = shared.value
         for batch in batches:
             ids = batch.column("doc_id")
             for low, _, data, offsets in blocks(batch.column("text")):
-                found = leaks_of_block(split_words(data, offsets, BARE_WORDS), m)
+                found = leaks_of_block(split_words(data, offsets, BARE_WORDS), shared.value)
                 if found:
                     rows, item, cosine, share, answer = zip(*found, strict=True)
                     yield pa.RecordBatch.from_pydict(
                         {
                             "doc_id": ids.take(pa.array(np.array(rows) + low)),
-                            "item_id": pa.array([m.ids[i] for i in item], pa.int64()),
+                            "item_id": pa.array([shared.value.ids[i] for i in item], pa.int64()),
                             "similarity": pa.array(cosine, pa.float64()),
                             "share": pa.array(share, pa.float64()),
                             "answer_found": pa.array(answer, pa.bool_()),
                         }
                     )
 
-    return texts.mapInArrow(run, schema)
+    return run
+
+
+def _filtered(shared):
+    def run(batches):
+        for batch in batches:
+            for low, high, data, offsets in blocks(batch.column("text")):
+                keep = np.ones(high - low, bool)
+                keep[[row for row, *_ in leaks_of_block(split_words(data, offsets, BARE_WORDS), shared.value)]] = False
+                yield batch.slice(low, high - low).filter(pa.array(keep))
+
+    return run
