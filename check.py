@@ -15,7 +15,7 @@ import traceback
 import duckdb
 
 from merchlens.plans import registry
-from merchlens.session import build_session
+from merchlens.session import build_session, scratch_scope
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -81,7 +81,8 @@ def main():
     bad = []
     for name in names:
         try:
-            message, took, good = compare(name, spark, con, args.sf)
+            with scratch_scope(spark):
+                message, took, good = compare(name, spark, con, args.sf)
         except Exception as error:  # report and go on with the next query
             message, took, good = f"ERROR {type(error).__name__}: {str(error)[:900]}", 0.0, False
             if "-v" in sys.argv:

@@ -85,20 +85,16 @@ UNIT_FACTORS: dict[str, float] = {
 }
 
 
-def unit_spellings() -> dict[str, str]:
-    """Written-out unit -> unit symbol, generated from stem, accent and plural."""
-    out: dict[str, str] = {}
-    for stem, symbol in (("m", "m"), ("centim", "cm"), ("millim", "mm")):
-        for accent in "eèé":
-            for plural in ("", "s"):
-                out[f"{stem}{accent}tre{plural}"] = symbol
-    for stem, symbol in (
-        ("gramme", "g"), ("kilo", "kg"), ("kilogramme", "kg"), ("tonne", "tonne"),
-        ("litre", "l"), ("centilitre", "cl"), ("millilitre", "ml"), ("an", "ans"),
-    ):
-        for plural in ("", "s"):
-            out[stem + plural] = symbol
-    return out
+# --- Fixed values: written-out units ---------------------------------------------------------
+UNIT_SPELLINGS: dict[str, str] = {
+    "metre": "m", "metres": "m", "mètre": "m", "mètres": "m", "métre": "m", "métres": "m",
+    "centimetre": "cm", "centimetres": "cm", "centimètre": "cm", "centimètres": "cm", "centimétre": "cm", "centimétres": "cm",
+    "millimetre": "mm", "millimetres": "mm", "millimètre": "mm", "millimètres": "mm", "millimétre": "mm", "millimétres": "mm",
+    "gramme": "g", "grammes": "g", "kilo": "kg", "kilos": "kg", "kilogramme": "kg", "kilogrammes": "kg",
+    "tonne": "tonne", "tonnes": "tonne",
+    "litre": "l", "litres": "l", "centilitre": "cl", "centilitres": "cl", "millilitre": "ml", "millilitres": "ml",
+    "an": "ans", "ans": "ans",
+}
 
 
 # --- Fixed values: keywords per category ----------------------------------------------------

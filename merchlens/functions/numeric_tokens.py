@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..dims import BUCKETS, UNIT_FACTORS, unit_spellings
+from ..dims import BUCKETS, UNIT_FACTORS, UNIT_SPELLINGS
 from ..session import local_rows
 from .ngrams import let
 from .text_merge import blank
@@ -92,7 +93,7 @@ def _map_literal(entries: dict[str, object], kind: str) -> Column:
 def unit_symbol(unit: Column) -> Column:
     """Lower-cased unit with written-out spellings mapped to their symbol."""
     return let(
-        F.lower(unit), lambda u: F.coalesce(F.try_element_at(_map_literal(unit_spellings(), "string"), u), u)
+        F.lower(unit), lambda u: F.coalesce(F.try_element_at(_map_literal(UNIT_SPELLINGS, "string"), u), u)
     )
 
 
@@ -145,15 +146,20 @@ def _pieces(text: str, m: Measure) -> str:
     return f"split(regexp_replace({text}, {_quoted(m.regex)}, '{marked}'), '{MARK}', -1)"
 
 
+# The patterns take decimal digits of every script; these are the ones besides ASCII and their values.
+DIGITS = "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.decimal(c, None) is not None)
+VALUES = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
+
+
 def _numbers(m: Measure) -> list[str]:
-    return [f"try_cast(translate(g[{i}], ',', '.') AS DOUBLE)" for i in range(len(m.values))]
+    return [f"try_cast(translate(g[{i}], {_quoted(',' + DIGITS)}, {_quoted('.' + VALUES)}) AS DOUBLE)" for i in range(len(m.values))]
 
 
 def _base_numbers(m: Measure) -> list[str]:
     """Numbers of one match in base units; null where an optional group is empty."""
     if not _has_unit(m):
         return _numbers(m)
-    factors = {s: UNIT_FACTORS[u] for s, u in unit_spellings().items()} | UNIT_FACTORS
+    factors = {s: UNIT_FACTORS[u] for s, u in UNIT_SPELLINGS.items()} | UNIT_FACTORS
     known = {s: f for s, f in factors.items() if re.search(m.core + r"\Z", "1 x 1 x 1 " + s)}
     if not known:
         return _numbers(m)
@@ -197,7 +203,7 @@ def _measured(m: Measure) -> str:
         rows = [(" * ".join(raw), " * ".join(base))]
     unit = "CAST(NULL AS STRING)"
     if _has_unit(m):
-        symbols = f"from_json({_quoted(json.dumps(unit_spellings()))}, 'map<string,string>')"
+        symbols = f"from_json({_quoted(json.dumps(UNIT_SPELLINGS))}, 'map<string,string>')"
         low = f"lower(g[{len(m.values)}])"
         unit = f"coalesce(try_element_at({symbols}, {low}), {low})"
     cells = [

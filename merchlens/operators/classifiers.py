@@ -39,10 +39,14 @@ def _common(c: Columns) -> dict:
     return {"featuresCol": c.features, "labelCol": c.label} | ({"weightCol": c.weight} if c.weight else {})
 
 
+# Fixed value: stopping tolerance of the linear solvers
+TOLERANCE = 1e-4
+
+
 def logistic_regression(df: DataFrame, cols: Columns = Columns(), C: float = 1.0, max_iter: int = 1000, n: int | None = None):
     n = df.count() if n is None else n
     return LogisticRegression(
-        **_common(cols), family="multinomial", regParam=1.0 / (C * n), standardization=False, maxIter=max_iter
+        **_common(cols), family="multinomial", regParam=1.0 / (C * n), standardization=False, maxIter=max_iter, tol=TOLERANCE
     ).fit(df)
 
 
@@ -61,7 +65,7 @@ def linear_svm(
     if C is not None:
         n = df.count() if n is None else n
         alpha = 1.0 / (C * n)
-    svc = LinearSVC(regParam=alpha, standardization=False, maxIter=max_iter)
+    svc = LinearSVC(regParam=alpha, standardization=False, maxIter=max_iter, tol=TOLERANCE)
     return _ovr(svc, cols, parallelism).fit(df)
 
 

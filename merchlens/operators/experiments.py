@@ -77,21 +77,29 @@ def run_union(
     return fit_evaluate_time(fit, transform, train, val, y)
 
 
+MERGED = "_all_text"
+
+
 def run_vectorizer_experiment(
     train: DataFrame, val: DataFrame, kind: str = "tfidf", strategy: str = "split",
     text_columns: tuple[str, ...] = ("title_clean", "desc_clean"), feature_columns: list[str] | None = None,
     max_features: int = 10_000, ngram_range: tuple[int, int] = (1, 2), model: str = "logreg",
     title_weight: float = 1.0, **params,
 ) -> dict:
-    """One experiment record: scores, times and its configuration."""
+    """One experiment record: scores, times and its configuration.
+
+    Strategy ``split`` gives title and description a block each; any other strategy joins all text columns by a space
+    into one block.
+    """
     common = {"kind": kind, "max_features": max_features, "ngram_range": ngram_range}
-    if strategy == "split":
-        if len(text_columns) < 2:
-            raise ValueError("the split strategy needs two text columns")
-        union = split_union(*text_columns[:2], feature_columns, title_weight, **common)
+    if strategy != "split":
+        whole = F.concat_ws(" ", *text_columns)
+        train, val = (df.withColumn(MERGED, whole) for df in (train, val))
+        union = merged_union(MERGED, feature_columns, **common)
+    elif len(text_columns) == 2:
+        union = split_union(*text_columns, feature_columns, title_weight, **common)
     else:
-        merged = text_columns[0] if len(text_columns) == 1 else "text_merged"
-        union = merged_union(merged, feature_columns, **common)
+        raise ValueError("the split strategy needs two text columns")
     result = run_union(train, val, union, model, **params)
     return {
         "vectorizer": kind, "strategy": strategy, "max_features": max_features, "ngram_range": str(ngram_range),
@@ -222,8 +230,7 @@ def cleaning_ablation(
 
 def with_baseline_delta(results: DataFrame, baseline: str = BASELINE) -> DataFrame:
     """Absolute and relative F1 gain over the baseline row (0 when there is no baseline score)."""
-    everything = Window.partitionBy()
-    base = F.max(F.when(F.col("experiment") == baseline, F.col("f1_weighted"))).over(everything)
+    base = F.lit(results.filter(F.col("experiment") == baseline).agg(F.max("f1_weighted")).first()[0]).cast("double")
     delta = F.when(F.coalesce(base, F.lit(0.0)) == 0, F.lit(0.0)).otherwise(F.col("f1_weighted") - base)
     pct = F.when(F.coalesce(base, F.lit(0.0)) == 0, F.lit(0.0)).otherwise(delta / base * 100)
     return results.withColumns({"delta_f1": delta, "delta_pct": pct})
@@ -265,6 +272,7 @@ def statistics_by(results: DataFrame, column: str, score: str = "f1_score") -> D
     ).orderBy(F.desc("mean"), column)
 
 
+# Fixed names of the configuration columns
 TRACKED = ("vectorizer", "max_features", "ngram_range", "title_weight", "use_features", "strategy", "model")
 
 

@@ -58,7 +58,11 @@ def unknown_categories(df: DataFrame, code: str = "prdtypecode") -> DataFrame:
 
 
 def group_summary(df: DataFrame, code: str = "prdtypecode") -> DataFrame:
-    """Per category group: rows, distinct categories seen, and the sorted code list."""
+    """Per category group: rows, distinct categories seen, and the sorted list of known codes.
+
+    Codes without a category form the null group; they may be many, so they are counted but not listed.
+    """
+    known = F.when(F.col("group_name").isNotNull(), F.col(code))
     counts = df.groupBy(code).agg(F.count(F.lit(1)).alias("rows"))
     return (
         with_category_group(counts, code, "group_name")
@@ -66,7 +70,7 @@ def group_summary(df: DataFrame, code: str = "prdtypecode") -> DataFrame:
         .agg(
             F.sum("rows").alias("rows"),
             F.count(F.lit(1)).alias("categories"),
-            F.array_join(F.array_sort(F.collect_list(F.col(code))).cast("array<string>"), ",").alias("codes"),
+            F.array_join(F.array_sort(F.collect_list(known)).cast("array<string>"), ",").alias("codes"),
         )
     )
 

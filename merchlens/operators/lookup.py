@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_BYTES = 64 << 20
 SALTS = 64
 
 
@@ -20,13 +21,13 @@ def lookup_join(
     """Join a large table to an aggregate that is expected to be small.
 
     At most ``max_rows + 1`` rows of the small side are fetched. If they are all of
-    it, they are broadcast; otherwise both sides are shuffled with a salt, so that a
+    it and take at most ``MAX_BROADCAST_BYTES``, they are broadcast; otherwise both sides are shuffled with a salt, so that a
     key holding a large share of the big side is spread over ``salts`` tasks.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError("only joins that keep the big side's rows can be salted")
     head = small.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
+    if head.num_rows <= max_rows and head.nbytes <= MAX_BROADCAST_BYTES:
         local = big.sparkSession.createDataFrame(head, schema=small.schema)
         return big.join(F.broadcast(local), on, how)
     return salted_join(big, small, on, how, salts)

@@ -88,7 +88,7 @@ def unknown_categories(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "category_group_summary",
     f"""WITH {CODED}, {CATEGORY} SELECT group_name, count(*) AS rows, count(DISTINCT prdtypecode) AS categories,
-    array_to_string(list_sort(list(DISTINCT prdtypecode)), ',') AS codes
+    coalesce(array_to_string(list_sort(list(DISTINCT prdtypecode) FILTER (group_name IS NOT NULL)), ','), '') AS codes
     FROM coded LEFT JOIN category ON prdtypecode = code GROUP BY ALL""",
 )
 def category_group_summary(spark: SparkSession, sf: str) -> DataFrame:

@@ -24,11 +24,11 @@ def with_language_index(df: DataFrame) -> DataFrame:
     return df.withColumn("y", F.array_position(F.array(*[F.lit(x) for x in LANGS]), F.col("lang")).cast("double") - 1)
 
 
-def vectorized_documents(spark: SparkSession, sf: str, kind: str = "tfidf", max_features: int = 500) -> DataFrame:
+def vectorized_documents(spark: SparkSession, sf: str, kind: str = "tfidf", max_features: int = MAX_WORDS) -> DataFrame:
     """TF-IDF vectors with a class and a 70 % training flag; written once because every solver iterates."""
     rows = products(spark, sf).withColumn("text", raw_text(F.col("designation"), F.col("description")))
     rows = with_language_index(stratified_flag(rows, "lang", "idx", 0.7, out="is_train"))
-    fitted = Vectorizer(kind=kind, ngram_range=(1, 1), max_features=max_features).fit(rows.filter("is_train"), "text")
+    fitted = Vectorizer(kind=kind, ngram_range=(1, 2), max_features=max_features).fit(rows.filter("is_train"), "text")
     return persist_to_table(fitted.transform(rows, "text", "features").select("idx", "lang", "is_train", "y", "features"), "vectors")
 
 
@@ -53,7 +53,7 @@ def logistic_regression(spark: SparkSession, sf: str) -> DataFrame:
 @query("linear_svm")
 def linear_svm(spark: SparkSession, sf: str) -> DataFrame:
     rows = vectorized_documents(spark, sf)
-    return _predicted(C.linear_svm(rows.filter("is_train"), C=0.2, max_iter=50).transform(rows))
+    return _predicted(C.linear_svm(rows.filter("is_train"), C=0.2, max_iter=1000).transform(rows))
 
 
 @query("ridge_classifier")
@@ -71,7 +71,7 @@ def complement_naive_bayes(spark: SparkSession, sf: str) -> DataFrame:
 @query("random_forest")
 def random_forest(spark: SparkSession, sf: str) -> DataFrame:
     rows = embedding_rows(spark, sf)
-    return _predicted(C.random_forest(rows.filter("is_train"), trees=100, max_depth=12).transform(rows))
+    return _predicted(C.random_forest(rows.filter("is_train"), trees=100, max_depth=30).transform(rows))
 
 
 @query("boosted_trees")
@@ -86,7 +86,7 @@ def sigmoid_calibration(spark: SparkSession, sf: str) -> DataFrame:
     rows = vectorized_documents(spark, sf)
 
     def fit_margins(train: DataFrame):
-        return C.linear_margins(C.linear_svm(train, C=0.2, max_iter=50))
+        return C.linear_margins(C.linear_svm(train, C=0.2, max_iter=1000))
 
     model = calibrate_with_folds(rows.filter("is_train"), "idx", "y", len(LANGS), fit_margins)
     scored = model.predict_proba(rows)

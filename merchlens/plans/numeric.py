@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..dims import BUCKETS, UNIT_FACTORS, unit_spellings
+from ..dims import BUCKETS, UNIT_FACTORS, UNIT_SPELLINGS
 from ..functions.numeric_tokens import (
     MODES,
     Measure,
@@ -29,7 +29,7 @@ def _sql_map(entries: dict[str, object]) -> str:
 
 
 def sql_unit(u: str) -> str:
-    return f"coalesce({_sql_map(unit_spellings())}[lower({u})], lower({u}))"
+    return f"coalesce({_sql_map(UNIT_SPELLINGS)}[lower({u})], lower({u}))"
 
 
 def sql_factor(u: str) -> str:

@@ -16,7 +16,8 @@ from .sqltext import LETTER
 from .standins import PRODUCTS, products, table
 from .text_features import FEATURES, RAW_TEXT
 
-MAX_WORDS, MAX_CHARS = 2000, 1000
+# Vocabulary sizes of the exploratory vectorisers and of the word and character union
+MAX_WORDS, UNION_WORDS, UNION_CHARS = 10_000, 250_000, 150_000
 
 # Document texts and their n-grams; n_docs counts every document, empty ones too.
 _WORD_GRAMS = f"""
@@ -27,6 +28,10 @@ vocab AS (SELECT term, sum(n)::BIGINT AS tf, count(*) AS df FROM tfs GROUP BY te
           HAVING count(*) >= 2 AND count(*) <= 0.95::DOUBLE * (SELECT count(*) FROM documents)
           ORDER BY tf DESC, term LIMIT {MAX_WORDS})"""
 
+_UNION_GRAMS = _WORD_GRAMS.replace("regexp_extract_all(text", "regexp_extract_all(lower(text)").replace(
+    f"LIMIT {MAX_WORDS}", f"LIMIT {UNION_WORDS}"
+)
+
 _CHAR_GRAMS = f"""
 chars AS (SELECT doc_id, string_split(regexp_replace(lower(text), '\\s\\s+', ' ', 'g'), '') AS c FROM documents),
 cgrams AS (SELECT doc_id, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])
@@ -34,7 +39,7 @@ cgrams AS (SELECT doc_id, unnest(list_transform(range(1, len(c) - 1), lambda i:
     || list_transform(range(1, len(c) - 3), lambda i: c[i] || c[i + 1] || c[i + 2] || c[i + 3] || c[i + 4])) AS term FROM chars),
 ctfs AS (SELECT doc_id, term, count(*) AS n FROM cgrams GROUP BY ALL),
 cvocab AS (SELECT term, sum(n)::BIGINT AS tf, count(*) AS df FROM ctfs GROUP BY term HAVING count(*) >= 2
-           ORDER BY tf DESC, term LIMIT {MAX_CHARS})"""
+           ORDER BY tf DESC, term LIMIT {UNION_CHARS})"""
 
 
 def _weights(tfs: str, vocab: str) -> str:
@@ -74,7 +79,7 @@ def tfidf_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "word_char_union",
-    f"""WITH {_WORD_GRAMS.replace("regexp_extract_all(text", "regexp_extract_all(lower(text)")}, {_CHAR_GRAMS}
+    f"""WITH {_UNION_GRAMS}, {_CHAR_GRAMS}
     SELECT 'word__' || term AS feature, count(*) AS documents, round(sum(value), 5) AS total FROM ({_weights("tfs", "vocab")}) GROUP BY ALL
     UNION ALL
     SELECT 'char__' || term, count(*), round(sum(value), 5) FROM ({_weights("ctfs", "cvocab")}) GROUP BY ALL""",
@@ -82,7 +87,7 @@ def tfidf_vectors(spark: SparkSession, sf: str) -> DataFrame:
 def word_char(spark: SparkSession, sf: str) -> DataFrame:
     """Total weight of every column of the word and character union."""
     docs = _documents(spark, sf)
-    union = word_char_union("text", (3, 5), {"max_features": MAX_WORDS}, {"max_features": MAX_CHARS}).fit(docs)
+    union = word_char_union("text", (3, 5), {"max_features": UNION_WORDS}, {"max_features": UNION_CHARS}).fit(docs)
     names = list(enumerate(union.feature_names()))
     columns = local_rows(spark, names, "term_idx int, feature string")
     entries = union.transform(docs).select(F.inline(sparse_entries(F.col("features"))))
@@ -127,7 +132,7 @@ def _block_sql(name: str, column: str) -> str:
     {name}_f AS (SELECT idx, term, count(*) AS n FROM (SELECT idx, unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term
       FROM {name}_t) GROUP BY ALL),
     {name}_v AS (SELECT term, sum(n) AS tf FROM {name}_f GROUP BY term HAVING count(*) >= 2
-      AND count(*) <= 0.95::DOUBLE * (SELECT count(*) FROM texts) ORDER BY tf DESC, term LIMIT 500),
+      AND count(*) <= 0.95::DOUBLE * (SELECT count(*) FROM texts) ORDER BY tf DESC, term LIMIT {MAX_WORDS}),
     {name}_c AS (SELECT idx, count(*) AS filled FROM {name}_f JOIN {name}_v USING (term) GROUP BY ALL)"""
 
 
@@ -152,11 +157,11 @@ def _union_sql(blocks: dict[str, tuple[str, float]]) -> str:
 @query("split_vectorizer", _union_sql({"a": ("designation", 1.2), "b": ("description", 1.0)}), ints=["columns", "non_zero"])
 def split_vectorizer(spark: SparkSession, sf: str) -> DataFrame:
     rows = _featured(spark, sf)
-    union = split_union("designation", "description", MANUAL, title_weight=1.2, max_features=500)
+    union = split_union("designation", "description", MANUAL, title_weight=1.2, max_features=MAX_WORDS)
     return _entries(union.fit(rows).transform(rows))
 
 
 @query("merged_vectorizer", _union_sql({"a": ("text", 1.0)}), ints=["columns", "non_zero"])
 def merged_vectorizer(spark: SparkSession, sf: str) -> DataFrame:
     rows = _featured(spark, sf)
-    return _entries(merged_union("text", MANUAL, max_features=500).fit(rows).transform(rows))
+    return _entries(merged_union("text", MANUAL, max_features=MAX_WORDS).fit(rows).transform(rows))

@@ -6,11 +6,13 @@ import os
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
+_scopes: list[list[str]] = []
 _ARROW_TYPES = {
     T.LongType: pa.int64(),
     T.IntegerType: pa.int32(),
@@ -33,6 +35,8 @@ def build_session(app: str = "merchlens", cpus: int | str = "*", **conf: str) ->
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
     )
+    if "spark__checkpoint__dir" not in conf:
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="merchlens-"))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
@@ -57,7 +61,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """New, not yet existing path below the shared folder."""
-    return os.path.join(shared_folder(spark), "merchlens", f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(shared_folder(spark), "merchlens", f"{name}-{uuid.uuid4().hex[:12]}")
+    for scope in _scopes[-1:]:
+        scope.append(path)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder on whatever file system holds it; a missing one is no error."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Scratch files named within the scope are deleted at its end; use their rows before."""
+    outer, _scopes[:] = _scopes[:], [*_scopes, []]
+    try:
+        yield
+    finally:
+        for path in _scopes[-1]:
+            remove_path(spark, path)
+        _scopes[:] = outer
 
 
 def local_rows(spark: SparkSession, rows, schema):
@@ -70,11 +96,14 @@ def local_rows(spark: SparkSession, rows, schema):
 
 
 def use_all_cores(df):
-    """Spread a scan that has fewer partitions than the session has cores.
+    """Spread a scan that has fewer partitions than a local session has cores.
 
-    Large inputs already split into more partitions and are returned unchanged.
+    On a cluster the scan's own splits stand: a round-robin shuffle of all texts costs more than idle cores.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    context = df.sparkSession.sparkContext
+    if not context.master.startswith("local["):
+        return df
+    cores = context.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 

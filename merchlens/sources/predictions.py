@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..dims import CANONICAL_CLASSES, CANONICAL_FINGERPRINT
 from ..operators.labels import fingerprint
 from ..schemas import EXPORT_META, require_columns
+from ..session import remove_path
 
 
 def export_predictions(
@@ -61,6 +62,7 @@ def export_predictions(
     ).first()
     problems = {c: checks[c] for c in ("null_ids", "repeated_ids", "bad_width", "no_label") if checks[c]}
     if problems:
+        remove_path(df.sparkSession, target)
         raise AssertionError(f"invalid predictions for model={model} split={split}: {problems}")
     n = int(checks["rows"])
     meta = (

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from merchlens.functions import cleaning as C
 from merchlens.functions.ngrams import char_ngrams, word_ngrams
-from merchlens.functions.numeric_tokens import extract_measures, replace_measures, strategy_tokens
+from merchlens.functions.numeric_tokens import (
+    _label, bucket_label, extract_measures, measures_of, replace_measures, strategy_tokens, unit_factor, unit_symbol,
+)
 from merchlens.functions.text_merge import build_text
 from merchlens.functions.text_stats import keyword_counts, text_features, text_lengths, token_frequencies
 
@@ -142,3 +144,58 @@ def test_text_needs_one_column(spark):
     assert df.select(build_text(df).alias("t")).first()["t"] == "[EMPTY]"
     with pytest.raises(ValueError):
         build_text(df.drop("designation"))
+
+
+def test_digits_of_other_scripts_are_numbers(spark):
+    df = spark.createDataFrame([(1, "٣ kg de thé"), (2, "3 kg de thé"), (3, "１２ cm"), (4, "12 cm")], "id int, x string")
+    got = {r["id"]: r["x"] for r in replace_measures(df, ["x"], "light").collect()}
+    assert got[1] == got[2] and got[3] == got[4]
+    rows = {r["id"]: r["base_value"] for r in extract_measures(df, "x", ["id"]).collect()}
+    assert rows[1] == rows[2] == 3.0 and rows[3] == rows[4] == 12.0
+
+
+# Golden rows: lower bounds and labels of every bucketed measure
+EDGES = {
+    "volume": ((0, "petit volume"), (5000, "volume moyen"), (1500000, "grand volume")),
+    "surface": ((0, "petite surface"), (1600, "surface moyenne"), (20000, "grande surface")),
+    "length": ((0, "petite longueur"), (10, "longueur moyenne"), (40, "grande longueur"), (350, "très grande longueur")),
+    "weight": ((0, "poids leger"), (1.5, "poids moyen"), (20, "poids lourd")),
+    "price": ((0, "prix bas"), (20, "prix moyen"), (100, "prix eleve")),
+    "age": ((0, "age bébé"), (3, "age enfant"), (15, "age adulte")),
+    "memory": ((0, "petite mémoire"), (8, "mémoire moyenne"), (64, "grande mémoire")),
+    "date": ((1800, "date ancienne"), (1960, "date contemporaine"), (2007, "date récente"), (2021, "date future")),
+    "numero": ((0, "petit numero"), (20, "grand numero")),
+    "card": ((0, "peu de cartes"), (5, "beaucoup de cartes")),
+    "piece": ((0, "peu de pièces"), (3, "beaucoup de pièces")),
+    "integer": ((0, "zéro"), (1, "un"), (2, "petit nombre"), (5, "nombre moyen"), (20, "grand nombre"), (100, "très grand nombre")),
+    "float": ((0, "petite quantité"), (1, "quantité moyenne"), (10, "grande quantité"), (100, "très grande quantité")),
+}
+
+
+@pytest.mark.parametrize("measure", sorted(EDGES))
+def test_every_bucket_edge(spark, measure):
+    edges = EDGES[measure]
+    want = [(edges[0][0] - 1e-6, measure + "inconnu"), (None, measure + "inconnu"), (float("inf"), measure + "inconnu")]
+    for i, (low, label) in enumerate(edges):
+        want.append((float(low), label))
+        if i:
+            want.append((low - 1e-6, edges[i - 1][1]))
+    df = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(want)], "i int, v double")
+    assert [r[0] for r in df.orderBy("i").select(bucket_label(F.col("v"), measure)).collect()] == [x for _, x in want]
+    as_sql = _label("v", next(m for m in measures_of("full") if m.name == measure)) if measure in {m.name for m in measures_of("full")} else None
+    if as_sql:
+        assert [r[0] for r in df.orderBy("i").selectExpr(as_sql).collect()] == [x for _, x in want]
+
+
+FACTORS = {
+    "mm": 0.1, "cm": 1, "dm": 10, "m": 100, "mm2": 0.01, "cm2": 1, "dm2": 100, "m2": 10000, "mm3": 0.001, "cm3": 1,
+    "dm3": 1000, "m3": 1000000, "ml": 1, "cl": 10, "dl": 100, "l": 1000, "g": 0.001, "kg": 1, "tonne": 1000,
+    "mois": 1 / 12, "ans": 1, "mo": 0.001, "go": 1, "to": 1000, "gb": 1, "mètres": 100, "Centimétre": 1, "millimetres": 0.1,
+    "grammes": 0.001, "kilos": 1, "kilogramme": 1, "tonnes": 1000, "litre": 1000, "centilitres": 10, "millilitre": 1, "an": 1,
+}
+
+
+def test_every_unit_factor(spark):
+    df = spark.createDataFrame([(u,) for u in FACTORS], "u string")
+    got = {r[0]: r[1] for r in df.select("u", unit_factor(unit_symbol(F.col("u")))).collect()}
+    assert got == {u: pytest.approx(f) for u, f in FACTORS.items()}
