@@ -99,13 +99,56 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
-@query("op2_repeats")
+@query(
+    "op2_repeats",
+    r"""
+    WITH w AS (
+      SELECT doc_id, unnest(t) AS word, unnest(range(1, len(t) + 1)) AS i
+      FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS t FROM documents WHERE text IS NOT NULL)),
+    h AS (
+      SELECT doc_id, i, word, CASE WHEN count(*) OVER f = 50 THEN md5(string_agg(word, ' ') OVER f) END AS k
+      FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+    o AS (SELECT k, min(doc_id) AS low FROM h WHERE k IS NOT NULL GROUP BY k),
+    m AS (SELECT doc_id, i, word, coalesce(low < doc_id, false) AS begins FROM h LEFT JOIN o USING (k)),
+    c AS (
+      SELECT doc_id, i, word, bool_or(begins) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+      FROM m),
+    r AS (
+      SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+      FROM c GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+      sha256(coalesce(kept, '')) AS kept_sha256
+    FROM documents d LEFT JOIN r USING (doc_id)
+    """,
+)
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove_repeats(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op3_suffixes")
+@query(
+    "op3_suffixes",
+    """
+    WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    d AS (SELECT doc_id, c, substring(h, 800 * c + 1, 1600) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 800 + 1)) AS c FROM b)),
+    p AS (
+      SELECT doc_id, 400 * c + j AS i, substring(h, 2 * j - 1, 2) AS x, CASE WHEN len(h) >= 2 * j + 798 THEN md5(substring(h, 2 * j - 1, 800)) END AS k
+      FROM (SELECT *, unnest(range(1, 401)) AS j FROM d) WHERE len(h) >= 2 * j),
+    t AS (SELECT k FROM p WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1),
+    m AS (SELECT doc_id, i, x, t.k IS NOT NULL AS begins FROM p LEFT JOIN t USING (k)),
+    c AS (
+      SELECT doc_id, i, x, bool_or(begins) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone
+      FROM m),
+    e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
+    r AS (
+      SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+        string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS kept
+      FROM e GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_bytes, 0)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+      coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+    FROM documents d LEFT JOIN r USING (doc_id)
+    """,
+)
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove_repeated_bytes(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
