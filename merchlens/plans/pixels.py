@@ -128,13 +128,13 @@ def image_brightness(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(pixels(spark, sf).groupBy("image_id").agg(F.avg(level).alias("mean_gray")), "mean_gray")
 
 
-# --- descriptors: embedding vectors, about 25 to an image; every tenth image lost its own ----------
+# --- descriptors: embedding vectors, about 25 to an image; most parts are images without any ----------
 def descriptors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf, "embeddings").select(
         F.floor(F.col("vec_id") / 25).alias("image_id"), F.col("embedding").alias("vec"), F.col("label")
     )
-    images = rows.select("image_id").distinct()
-    return rows.filter(F.col("image_id") % 10 != 9), images
+    images = table(spark, sf, "part").select(F.col("p_partkey").alias("image_id")).union(rows.select("image_id")).distinct()
+    return rows, images
 
 
 def label_centroids(spark: SparkSession, sf: str):
@@ -148,11 +148,11 @@ def label_centroids(spark: SparkSession, sf: str):
     "visual_word_histogram",
     """WITH cent AS (SELECT label AS word, list(x ORDER BY pos) AS c FROM (SELECT label, pos, round(avg(embedding[pos + 1]::DOUBLE), 9) AS x
         FROM embeddings, (SELECT unnest(range(0, 64)) AS pos) GROUP BY ALL) GROUP BY label),
-    d AS (SELECT vec_id, vec_id // 25 AS image_id, embedding FROM embeddings WHERE (vec_id // 25) % 10 <> 9),
+    d AS (SELECT vec_id, vec_id // 25 AS image_id, embedding FROM embeddings),
     dist AS (SELECT vec_id, image_id, word, list_sum(list_transform(c, lambda x, i: (x - embedding[i]::DOUBLE) * (x - embedding[i]::DOUBLE))) AS q FROM d, cent),
     near AS (SELECT vec_id, image_id, arg_min(word, q) AS word FROM dist GROUP BY ALL),
     counts AS (SELECT image_id, word, count(*) AS n FROM near GROUP BY ALL),
-    slots AS (SELECT image_id, word FROM (SELECT DISTINCT vec_id // 25 AS image_id FROM embeddings), (SELECT unnest(range(0, 10)) AS word))
+    slots AS (SELECT image_id, word FROM (SELECT p_partkey AS image_id FROM part UNION SELECT vec_id // 25 FROM embeddings), (SELECT unnest(range(0, 10)) AS word))
     SELECT image_id, s.word AS word, round(coalesce(n / (SELECT sum(n) FROM counts k WHERE k.image_id = s.image_id), 0), 6) AS share
     FROM slots s LEFT JOIN counts USING (image_id, word)""",
     ints=["word"],
@@ -164,10 +164,14 @@ def visual_word_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(hist.select("image_id", F.posexplode("histogram").alias("word", "share")), "share")
 
 
+# Words of the bag, and the most components the vectors allow
+WORDS, COMPONENTS = 100, 64
+
+
 @query("visual_words_kmeans")
 def visual_words_kmeans(spark: SparkSession, sf: str) -> DataFrame:
     rows, images = descriptors(spark, sf)
-    hist = V.word_histogram(V.assign_words(rows, V.fit_words(rows, 20)), images, 20)
+    hist = V.word_histogram(V.assign_words(rows, V.fit_words(rows, WORDS)), images, WORDS)
     return hist.select("image_id", F.size("histogram").alias("words"), F.round(array_sum(F.col("histogram")), 6).alias("total"))
 
 
@@ -180,7 +184,7 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("pca_projection")
 def pca_projection(spark: SparkSession, sf: str) -> DataFrame:
-    projected, _ = fit_pca(_vectors(spark, sf), "x", 16)
+    projected, _ = fit_pca(_vectors(spark, sf), "x", COMPONENTS)
     values = vector_to_array(F.col("pca"))
     return projected.select("image_id", F.size(values).alias("components"), F.round(F.abs(F.get(values, F.lit(0))), 4).alias("first_abs"))
 
@@ -195,18 +199,25 @@ def discriminant_projection(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("image_feature_classifier")
 def image_feature_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    """All image feature families of the parts that have a vector, with a balanced classifier."""
-    vectors = _vectors(spark, sf)
-    desc, _ = descriptors(spark, sf)
-    ids = vectors.select("image_id")
-    cells = pixels(spark, sf).join(ids, "image_id", "left_semi")
+    """All image feature families of every part, with a balanced classifier.
+
+    A part's vector is that of its key modulo the number of vectors, its descriptors are that vector and the next four.
+    """
+    stored = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"), "label")
+    n = stored.count()
+    ids = table(spark, sf, "part").select(F.col("p_partkey").alias("image_id"))
+    near = ids.select("image_id", F.posexplode(F.sequence(F.lit(0), F.lit(4))).alias("k", "_")).withColumn(
+        "vec_id", F.pmod(F.col("image_id") + F.col("k"), F.lit(n))
+    )
+    desc = near.join(stored, "vec_id").select("image_id", "k", "vec", "label")
+    vectors = desc.filter("k = 0").select("image_id", F.col("label").alias("y"), array_to_vector(F.col("vec").cast("array<double>")).alias("x"))
     parts = [
-        pixel_features(cells),
-        vector_features(vectors, "x", "y", 16, 9),
-        word_features(desc, ids, 10),
+        pixel_features(pixels(spark, sf)),
+        vector_features(vectors, "x", "y", COMPONENTS, 9),
+        word_features(desc.select("image_id", "vec"), ids, WORDS),
     ]
     features = union_features(parts).join(vectors.select("image_id", F.col("y").cast("double").alias("y")), "image_id")
     rows = persist_to_table(features, "image-features")
-    model = fit_image_classifier(rows, C=0.001, max_iter=50)
+    model = fit_image_classifier(rows, C=0.001)
     scored = model.transform(rows)
     return scored.select("image_id", F.col("y").cast("int").alias("y"), argmax(vector_to_array("probability")).alias("pred"))
