@@ -284,3 +284,34 @@ def test_complement_bayes_agrees_with_spark_ml(spark):
     scores = C.linear_scores(long.select("doc", "term", "value"), weights, "doc")
     sql = {r["doc"]: r["c"] for r in scores.groupBy("doc").agg(F.max_by("class_idx", "score").alias("c")).collect()}
     assert sql == ml
+
+
+def test_side_tables_too_wide_to_broadcast_are_salted(spark, monkeypatch):
+    from merchlens.operators import lookup
+
+    big = spark.range(50).selectExpr("id % 5 AS k", "id AS v")
+    small = spark.range(5).selectExpr("id AS k", "repeat('x', 1000) AS w")
+    plans = []
+    for most in (64 << 20, 100):
+        monkeypatch.setattr(lookup, "MAX_BROADCAST_BYTES", most)
+        joined = lookup.lookup_join(big, small, ["k"])
+        assert joined.count() == 50
+        plans.append("_salt" in joined._jdf.queryExecution().toString())
+    assert plans == [False, True]
+
+
+def test_unknown_codes_are_counted_but_not_listed(spark):
+    from merchlens.operators.labels import group_summary
+
+    df = spark.createDataFrame([(10,), (10,), (2280,), (-1,), (-2,), (-2,)], "prdtypecode int")
+    rows = {r["group_name"]: (r["rows"], r["categories"], r["codes"]) for r in group_summary(df).collect()}
+    assert rows[None] == (3, 2, "") and sum(r[0] for r in rows.values()) == 6
+
+
+def test_fits_that_do_not_settle_raise(spark):
+    from merchlens.operators.calibrate import fit_temperature
+
+    df = spark.createDataFrame([([2.0, 1.0, 0.0], 0), ([0.0, 3.0, 1.0], 1), ([0.0, 1.0, 1.5], 1)], "z array<double>, y int")
+    assert fit_temperature(df, "z", "y") > 0
+    with pytest.raises(RuntimeError):
+        fit_temperature(df, "z", "y", max_iter=1)

@@ -109,3 +109,23 @@ def test_requests_are_checked(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_scratch_scope_deletes_what_it_named(spark):
+    import os
+
+    from merchlens.session import persist_to_table, scratch_scope
+
+    outer = persist_to_table(spark.range(3), "kept")
+    with scratch_scope(spark):
+        inner = persist_to_table(spark.range(4), "dropped")
+        path = inner.inputFiles()[0].removeprefix("file://")
+        assert inner.count() == 4 and os.path.exists(path)
+    assert not os.path.exists(path) and outer.count() == 3
+
+
+def test_rejected_export_leaves_no_data(spark, tmp_path):
+    bad = _scores(spark, width=3)
+    with pytest.raises(AssertionError):
+        predictions.export_predictions(bad, str(tmp_path), "m", "s", "sig", classes=CANONICAL_CLASSES)
+    assert not [p for p in tmp_path.rglob("*.parquet") if p.is_file()]
