@@ -28,7 +28,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
 UNKNOWN_PENALTY = 10.0
 CACHE_WORDS = 1 << 19
-CELLS = 1 << 21
+CELLS = 1 << 19
 PAIRS = 1 << 20
 _BASE = 0xA24BAED4963EE407
 
