@@ -7,7 +7,9 @@ symbol per document, and updates the order of the suffixes that begin there (the
 before them, in that order) and the common prefixes of neighbours. A window is repeated where a common prefix reaches
 ``WINDOW``. Columns lie in a sequential scratch file of the task, so a round holds a few values per document.
 
-Anchors with more than ``CONTEXTS`` contexts are not gathered in one task: their windows are counted by key instead.
+Anchors with more than ``CONTEXTS`` contexts are not gathered in one task. Their windows are counted by key instead, in
+bins of neighbouring windows: a bin whose whole span occurs twice is repeated, one whose core (what all its windows
+cover) occurs once is not, and only the others are divided further, down to single windows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import U64, blocks, byte_rows, mix, ragged, signed, window_keys, window_runs
+from .blocks import U64, blocks, byte_rows, mix, ragged, range_keys, signed, window_runs
 from .common import written
 
 WINDOW = 400
@@ -27,6 +29,8 @@ GRAM = 32
 LEFT = WINDOW - GRAM
 WIDTH = LEFT + WINDOW
 CONTEXTS = 256
+#: Windows a bin holds, from level to level.
+BINS = (48, 6, 1)
 COLLECTION = 2000
 
 _SYMBOL = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -108,11 +112,27 @@ def _places(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(run, "rid long, fp long, ctx long")
 
 
-CUT = "fp long, ctx long, lead int, n_windows int, content binary, windows array<long>"
+_LEVELS = "array<struct<bin:int,low:int,high:int,core:long,span:long>>"
+CUT = f"fp long, ctx long, lead int, n_windows int, content binary, {', '.join(f'bins{w} {_LEVELS}' for w in BINS)}"
+
+
+def _bins(keys: np.ndarray, runs, width: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Bins of the windows of each run, by how far left of the anchor they begin: (bins per run, their columns)."""
+    high = runs.anchor - runs.begin
+    low = high - runs.count + 1
+    n = high // width - low // width + 1
+    bin_, anchor = ragged(low // width, n), np.repeat(runs.anchor, n)
+    first = np.maximum(bin_ * width, np.repeat(low, n))
+    last = np.minimum(bin_ * width + width - 1, np.repeat(high, n))
+    core = range_keys(keys, anchor - bin_ * width, anchor + WINDOW - bin_ * width - width + 1)
+    span = range_keys(keys, anchor - last, anchor + WINDOW - first)
+    place = bin_.astype(U64) * U64(0xD6E8FEB86659FD93)
+    extent = first.astype(U64) * U64(0xA0761D6478BD642F) + last.astype(U64)
+    return n, {"bin": bin_, "low": first, "high": last, "core": signed(mix(core + place)), "span": signed(mix(span + extent))}
 
 
 def _cut(batches):
-    """Bytes (or, of anchors with many contexts, window keys) of the wanted contexts of each document."""
+    """Bytes (or, of anchors with many contexts, bins of windows) of the wanted contexts of each document."""
     for batch in batches:
         for low, high, data, offsets in blocks(batch.column("text")):
             keys, runs = byte_runs(data, offsets)
@@ -133,20 +153,41 @@ def _cut(batches):
             at = np.flatnonzero(pick)
             runs, many = runs.pick(at), many[at]
             size = np.where(many, 0, runs.count + WINDOW - 1)
-            count = np.where(many, runs.count, 0)
-            windows = signed(window_keys(keys, WINDOW)) if many.any() else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(windows[ragged(runs.begin, count)]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(signed(runs.fingerprint)),
-                    pa.array(signed(runs.context)),
-                    pa.array(runs.anchor - runs.begin, pa.int32()),
-                    pa.array(runs.count, pa.int32()),
-                    byte_rows(data, runs.begin, size),
-                    lists,
-                ],
-                names=["fp", "ctx", "lead", "n_windows", "content", "windows"],
-            )
+            columns = [
+                pa.array(signed(runs.fingerprint)),
+                pa.array(signed(runs.context)),
+                pa.array(runs.anchor - runs.begin, pa.int32()),
+                pa.array(runs.count, pa.int32()),
+                byte_rows(data, runs.begin, size),
+            ]
+            for width in BINS:
+                n, found = _bins(keys, runs.pick(np.flatnonzero(many)), width)
+                count = np.zeros(len(many), np.int64)
+                count[many] = n
+                structs = pa.StructArray.from_arrays([pa.array(v, pa.int64() if k in ("core", "span") else pa.int32()) for k, v in found.items()], names=list(found))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), structs))
+            yield pa.RecordBatch.from_arrays(columns, names=["fp", "ctx", "lead", "n_windows", "content", *(f"bins{w}" for w in BINS)])
+
+
+def _repeated_bins(many: DataFrame) -> DataFrame:
+    """(fp, ctx, ks): ranges of repeated windows (bytes left of the anchor) of the contexts of anchors with many."""
+    marks, rows = None, many.select("fp", "ctx", "n", F.inline(f"bins{BINS[0]}"))
+    for level, width in enumerate(BINS):
+        rows = written(rows, f"suffix-bins{width}")
+        spans = rows.groupBy("fp", "span").agg(F.sum("n").alias("total"), F.min("ctx").alias("first"))
+        spans = written(spans, f"suffix-spans{width}")
+        whole = rows.join(spans.filter("total > 1"), ["fp", "span"]).select("fp", "ctx", "low", "high")
+        marks = whole if marks is None else marks.union(whole)
+        if width == 1:
+            break
+        # equal spans go on once, with their number; what no other bin shares the core of is not repeated
+        single = rows.join(spans.select("fp", "span", "total", F.col("first").alias("ctx")), ["fp", "span", "ctx"])
+        cores = single.groupBy("fp", "core").agg(F.sum("total").alias("times")).filter("times > 1").select("fp", "core")
+        down = single.join(cores, ["fp", "core"]).select("fp", "ctx", F.col("total").alias("n"), F.col("bin").alias("above"))
+        ratio = width // BINS[level + 1]
+        finer = F.filter(f"bins{BINS[level + 1]}", lambda x: F.floor(x["bin"] / ratio) == F.col("above"))
+        rows = down.join(many.select("fp", "ctx", f"bins{BINS[level + 1]}"), ["fp", "ctx"]).select("fp", "ctx", "n", F.inline(finer))
+    return marks.groupBy("fp", "ctx").agg(F.collect_list(F.struct("low", "high")).alias("ks"))
 
 
 def _collection(table: pa.Table) -> pa.Table:
@@ -178,14 +219,11 @@ def repeated_contexts(documents: DataFrame, places: DataFrame) -> DataFrame:
     parts = max(1, open_.filter(F.col("m") <= CONTEXTS).count() // COLLECTION)
     few = few.select("fp", "ctx", "lead", "n_windows", "content", F.pmod(F.xxhash64("fp"), F.lit(parts)).alias("part"))
     few = few.groupBy("part").applyInArrow(_collection, "fp long, ctx long, marks binary")
-    each = many.select("fp", "ctx", "n", F.posexplode("windows").alias("k", "w"))
-    twice = each.groupBy("fp", "w").agg(F.sum("n").alias("times")).filter("times > 1").select("fp", "w")
-    found = each.join(twice, ["fp", "w"]).groupBy("fp", "ctx").agg(F.collect_list("k").alias("ks"))
-    many = found.select("fp", "ctx", F.transform("ks", lambda k: k.cast("short")).alias("ks"))
-    none = F.lit(None)
+    many = _repeated_bins(many)
+    none, ranges = F.lit(None), "array<struct<low:int,high:int>>"
     single = contexts.filter("n = 1").select("fp", "ctx")
-    out = whole.withColumn("ks", none.cast("array<short>"))
-    out = out.union(few.join(single, ["fp", "ctx"]).select("fp", "ctx", "marks", none.cast("array<short>").alias("ks")))
+    out = whole.withColumn("ks", none.cast(ranges))
+    out = out.union(few.join(single, ["fp", "ctx"]).select("fp", "ctx", "marks", none.cast(ranges).alias("ks")))
     return out.union(many.join(single, ["fp", "ctx"]).select("fp", "ctx", none.cast("binary").alias("marks"), "ks"))
 
 
@@ -214,8 +252,11 @@ def _applied(batches):
                         r, n = rows[int(ours[j])], int(runs.count[j])
                         if r["marks"] is not None:
                             k = np.flatnonzero(np.unpackbits(np.frombuffer(r["marks"], np.uint8))[:n])
+                        elif r["ks"] is None:
+                            k = np.arange(n)
                         else:
-                            k = np.arange(n) if r["ks"] is None else np.array(r["ks"], np.int64)
+                            lead = int(runs.anchor[j] - runs.begin[j])
+                            k = np.unique(np.concatenate([np.arange(lead - x["high"], lead - x["low"] + 1) for x in r["ks"]]))
                         at = int(runs.begin[j] - offsets[i]) + k
                         np.add.at(cover, at, 1)
                         np.add.at(cover, at + WINDOW, -1)
