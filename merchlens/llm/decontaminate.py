@@ -1,10 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval and longest common subsequences.
 
 Texts are read as passages of ``PASSAGE`` words, half overlapping, with TF-IDF weights over hashed words; the
-frequencies are counted over the whole corpus. A randomised singular value decomposition of the benchmark's TF-IDF
-passages, its products summed by Spark, gives the latent space. Every passage of the corpus is folded in and compared
-with every item by cosine; what comes near is checked by the longest common subsequence of words and, for
-paraphrases, by looking for the item's answer.
+frequencies are counted over the whole corpus. Randomised singular value decompositions of the benchmark's TF-IDF
+passages, their products summed by Spark, give latent spaces. A space holds as many passages as it has dimensions, so
+none of their cosines is cut. Every passage of the corpus is folded in and compared with every item by cosine; what
+comes near is checked by the longest common subsequence of words and, for paraphrases, by looking for the item's
+answer. Items that a text holds word for word are also found by the keys of their words, whatever their cosine.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BARE_WORDS, blocks, ragged, split_words, text_arrays
+from .blocks import BARE_WORDS, blocks, ragged, range_keys, split_words, text_arrays, window_keys
 
 PASSAGE = 20
 HALF = PASSAGE // 2
 FEATURE_BITS = 17
+#: Dimensions of a latent space, and at most so many item passages in it.
 RANK = 256
 OVERSAMPLE = 8
 #: Items handled in one pass over the corpus; a longer benchmark takes more passes.
@@ -55,22 +57,35 @@ def keys_of(text: str) -> np.ndarray:
 
 
 @dataclass
-class Items:
-    """Benchmark items as word keys, with the latent space they span."""
+class Space:
+    """Latent space of some item passages: place of each feature, basis, folded passages, their lengths and items."""
 
-    ids: list[int]
-    words: list[list[int]]
-    answers: list[list[int]]
-    idf: np.ndarray
     local: np.ndarray
     basis: np.ndarray
     latent: np.ndarray
     norm: np.ndarray
     owner: np.ndarray
 
+
+@dataclass
+class Items:
+    """Benchmark items as word keys, with the latent spaces they span."""
+
+    ids: list[int]
+    words: list[list[int]]
+    answers: list[list[int]]
+    idf: np.ndarray
+    spaces: list[Space]
+
     def __post_init__(self):
         self.masks = [_masks(w) for w in self.words]
         self.answer_masks = [_masks(w) for w in self.answers]
+        keys = [np.array(w, np.uint64) for w in self.words]
+        heads = np.array([window_keys(k[:MIN_WORDS], MIN_WORDS)[0] for k in keys], np.uint64)
+        self.order = np.argsort(heads, kind="stable")
+        self.heads = heads[self.order]
+        self.size = np.array([len(k) for k in keys])
+        self.whole = np.array([range_keys(k, np.array([0]), np.array([len(k)]))[0] for k in keys], np.uint64)
 
 
 def _masks(words: list[int]) -> dict[int, int]:
@@ -186,28 +201,36 @@ def fit_items(rows: list[tuple[int, str]], df: np.ndarray, n: int, spark) -> Ite
     if not kept:
         return None
     idf = inverse_frequency(df, n)
-    used = np.unique(np.concatenate([features(k) for _, _, k in kept]))
-    local = np.full(1 << FEATURE_BITS, -1, np.int32)
-    local[used] = np.arange(len(used))
-    sparse, owner = [], []
+    parts, owner = [], []
     for i, (_, _, k) in enumerate(kept):
-        parts = [k] if len(k) <= LONG else [k[j : j + PART] for j in range(0, len(k) - PART // 2, PART // 2)]
-        for part in parts:
-            at, tf = np.unique(local[features(part)], return_counts=True)
-            sparse.append((at.tolist(), (tf * idf[used[at]]).astype(float).tolist()))
-            owner.append(i)
-    passages = spark.createDataFrame(sparse, "at array<int>, value array<double>")
-    basis = latent_space(passages, len(used), min(RANK, len(sparse)))
-    latent = np.stack([np.asarray(v) @ basis[a] for a, v in sparse])
-    norm = np.array([np.linalg.norm(v) for _, v in sparse])
+        cut = [k] if len(k) <= LONG else [k[j : j + PART] for j in range(0, len(k) - PART // 2, PART // 2)]
+        for part in cut:
+            # words that are no features have no direction; verbatim_items finds them
+            if idf[features(part)].any():
+                parts.append(part)
+                owner.append(i)
+    spaces = [fit_space(parts[j : j + RANK], owner[j : j + RANK], idf, spark) for j in range(0, len(parts), RANK)]
     answers = []
     for _, t, k in kept:
         a = keys_of(answer_of(t))
         answers.append((a if len(a) >= ANSWER_WORDS else k[-ANSWER_WORDS:]).tolist())
-    return Items(
-        [i for i, _, _ in kept], [k.tolist() for _, _, k in kept], answers, idf, local,
-        basis.astype(np.float32), latent.astype(np.float32), norm.astype(np.float32), np.array(owner),
-    )
+    return Items([i for i, _, _ in kept], [k.tolist() for _, _, k in kept], answers, idf, spaces)
+
+
+def fit_space(parts: list[np.ndarray], owner: list[int], idf: np.ndarray, spark) -> Space:
+    """Latent space of up to ``RANK`` item passages (word keys), which it represents completely."""
+    used = np.unique(np.concatenate([features(k) for k in parts]))
+    local = np.full(1 << FEATURE_BITS, -1, np.int32)
+    local[used] = np.arange(len(used))
+    sparse = []
+    for part in parts:
+        at, tf = np.unique(local[features(part)], return_counts=True)
+        sparse.append((at.tolist(), (tf * idf[used[at]]).astype(float).tolist()))
+    passages = spark.createDataFrame(sparse, "at array<int>, value array<double>")
+    basis = latent_space(passages, len(used), len(sparse))
+    latent = np.stack([np.asarray(v) @ basis[a] for a, v in sparse])
+    norm = np.array([np.linalg.norm(v) for _, v in sparse])
+    return Space(local, basis.astype(np.float32), latent.astype(np.float32), norm.astype(np.float32), np.array(owner))
 
 
 def near_passages(words, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,43 +243,64 @@ def near_passages(words, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarr
         return none
     feature = features(words.key)
     weight = items.idf[feature]
-    local = items.local[feature]
     begins = _half_starts(words.first)
     square = weight * weight
     full = np.add.reduceat(square, begins)
-    part = np.add.reduceat(np.where(local >= 0, square, 0), begins)
     next_same = np.append(words.row[begins[1:]] == words.row[begins[:-1]], False)
     full[:-1] += np.where(next_same[:-1], full[1:], 0)
-    part[:-1] += np.where(next_same[:-1], part[1:], 0)
-    # the cosine is at most the share of the passage's length that lies in the items' words
-    pick = np.flatnonzero(part >= SIMILARITY**2 * full)
-    out = []
     ends = np.append(begins[1:], len(words.key))
-    for low in range(0, len(pick), 1024):
-        p = pick[low : low + 1024]
-        # every half passage is folded in once; sums of running totals give the halves, two halves a passage
-        halves, place = np.unique(np.concatenate([p, p[next_same[p]] + 1]), return_inverse=True)
-        at = ragged(begins[halves], ends[halves] - begins[halves])
-        bounds = np.concatenate([[0], np.cumsum(ends[halves] - begins[halves])])
-        inside = local[at] >= 0
-        bounds = np.concatenate([[0], np.cumsum(inside)])[bounds]
-        at = at[inside]
-        total = np.zeros((len(at) + 1, items.basis.shape[1]), np.float32)
-        np.cumsum(items.basis[local[at]] * weight[at][:, None], axis=0, out=total[1:])
-        half = total[bounds[1:]] - total[bounds[:-1]]
-        folded = half[place[: len(p)]]
-        folded[next_same[p]] += half[place[len(p) :]]
-        cosine = (folded @ items.latent.T) / (np.sqrt(np.maximum(full[p], 1e-9))[:, None] * items.norm[None, :])
-        a, b = np.nonzero(cosine >= SIMILARITY)
-        out.append((begins[p[a]], items.owner[b], cosine[a, b]))
+    out = []
+    for space in items.spaces:
+        local = space.local[feature]
+        part = np.add.reduceat(np.where(local >= 0, square, 0), begins)
+        part[:-1] += np.where(next_same[:-1], part[1:], 0)
+        # the cosine is at most the share of the passage's length that lies in the items' words
+        pick = np.flatnonzero((part > 0) & (part >= SIMILARITY**2 * full))
+        for low in range(0, len(pick), 1024):
+            p = pick[low : low + 1024]
+            # every half passage is folded in once; sums of running totals give the halves, two halves a passage
+            halves, place = np.unique(np.concatenate([p, p[next_same[p]] + 1]), return_inverse=True)
+            at = ragged(begins[halves], ends[halves] - begins[halves])
+            bounds = np.concatenate([[0], np.cumsum(ends[halves] - begins[halves])])
+            inside = local[at] >= 0
+            bounds = np.concatenate([[0], np.cumsum(inside)])[bounds]
+            at = at[inside]
+            total = np.zeros((len(at) + 1, space.basis.shape[1]), np.float32)
+            np.cumsum(space.basis[local[at]] * weight[at][:, None], axis=0, out=total[1:])
+            half = total[bounds[1:]] - total[bounds[:-1]]
+            folded = half[place[: len(p)]]
+            folded[next_same[p]] += half[place[len(p) :]]
+            cosine = (folded @ space.latent.T) / (np.sqrt(np.maximum(full[p], 1e-9))[:, None] * space.norm[None, :])
+            a, b = np.nonzero(cosine >= SIMILARITY)
+            out.append((begins[p[a]], space.owner[b], cosine[a, b]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else none
 
 
+def verbatim_items(words, items: Items) -> set[tuple[int, int]]:
+    """(row, item) of the items whose words a block's texts hold one after the other."""
+    found = set()
+    if len(words.key) < MIN_WORDS:
+        return found
+    grams = window_keys(words.key, MIN_WORDS)
+    low, high = (np.searchsorted(items.heads, grams, side) for side in ("left", "right"))
+    starts = np.flatnonzero(high > low)
+    row = words.row
+    for j in range(0, len(starts), 1024):
+        at = starts[j : j + 1024]
+        count = high[at] - low[at]
+        begin, item = np.repeat(at, count), items.order[ragged(low[at], count)]
+        fits = begin + items.size[item] <= words.first[row[begin] + 1]
+        begin, item = begin[fits], item[fits]
+        equal = range_keys(words.key, begin, begin + items.size[item]) == items.whole[item]
+        found.update(zip(row[begin[equal]].tolist(), item[equal].tolist(), strict=True))
+    return found
+
+
 def leaks_of_block(words, items: Items) -> list[tuple[int, int, float, float, bool]]:
     """(row, item, cosine, share of the item's words in order, answer found) of the items a block's texts contain."""
     start, item, cosine = near_passages(words, items)
     row = words.row[start] if len(start) else start
-    best: dict[tuple[int, int], tuple[float, float, bool]] = {}
+    best: dict[tuple[int, int], tuple[float, float, bool]] = {at: (0.0, 1.0, True) for at in verbatim_items(words, items)}
     for s, i, r, c in zip(start.tolist(), item.tolist(), row.tolist(), cosine.tolist(), strict=True):
         known = best.get((r, i), (0.0, 0.0, False))
         if known[1] >= COPY and known[2]:
@@ -275,14 +319,18 @@ def leaks_of_block(words, items: Items) -> list[tuple[int, int, float, float, bo
             found = common_subsequence(items.answer_masks[i], len(a), region) >= ANSWER * len(a)
         share, found = max((share, found), known[1:])
         best[r, i] = (max(c, known[0]), share, found)
-    return [(r, i, c, share, found) for (r, i), (c, share, found) in best.items() if share >= COPY or (share >= PARAPHRASE and found)]
+    return [
+        (r, i, c or 1.0, share, found)
+        for (r, i), (c, share, found) in best.items()
+        if share >= COPY or (share >= PARAPHRASE and found)
+    ]
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item it contains: doc_id, item_id, similarity, share, answer_found.
 
     Null and empty texts contain nothing; null or short items are never found; repeated rows are reported each. Words
-    are lower-case runs of letters and digits. The benchmark is read in blocks of ``ITEMS`` items, each of which is one
+    are lower-case runs of letters and digits. A word for word copy that no cosine shows has similarity 1. The benchmark is read in blocks of ``ITEMS`` items, each of which is one
     pass over the documents. An empty documents or benchmark table gives an empty result.
     """
     spark = documents.sparkSession

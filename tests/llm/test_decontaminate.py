@@ -73,3 +73,25 @@ def test_several_blocks_of_items(spark, monkeypatch):
     docs = [(i, prose(i, 70) + " " + t + " " + prose(90 + i, 70)) for i, t in items] + [(99, prose(98, 200))]
     got = D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(i, i) for i, _ in items}
+
+
+def test_benchmarks_beyond_one_latent_space_equal_brute_force(spark):
+    items = {i: prose(5000 + i, 25) for i in range(1100)}
+    docs = {}
+    for d in range(22):
+        parts = []
+        for i in range(d * 50, d * 50 + 50, 5):
+            words = items[i].split()
+            words[3], words[12] = f"edit{i}", f"edit{i}x"  # no copy word for word
+            parts += [prose(90_000 + i, 30), " ".join(words)]
+        docs[d] = " ".join(parts)
+    keys = {i: D.keys_of(t).tolist() for i, t in items.items()}
+    masks = {i: D._masks(k) for i, k in keys.items()}
+    want = set()
+    for d, text in docs.items():
+        words = D.keys_of(text).tolist()
+        want |= {(d, i) for i, k in keys.items() if D.common_subsequence(masks[i], len(k), words) >= D.COPY * len(k)}
+    assert len(want) == 220
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = D.find_leaks(df, spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
