@@ -95,3 +95,15 @@ def test_benchmarks_beyond_one_latent_space_equal_brute_force(spark):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     got = D.find_leaks(df, spark.createDataFrame(list(items.items()), "item_id long, text string"))
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
+def test_copies_of_function_words_and_of_short_items(spark):
+    # the words of item 0 are in every half passage, so they are no features
+    docs = [(i, " ".join(f"to be or not to {w}" for w in prose(600 + i, 200).split())) for i in range(20)]
+    docs += [(50, prose(1, 40) + " to be or not to be or not " + prose(2, 40))]
+    docs += [(51, prose(3, 40) + " one two THREE, four five six " + prose(4, 40))]
+    items = [(0, "to be or not to be or not"), (1, "one two three four five six")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = D.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(50, 0), (51, 1)} <= {(r["doc_id"], r["item_id"]) for r in got}
+    assert next(r["similarity"] for r in got if r["doc_id"] == 50) == 1
