@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_report
 from .common import read
 from .decontaminate import find_leaks
 from .langid import identify
@@ -152,3 +153,8 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove_repeated_bytes(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_bpe")
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_report(read(spark, sf_dir, "documents"))
