@@ -16,6 +16,7 @@ from .pieces import token_report
 from .repeats import remove_repeats
 from .secrets import find_secrets
 from .sharding import shard_documents
+from .spelling import word_variants
 from .suffixes import remove_repeated_bytes
 from .vectors import near_vectors
 from .warc import archive_pages
@@ -158,3 +159,45 @@ def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_bpe")
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_report(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_spelling",
+    """
+    WITH RECURSIVE t AS (
+      SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+        ORDER BY i) AS crc
+      FROM range(0, 256) r(i)),
+    r AS (
+      SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\u00C0-\\u00FF]+')) AS run FROM documents),
+    u AS (
+      SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+      FROM r WHERE length(run) >= 7 GROUP BY ALL),
+    b AS (
+      SELECT run, k, flatten(list_transform(string_split(doc_id || ':' || run, ''),
+        lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END)) AS bytes FROM u),
+    h AS (
+      SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, crc[1 + (xor(c, x) & 255)]))) AS h FROM b, t),
+    w AS (
+      SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, (h % length(run))::BIGINT) || substring(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, k FROM h),
+    v AS (SELECT word, sum(k)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+    d AS (
+      SELECT DISTINCT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS less
+      FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+    p AS (
+      SELECT a.word, b.word AS other, b.n FROM d a JOIN d b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+      UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.less = v.word
+      UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.less = v.word),
+    f AS (
+      SELECT v.word, v.n, count(p.other) AS n_near, arg_min(p.other, (-p.n, p.other)) AS best, max(p.n) AS most
+      FROM v LEFT JOIN p USING (word) GROUP BY ALL),
+    g AS (SELECT word, n, n_near, CASE WHEN most >= 10 * n THEN best END AS form, CASE WHEN most >= 10 * n THEN most END AS form_n FROM f),
+    s AS (
+      SELECT word, word AS here, 0 AS steps FROM g
+      UNION ALL SELECT s.word, g.form, s.steps + 1 FROM s JOIN g ON s.here = g.word WHERE g.form IS NOT NULL)
+    SELECT g.word, g.form, e.root, g.n, g.n_near, g.form_n
+    FROM g JOIN (SELECT word, arg_max(here, steps) AS root FROM s GROUP BY word) e USING (word)
+    """.replace("\\u00C0-\\u00FF", "À-ÿ"),
+)
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_variants(read(spark, sf_dir, "documents"))
