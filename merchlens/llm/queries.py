@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_report
+from .collocations import collocations
 from .common import read
 from .decontaminate import find_leaks
 from .langid import identify
@@ -201,3 +202,40 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_variants(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_collocations",
+    r"""
+    WITH t AS (
+      SELECT doc_id, coalesce(lang, 'und') AS lang, row_number() OVER () AS d,
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+      FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+    n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang HAVING sum(len(ws)) > 0),
+    g AS (
+      SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+      FROM w, range(1, 5) r(k)),
+    f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+    c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+    x AS (
+      SELECT lang, phrase, a, cut, array_to_string(ws[1:cut], ' ') AS first, array_to_string(ws[cut + 1:], ' ') AS rest
+      FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+    s AS (
+      SELECT x.lang, x.phrase, x.a, x.cut, l.f AS l, r.f AS r, (2000000::HUGEINT * x.a // (l.f + r.f))::BIGINT AS score
+      FROM x JOIN f l ON l.lang = x.lang AND l.phrase = x.first JOIN f r ON r.lang = x.lang AND r.phrase = x.rest),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    i AS (
+      SELECT lang, a, array_to_string(ws[j:j + m - 1], ' ') AS phrase
+      FROM (SELECT *, unnest(range(1, k - m + 2)) AS j FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2))),
+    o AS (SELECT lang, phrase, max(a) AS around FROM i GROUP BY ALL),
+    q AS (
+      SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+      FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase
+      WHERE o.around IS NULL OR 100::HUGEINT * o.around < 80::HUGEINT * b.a)
+    SELECT q.lang, q.rank, q.phrase, q.a, q.l, q.r, n.n, q.score FROM q JOIN n USING (lang) WHERE q.rank <= 2000
+    """,
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))

@@ -69,7 +69,7 @@ def made_words(seed=5):
     return {w: rng.choice([1, 2, 3, 25, 30, 400]) for w in sorted(words)}
 
 
-@pytest.mark.parametrize(("limit", "rows"), [(4096, 1 << 16), (3, 7), (1, 1)])
+@pytest.mark.parametrize(("limit", "rows"), [(4096, 1 << 16), (2, 7)])
 def test_variants_equal_brute_force(spark, monkeypatch, limit, rows):
     monkeypatch.setattr(S, "LIMIT", limit)
     monkeypatch.setattr(S, "ROWS", rows)
