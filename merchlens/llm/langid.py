@@ -146,7 +146,8 @@ def fit(learnable: DataFrame, text: str = "text", label: str = "lang") -> Model
     """Model from the rows with a label and a text with letters; None if there are none.
 
     Document frequencies cover all rows. The sample takes at most ``FIT_PER_LANGUAGE`` rows a label and ``FIT_ROWS``
-    in all, those with the smallest hash of their text; it is the only thing that reaches the driver.
+    in all, those with the smallest hash of their text; it is the only thing that reaches the driver, where rows of
+    equal text and label come as one with their number.
     """
     rows = learnable.select(F.col(label).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL")
 
@@ -174,6 +175,7 @@ def fit(learnable: DataFrame, text: str = "text", label: str = "lang") -> Model
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.1 * each / r["count"]))])
     hashed = F.xxhash64("text").alias("h")
     drawn = rows.select("lang", "text", hashed).filter(F.col("h") / F.lit(2.0**64) + 0.5 <= share[F.col("lang")])
+    drawn = drawn.groupBy("lang", "h").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
 
     def sparse(batches):
         for batch in batches:
@@ -185,20 +187,21 @@ def fit(learnable: DataFrame, text: str = "text", label: str = "lang") -> Model
                     [
                         batch.column("lang")[low:high],
                         batch.column("h")[low:high],
+                        batch.column("copies")[low:high],
                         pa.array([a.tobytes() for a in at], pa.binary()),
                         pa.array([x[i, a].tobytes() for i, a in enumerate(at)], pa.binary()),
                     ],
-                    names=["lang", "h", "at", "value"],
+                    names=["lang", "h", "copies", "at", "value"],
                 )
                 yield part.filter(pa.array(letters))
 
-    sample = drawn.mapInArrow(sparse, "lang string, h long, at binary, value binary").toArrow().to_pylist()
+    sample = drawn.mapInArrow(sparse, "lang string, h long, copies long, at binary, value binary").toArrow().to_pylist()
     sample.sort(key=lambda r: (r["h"], r["lang"]))
     classes, kept, taken = sorted({r["lang"] for r in sample}), [], {}
     for r in sample:
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= each:
-            kept.append(r)
+        before = taken.get(r["lang"], 0)
+        taken[r["lang"]] = min(each, before + r["copies"])
+        kept += [r] * (taken[r["lang"]] - before)
     if not kept:
         return None
     labels = np.array([classes.index(r["lang"]) for r in kept])
@@ -241,7 +244,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(documents: DataFrame) -> DataFrame:
-    """Predicted language of every document, learned from the documents that are not held out."""
+    """Predicted language of every document, learned from the documents that are not held out: doc_id, held_out,
+    lang_pred, score.
+
+    Repeated rows are predicted each and count as often in what is learned; texts are read whole, an empty table gives no
+    rows. A null or empty text is ``und`` with score 0. Columns other than doc_id, text and lang are not read.
+    """
     model = fit(documents.filter(~held_out(F.col("doc_id"))))
     rows = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return predict(rows, model).drop("text")

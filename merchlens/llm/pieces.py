@@ -353,7 +353,10 @@ def encode(df: DataFrame, column: str = "text", out: str = "ids", pieces: Pieces
 
 
 def decode(df: DataFrame, column: str = "ids", out: str = "decoded", pieces: Pieces | None = None) -> DataFrame:
-    """``df`` with the text spelled by the ids in ``column``; null ids give null, no ids an empty text."""
+    """``df`` with the text spelled by the ids in ``column``; null ids give null, no ids an empty text.
+
+    Repeated rows are decoded each, an empty table stays empty; ``out`` must not be a column of ``df``.
+    """
     if out in df.columns:
         raise ValueError(f"{out} is already a column")
     table = df.sparkSession.sparkContext.broadcast(pieces or Pieces())
@@ -388,7 +391,11 @@ def decode(df: DataFrame, column: str = "ids", out: str = "decoded", pieces: Pie
 
 
 def token_report(documents: DataFrame, model: str = MODEL) -> DataFrame:
-    """Per document: number of ids, a digest of them, and whether decoding gives the text back."""
+    """Per document: number of ids, a digest of them, and whether decoding gives the text back.
+
+    A null text has no ids and counts as given back; repeated rows are reported each, an empty table gives no rows, texts
+    are read whole, and columns other than doc_id and text are not read.
+    """
     pieces = Pieces(model)
     both = decode(encode(documents.select("doc_id", "text"), pieces=pieces), pieces=pieces)
     same = F.col("decoded").eqNullSafe(F.translate("text", "▁", " "))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -190,12 +190,12 @@ def label_findings(documents: DataFrame, corpus: Corpus, path: str = "source") -
                         labels += [label, label]
             yield pa.RecordBatch.from_pydict({"features": pa.array(features, pa.list_(pa.float64())), "label": pa.array(labels, pa.float64())})
 
-    return _narrow(documents, path).select("text", "path").mapInArrow(run, "features array<double>, label double")
+    return documents.select("text", _path(documents, path)).mapInArrow(run, "features array<double>, label double")
 
 
-def _narrow(documents: DataFrame, path: str) -> DataFrame:
-    at = F.col(path).cast("string") if path in documents.columns else F.lit(None).cast("string")
-    return documents.select("*", at.alias("path")) if "path" not in documents.columns else documents
+def _path(documents: DataFrame, path: str) -> Column:
+    """The column that says where a text comes from, null if there is none, as ``path``."""
+    return (F.col(path).cast("string") if path in documents.columns else F.lit(None).cast("string")).alias("path")
 
 
 @dataclass
@@ -248,14 +248,15 @@ def _hang(nodes: list, depth: list, node: list) -> None:
 
 
 def fit_forest(findings: DataFrame, seed: int = 7) -> Forest | None:
-    """Random forest from labelled findings (features, label); at most ``FIT_FINDINGS`` of each label, those with the
-    smallest hash. None unless both labels occur."""
+    """Random forest from labelled findings (features, label); about ``FIT_FINDINGS`` of each label, those with the
+    smallest hash, and of equal ones no more than their share. None unless both labels occur."""
     sizes = {r["label"]: r["count"] for r in findings.groupBy("label").count().collect()}
     if not (sizes.get(0.0) and sizes.get(1.0)):
         return None
     share = F.when(F.col("label") == 1, min(1.0, FIT_FINDINGS / sizes[1.0])).otherwise(min(1.0, FIT_FINDINGS / sizes[0.0]))
     drawn = findings.filter(F.xxhash64("features", "label") / F.lit(2.0**64) + 0.5 <= share)
-    drawn = drawn.select(array_to_vector("features").alias("features"), "label")
+    drawn = drawn.groupBy("features", "label").agg(F.count("*").alias("n")).withColumn("n", F.ceil(F.col("n") * share).cast("int"))
+    drawn = drawn.withColumn("n", F.explode(F.sequence(F.lit(1), "n"))).select(array_to_vector("features").alias("features"), "label")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=2)
     return read_trees(forest.fit(drawn).toDebugString)
 
@@ -287,10 +288,10 @@ def fit(documents: DataFrame, path: str = "source", findings: DataFrame | None =
     return Scanner(corpus, fit_forest(findings))
 
 
-def _findings(batch, scanner: Scanner):
+def _findings(batch, scanner: Scanner, text: str = "text"):
     """(block's first row, bytes, offsets, rows, starts, ends, scores, kinds) of a batch."""
     paths = batch.column("path").to_pylist()
-    for at, to, data, offsets in blocks(batch.column("text")):
+    for at, to, data, offsets in blocks(batch.column(text)):
         raw = data.tobytes()
         row, start, end = (x.tolist() for x in candidates(data, offsets))
         rows = [(*_around(raw, offsets[r], offsets[r + 1], s, e), paths[at + r] or "") for r, s, e in zip(row, start, end, strict=True)]
@@ -301,8 +302,8 @@ def _findings(batch, scanner: Scanner):
 def scan(documents: DataFrame, scanner: Scanner, path: str = "source") -> DataFrame:
     """One row per finding: doc_id, start and length in UTF-8 bytes, kind, score, is_secret, and the string's SHA-256.
 
-    Null and empty texts have no findings; a null path says nothing; repeated rows are reported each. Other columns are
-    not read.
+    Null and empty texts have no findings; a null path says nothing; repeated rows are reported each; texts are read
+    whole, and an empty table gives no rows. Columns other than doc_id, text and ``path`` are not read.
     """
     shared = documents.sparkSession.sparkContext.broadcast(scanner)
     schema = "doc_id long, start long, length long, kind string, score double, is_secret boolean, value binary"
@@ -325,35 +326,40 @@ def scan(documents: DataFrame, scanner: Scanner, path: str = "source") -> DataFr
                         }
                     )
 
-    rows = _narrow(documents, path).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "path").mapInArrow(run, schema)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _path(documents, path)).mapInArrow(run, schema)
     return rows.withColumn("value_sha256", F.sha2("value", 256)).drop("value")
 
 
 def redact(documents: DataFrame, scanner: Scanner, path: str = "source") -> DataFrame:
-    """``documents`` with ``[SECRET]`` in the place of each string judged to be a secret; all rows and columns stay."""
+    """``documents`` with ``[SECRET]`` in the place of each string judged to be a secret; all rows and columns stay.
+
+    Null texts stay null, empty ones empty; texts are read whole, repeated rows are masked each, an empty table stays
+    empty, and columns may have any names.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(scanner)
     columns, schema = documents.columns, T.StructType(documents.schema.fields)
 
     def run(batches):
         for batch in batches:
-            for at, to, raw, offsets, row, start, end, score, _ in _findings(batch, shared.value):
+            for at, to, raw, offsets, row, start, end, score, _ in _findings(batch, shared.value, "in_text"):
                 spans: dict[int, list[tuple[int, int]]] = {}
                 for r, s, e, p in zip(row, start, end, score, strict=True):
                     if p >= THRESHOLD:
                         spans.setdefault(r, []).append((s, e))
                 part = batch.slice(at, to - at)
                 if spans:
-                    texts = part.column("text").to_pylist()
+                    texts = part.column("in_text").to_pylist()
                     for r, found in spans.items():
                         pieces, last = [], int(offsets[r])
                         for s, e in found:
                             pieces += [raw[last:s], MASK]
                             last = e
                         texts[r] = b"".join([*pieces, raw[last : offsets[r + 1]]]).decode()
-                    part = part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-                yield part.select(columns)
+                    part = part.set_column(part.schema.get_field_index("in_text"), "in_text", pa.array(texts, pa.string()))
+                yield part.select([f"in_{c}" for c in columns]).rename_columns(columns)
 
-    return _narrow(documents, path).mapInArrow(run, schema)
+    renamed = documents.select(*[F.col(c).alias(f"in_{c}") for c in columns], _path(documents, path))
+    return renamed.mapInArrow(run, schema)
 
 
 def find_secrets(documents: DataFrame) -> DataFrame:

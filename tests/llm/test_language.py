@@ -59,3 +59,26 @@ def test_ftrl_drops_useless_features():
         model.learn(np.arange(6), np.concatenate([[label * 2.0 - 1], rng.standard_normal(5) * 0.1]), label)
     w = model.weights()
     assert w[0, 1] > 0 > w[0, 0] and (w[1:] == 0).any()
+
+
+def test_copies_of_a_drawn_text_reach_the_driver_once(spark, monkeypatch):
+    monkeypatch.setattr(L, "FIT_PER_LANGUAGE", 50)
+    text = "le texte répété " * 3
+    rows = spark.range(3000).selectExpr("IF(id < 2000, 'fr', 'en') AS lang", f"IF(id < 1500, '{text}', concat('number ', id, ' of all the words')) AS text")
+    seen = []
+    fit_weights = L.fit_weights
+    monkeypatch.setattr(L, "fit_weights", lambda rows, *a: seen.append(len(rows)) or fit_weights(rows, *a))
+    arrow = type(rows).toArrow
+    reached = []
+
+    def counted(df):
+        table = arrow(df)
+        reached.append(table.num_rows)
+        return table
+
+    monkeypatch.setattr(type(rows), "toArrow", counted)
+    model = L.fit(rows)
+    assert model.classes == ["en", "fr"] and seen[0] <= 100
+    assert max(reached) <= 200
+    pred = {r["lang_pred"] for r in L.predict(rows.filter("lang = 'en'"), model).collect()}
+    assert pred == {"en"}

@@ -2,6 +2,7 @@ import sentencepiece
 
 import corpus_pipeline
 from merchlens.llm import decontaminate, pieces
+from samples import prose
 from test_minhash import brute_classes
 from test_decontaminate import plain
 
@@ -39,3 +40,21 @@ def test_decontamination_stage_uses_the_benchmark_of_the_folder(spark, sf, docum
     kept = corpus_pipeline.no_benchmark(spark, documents, sf).count()
     leaks = decontaminate.find_leaks(documents, spark.read.parquet(f"{sf}/benchmark.parquet"))
     assert kept == documents.count() - leaks.select("doc_id").distinct().count()
+
+
+def test_exactly_one_row_of_each_class_stays(spark, sf):
+    t, u, x = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(1, t), (1, t), (2, u), (None, u), (None, u), (3, t), (3, x), (None, prose(4, 60)), (5, t + " tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.one_of_each(spark, docs, sf)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, t), (2, u), (3, x), (None, prose(4, 60))], key=str)
+
+
+def test_columns_that_stages_use_may_exist(spark, sf):
+    text = " ".join(["token", "=", '"0123456789abcdef0123"', prose(1, 90)])
+    docs = spark.createDataFrame([(1, text, "en", 7, "x", 3, 4)], "doc_id long, text string, lang string, path long, token_ids string, row_key long, in_text long")
+    for stage in (corpus_pipeline.one_of_each, corpus_pipeline.no_benchmark, corpus_pipeline.secrets_masked):
+        assert [r.asDict() for r in stage(spark, docs, sf).drop("text").collect()] == [r.asDict() for r in docs.drop("text").collect()]
+    out = corpus_pipeline.as_pieces(spark, docs, sf).first()
+    assert out["token_ids"] == sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode(text)
+    assert out["path"] == 7

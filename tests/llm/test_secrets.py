@@ -82,3 +82,24 @@ def test_edge_rows(spark, edge_documents, no_documents):
     assert S.redact(no_documents, S.fit(no_documents)).count() == 0
     by_rule = S.scan(edge_documents.selectExpr("doc_id", "'token = \"0123456789abcdef0123\"' AS text"), S.Scanner(scanner.corpus, None))
     assert {r["is_secret"] for r in by_rule.collect()} == {True}
+
+
+def test_copies_of_a_finding_stay_within_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(S, "FIT_FINDINGS", 100)
+    one = spark.range(5000).selectExpr("IF(id < 4000, array(1D, 0D), array(CAST(id AS DOUBLE), 1D)) AS features", "CAST(id % 2 AS DOUBLE) AS label")
+    fitted = []
+    fit = S.RandomForestClassifier.fit
+    monkeypatch.setattr(S.RandomForestClassifier, "fit", lambda self, df: fitted.append(df.count()) or fit(self, df))
+    assert S.fit_forest(one) is not None
+    assert 0 < fitted[0] <= 400
+
+
+def test_path_column_of_any_type(spark):
+    line = 'token = "0123456789abcdef0123"'
+    docs = spark.createDataFrame([(1, line, 5, "a.py"), (2, line, None, None)], "doc_id long, text string, path long, source string")
+    scanner = S.Scanner(S.fit(docs).corpus, None)
+    for column in ("path", "source", "missing"):
+        assert {r["doc_id"] for r in S.scan(docs, scanner, column).filter("is_secret").collect()} == {1, 2}
+        out = S.redact(docs, scanner, column).orderBy("doc_id").collect()
+        assert [(r["text"], r["path"], r["source"]) for r in out] == [('token = "[SECRET]"', 5, "a.py"), ('token = "[SECRET]"', None, None)]
+    assert S.find_secrets(docs).count() == 2
