@@ -6,7 +6,6 @@ the matching penalty is 1 / (C * n) on unscaled features.
 
 from __future__ import annotations
 
-import math
 import time
 from dataclasses import dataclass
 
@@ -19,11 +18,11 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.proba import argmax
+from . import linear
+from .linear import LinearModel
 from .lookup import lookup_join
 from .metrics import evaluate
 
@@ -61,7 +60,7 @@ def linear_svm(
     df: DataFrame, cols: Columns = Columns(), C: float | None = None, alpha: float = 1e-4,
     max_iter: int = 1000, parallelism: int = 4, n: int | None = None,
 ):
-    """One-vs-rest hinge SVM: penalty ``alpha``, or 1 / (C * n) when C is given."""
+    """One-vs-rest SVM with plain hinge loss: penalty ``alpha``, or 1 / (C * n) when C is given."""
     if C is not None:
         n = df.count() if n is None else n
         alpha = 1.0 / (C * n)
@@ -69,37 +68,14 @@ def linear_svm(
     return _ovr(svc, cols, parallelism).fit(df)
 
 
-class RidgeModel:
-    """One least-squares model per class on -1/+1 targets."""
-
-    def __init__(self, models: list, cols: Columns):
-        self.models, self.cols = models, cols
-
-    def margins(self, df: DataFrame, out: str = "margins") -> DataFrame:
-        for k, m in enumerate(self.models):
-            df = m.setFeaturesCol(self.cols.features).setPredictionCol(f"_ridge{k}").transform(df)
-        names = [f"_ridge{k}" for k in range(len(self.models))]
-        return df.withColumn(out, F.array(*names)).drop(*names)
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.margins(df, "margins").withColumn("prediction", argmax(F.col("margins")).cast("double"))
-
-
-def ridge_classifier(df: DataFrame, n_classes: int, cols: Columns = Columns(), alpha: float = 1.0, n: int | None = None):
-    counts = {int(r[0]): r[1] for r in df.groupBy(cols.label).count().collect()}
-    n = sum(counts.values()) if n is None else n
-    models = []
-    for k in range(n_classes):
-        target = df.withColumn("_target", F.when(F.col(cols.label) == k, 1.0).otherwise(-1.0))
-        share = counts.get(k, 0) / n
-        # Spark divides the penalty by the deviation of the target
-        deviation = 2.0 * math.sqrt(share * (1.0 - share)) or 1.0
-        fit = LinearRegression(
-            featuresCol=cols.features, labelCol="_target", regParam=alpha / n * deviation, elasticNetParam=0.0,
-            standardization=False, solver="auto",
-        ).fit(target)
-        models.append(fit)
-    return RidgeModel(models, cols)
+def squared_hinge_svm(df: DataFrame, n_classes: int, cols: Columns = Columns(), C: float = 1.0, max_iter: int = 1000) -> LinearModel:
+    """One-vs-rest support vector classifier with squared hinge loss and strength C, all classes fitted together."""
+    return linear.squared_hinge_svm(df, n_classes, cols.features, cols.label, C, TOLERANCE, max_iter)
+
+
+def ridge_classifier(df: DataFrame, n_classes: int, cols: Columns = Columns(), alpha: float = 1.0) -> LinearModel:
+    """Least squares on -1/+1 targets, all classes solved together."""
+    return linear.ridge(df, n_classes, cols.features, cols.label, alpha)
 
 
 def complement_naive_bayes(df: DataFrame, cols: Columns = Columns(), smoothing: float = 1.0):
