@@ -10,7 +10,6 @@ import time
 from dataclasses import dataclass
 
 from pyspark.ml.classification import (
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     NaiveBayes,
@@ -21,7 +20,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import linear
+from . import boosting, linear
+from .boosting import BoostedTrees
 from .linear import LinearModel
 from .lookup import lookup_join
 from .metrics import evaluate
@@ -88,11 +88,13 @@ def random_forest(df: DataFrame, cols: Columns = Columns(), trees: int = 100, ma
 
 
 def boosted_trees(
-    df: DataFrame, cols: Columns = Columns(), rounds: int = 100, max_depth: int = 6,
-    learning_rate: float = 0.3, seed: int = 42, parallelism: int = 4,
-):
-    gbt = GBTClassifier(maxIter=rounds, maxDepth=max_depth, stepSize=learning_rate, seed=seed)
-    return _ovr(gbt, cols, parallelism).fit(df)
+    df: DataFrame, cols: Columns = Columns(), rounds: int = 100, max_depth: int = 6, learning_rate: float = 0.3, bins: int = 64,
+    n_classes: int | None = None,
+) -> BoostedTrees:
+    """Second-order boosting of one tree a class and round; classes are 0 to the largest label unless their number is given."""
+    if n_classes is None:
+        n_classes = int(df.agg(F.max(cols.label)).first()[0]) + 1
+    return boosting.boosted_trees(df, n_classes, cols.features, cols.label, rounds, max_depth, learning_rate, bins=bins)
 
 
 def fit_model(name: str, df: DataFrame, cols: Columns = Columns(), **params):

@@ -23,6 +23,7 @@ from ..session import persist_to_table
 
 BLOCK_VALUES = 1 << 18
 SLICE = 1 << 14
+FEW = 8
 FAN_IN = 64
 MOST_CELLS = 1 << 27  # 1 GB of weights
 
@@ -89,6 +90,45 @@ def _pack(batches):
             low = high
 
 
+def total(table: DataFrame, part: Callable[..., np.ndarray], shape: tuple[int, ...], *arrays, tasks: int) -> np.ndarray:
+    """Sum of ``part(row, *arrays)``, an array of ``shape``, over the rows (as dicts) of a table of blocks.
+
+    The ``tasks`` that read the table send their sums in slices. Those of up to ``FEW`` tasks are added up on the driver,
+    else each slice by a task, with a level of ``FAN_IN`` in between where there are more tasks.
+    """
+    shared = table.sparkSession.sparkContext.broadcast(arrays)
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                mine = part(row, *shared.value)
+                total = mine if total is None else np.add(total, mine, out=total)
+        if total is not None:
+            flat = total.ravel()
+            at = range(0, len(flat), SLICE)
+            yield pa.RecordBatch.from_pydict({"at": list(at), "total": [flat[i : i + SLICE].tobytes() for i in at]})
+
+    def add(group: pa.Table) -> pa.Table:
+        sums = np.zeros(len(group["total"][0].as_py()) // 8)
+        for chunk in group["total"].to_pylist():
+            sums += np.frombuffer(chunk)
+        return pa.table({"at": group["at"][:1], "total": [sums.tobytes()]})
+
+    schema = "at long, total binary"
+    parts = table.mapInArrow(run, schema)
+    if tasks > FAN_IN:
+        salted = parts.withColumn("salt", F.spark_partition_id() % FAN_IN)
+        parts = salted.groupBy("at", "salt").applyInArrow(lambda g: add(g.select(["at", "total"])), schema)
+    if tasks > FEW:
+        parts = parts.groupBy("at").applyInArrow(add, schema)
+    out = np.zeros(shape)
+    for r in parts.collect():
+        out.ravel()[r["at"] : r["at"] + SLICE] += np.frombuffer(bytes(r["total"]))
+    shared.destroy()
+    return out
+
+
 @dataclass
 class PackedRows:
     """A training table in blocks, with its number of columns, classes, and rows of each class."""
@@ -96,6 +136,7 @@ class PackedRows:
     table: DataFrame
     width: int
     counts: np.ndarray
+    tasks: int
 
     @property
     def n(self) -> int:
@@ -105,10 +146,10 @@ class PackedRows:
     def pack(cls, df: DataFrame, features: str, label: str, n_classes: int) -> "PackedRows":
         """Rows with a null vector or label, or a label that is no class, are an error."""
         rows = df.select(F.unwrap_udt(F.col(features)).alias("features"), F.col(label).cast("double").alias("label"))
-        table = persist_to_table(rows.mapInArrow(_pack, "label binary, ends binary, columns binary, data binary"), "packed-rows")
         sized = F.coalesce("features.size", F.size("features.values"))
-        facts = rows.groupBy("label").agg(F.max(sized).alias("width"), F.min(sized).alias("least"), F.count("*").alias("n")).collect()
-        if any(r["label"] not in range(n_classes) or r["width"] is None or r["width"] != r["least"] for r in facts):
+        stored = F.sum(F.size("features.values")).alias("stored")
+        facts = rows.groupBy("label").agg(F.max(sized).alias("width"), F.min(sized).alias("least"), F.count("*").alias("n"), F.count("features").alias("full"), stored).collect()
+        if any(r["label"] not in range(n_classes) or r["full"] < r["n"] or r["width"] != r["least"] for r in facts):
             raise ValueError("labels are 0 to the number of classes - 1, and vectors have one size")
         if len({r["width"] for r in facts}) != 1:
             raise ValueError("no rows" if not facts else "vectors have one size")
@@ -118,41 +159,21 @@ class PackedRows:
         counts = np.zeros(n_classes, np.int64)
         for r in facts:
             counts[int(r["label"])] = r["n"]
-        return cls(table, width, counts)
+        # a task for each full block, and no more than the rows come in
+        rows = rows.coalesce(max(1, -(-sum(r["stored"] for r in facts) // BLOCK_VALUES)))
+        table = persist_to_table(rows.mapInArrow(_pack, "label binary, ends binary, columns binary, data binary"), "packed-rows")
+        return cls(table, width, counts, table.rdd.getNumPartitions())
 
     def total(self, part: Callable[..., np.ndarray], shape: tuple[int, int], *arrays: np.ndarray) -> np.ndarray:
         """Sum over all blocks of ``part(block, *arrays)``, an array of ``shape``."""
-        shared, width = self.table.sparkSession.sparkContext.broadcast(arrays), self.width
-
-        def run(batches):
-            total = None
-            for batch in batches:
-                for label, ends, column, value in zip(*(batch.column(c).to_pylist() for c in ("label", "ends", "columns", "data")), strict=True):
-                    ends = np.frombuffer(ends, np.int64)
-                    row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-                    block = Block(np.frombuffer(label), row, np.frombuffer(column, np.int32), np.frombuffer(value), width)
-                    mine = part(block, *shared.value)
-                    total = mine if total is None else np.add(total, mine, out=total)
-            if total is not None:
-                flat = total.ravel()
-                at = range(0, len(flat), SLICE)
-                yield pa.RecordBatch.from_pydict({"at": list(at), "total": [flat[i : i + SLICE].tobytes() for i in at]})
-
-        def add(group: pa.Table) -> pa.Table:
-            sums = np.zeros(len(group["total"][0].as_py()) // 8)
-            for chunk in group["total"].to_pylist():
-                sums += np.frombuffer(chunk)
-            return pa.table({"at": group["at"][:1], "total": [sums.tobytes()]})
-
-        parts = self.table.mapInArrow(run, "at long, total binary")
-        if self.table.rdd.getNumPartitions() > FAN_IN:
-            salted = parts.withColumn("salt", F.spark_partition_id() % FAN_IN)
-            parts = salted.groupBy("at", "salt").applyInArrow(lambda g: add(g.select(["at", "total"])), "at long, total binary")
-        out = np.zeros(shape)
-        for r in parts.groupBy("at").applyInArrow(add, "at long, total binary").collect():
-            out.ravel()[r["at"] : r["at"] + SLICE] = np.frombuffer(bytes(r["total"]))
-        shared.destroy()
-        return out
+        width = self.width
+
+        def block(row: dict) -> Block:
+            ends = np.frombuffer(row["ends"], np.int64)
+            at = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+            return Block(np.frombuffer(row["label"]), at, np.frombuffer(row["columns"], np.int32), np.frombuffer(row["data"]), width)
+
+        return total(self.table, lambda row, *shared: part(block(row), *shared), shape, *arrays, tasks=self.tasks)
 
 
 class ClassWeights(NamedTuple):
