@@ -12,7 +12,8 @@ from ..operators import pixels as P
 from ..operators import visual_words as V
 from ..operators.image_features import fit_image_classifier, pixel_features, union_features, vector_features, word_features
 from ..operators.projections import fit_discriminant, fit_pca
-from ..session import persist_to_table
+from ..session import persist_to_table, scratch_path
+from ..sources.images import image_pixels, load_product_images, scan_images, write_images
 from .evaluation import rounded
 from .registry import query
 from .standins import PIXELS, pixels, table
@@ -35,6 +36,16 @@ def pixel_color_class(spark: SparkSession, sf: str) -> DataFrame:
     return P.color_classes(pixels(spark, sf)).select("image_id", "row", "col", "h", "s", "v", "color_class")
 
 
+@query("image_scan", f"WITH {PIXELS} SELECT image_id, row, col, r, g, b FROM pixels")
+def image_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """An image file for each part, written, found again by the ids in its name, and decoded."""
+    ids = (F.col("image_id").alias("productid"), (F.col("image_id") * 31 + 7).alias("imageid"))
+    folder = scratch_path(spark, "images")
+    write_images(pixels(spark, sf).select(*ids, "row", "col", "r", "g", "b"), folder)
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("image_id")).select(*ids)
+    return image_pixels(load_product_images(parts, scan_images(spark, folder)))
+
+
 _MASK = "v > 70 AND (s > 40 OR v < 200)"
 
 

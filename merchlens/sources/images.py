@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import struct
+
+import numpy as np
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import require_columns
 
@@ -38,22 +44,61 @@ def missing_images(products: DataFrame, images: DataFrame) -> DataFrame:
     return products.join(images.select("imageid", "productid"), ["imageid", "productid"], "left_anti")
 
 
+PIXEL_ARRAY = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("row", "col", "r", "g", "b")]))
+
+
+@F.arrow_udf(PIXEL_ARRAY)
+def _decoded(height: pa.Array, width: pa.Array, channels: pa.Array, data: pa.Array) -> pa.Array:
+    """Pixels of images given as rows of bytes in the order blue, green, red (and more), or one shade."""
+    heights, widths, sizes = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (height, width, channels))
+    parts, ends = [], [0]
+    for h, w, n, raw in zip(heights, widths, sizes, data, strict=True):
+        cells = np.frombuffer(raw.as_buffer(), np.uint8)[: h * w * n].reshape(h * w, n)
+        at = np.arange(h * w)
+        blue, green, red = (cells[:, min(k, n - 1)] for k in range(3))
+        parts.append(np.stack([at // w, at % w, red, green, blue]).astype(np.int32))
+        ends.append(ends[-1] + h * w)
+    cells = np.concatenate(parts, axis=1) if parts else np.empty((5, 0), np.int32)
+    pixels = pa.StructArray.from_arrays([pa.array(c) for c in cells], names=["row", "col", "r", "g", "b"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pixels)
+
+
 def image_pixels(images: DataFrame, key: str = "productid") -> DataFrame:
-    """Decoded images (BGR bytes) as a pixel table."""
-    n = F.col("image.nChannels")
-    width = F.col("image.width")
-    offsets = F.sequence(F.lit(0), F.col("image.height") * width - 1)
-    cells = images.select(F.col(key).alias("image_id"), "image", n.alias("n"), width.alias("w"), F.explode(offsets).alias("i"))
-
-    def byte(shift: int):
-        at = (F.col("i") * F.col("n") + F.least(F.lit(shift), F.col("n") - 1) + 1).cast("int")
-        return F.conv(F.hex(F.substring(F.col("image.data"), at, F.lit(1))), 16, 10).cast("int")
-
-    return cells.select(
-        "image_id",
-        F.floor(F.col("i") / F.col("w")).cast("int").alias("row"),
-        (F.col("i") % F.col("w")).cast("int").alias("col"),
-        byte(2).alias("r"),
-        byte(1).alias("g"),
-        byte(0).alias("b"),
-    )
+    """Decoded images (BGR bytes) as a pixel table; a row without image has no pixels."""
+    found = images.filter(F.col("image").isNotNull()).select(F.col(key).alias("image_id"), "image")
+    return found.select("image_id", F.inline(_decoded(*[F.col(f"image.{c}") for c in ("height", "width", "nChannels", "data")])))
+
+
+def bitmap(pixels: np.ndarray) -> bytes:
+    """Uncompressed bitmap file of a (height, width, 3) array of red, green and blue."""
+    height, width, _ = pixels.shape
+    rows = np.zeros((height, -(-3 * width // 4) * 4), np.uint8)  # rows from the bottom up, of a multiple of four bytes
+    rows[:, : 3 * width] = pixels[::-1, :, ::-1].reshape(height, 3 * width)
+    head = struct.pack("<2sIHHI", b"BM", 54 + rows.size, 0, 0, 54)
+    return head + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes()
+
+
+def write_images(pixels: DataFrame, folder: str) -> int:
+    """Write a bitmap ``image_<imageid>_product_<productid>.bmp`` for each image of a pixel table (imageid, productid, row,
+    col, r, g, b) into a folder all executors reach; the number of files.
+
+    Executors write the files, through the file system that the folder's address names; a task that is run again writes
+    the same files again. An image is held whole by one task, and pixels it lacks are black.
+    """
+    cells = F.array_sort(F.collect_list(F.struct("row", "col", "r", "g", "b"))).alias("cells")
+    images = pixels.groupBy("imageid", "productid").agg(cells)
+
+    def run(batches):
+        files, root = FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        for batch in batches:
+            cells = batch.column("cells")
+            for i, (image, product) in enumerate(zip(batch.column("imageid").to_pylist(), batch.column("productid").to_pylist(), strict=True)):
+                row, col, *shades = (c.to_numpy(zero_copy_only=False) for c in cells[i].values.flatten())
+                whole = np.zeros((row.max() + 1, col.max() + 1, 3), np.uint8)
+                whole[row, col] = np.stack(shades, axis=1)
+                with files.open_output_stream(f"{root}/image_{image}_product_{product}.bmp") as out:
+                    out.write(bitmap(whole))
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    return images.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -129,3 +129,29 @@ def test_rejected_export_leaves_no_data(spark, tmp_path):
     with pytest.raises(AssertionError):
         predictions.export_predictions(bad, str(tmp_path), "m", "s", "sig", classes=CANONICAL_CLASSES)
     assert not [p for p in tmp_path.rglob("*.parquet") if p.is_file()]
+
+
+def test_written_images_are_read_back(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    want = [
+        (k, k + 100, row, col, *map(int, rng.integers(0, 256, 3)))
+        for k, (h, w) in enumerate([(1, 1), (3, 5), (4, 2), (7, 3)])
+        for row in range(h)
+        for col in range(w)
+    ]
+    pixels = spark.createDataFrame(want, "productid long, imageid long, row int, col int, r int, g int, b int").repartition(3)
+    for folder in (str(tmp_path / "a"), f"file://{tmp_path}/b"):
+        assert images.write_images(pixels, folder) == 4
+        assert images.write_images(pixels, folder) == 4  # as a task that is run again
+        found = images.scan_images(spark, folder)
+        got = images.image_pixels(found).join(found.select(images.F.col("productid").alias("image_id"), "imageid"), "image_id")
+        assert {tuple(r) for r in got.select("image_id", "imageid", "row", "col", "r", "g", "b").collect()} == set(want)
+    assert images.write_images(pixels.limit(0), str(tmp_path / "c")) == 0
+
+
+def test_shades_and_missing_images_as_pixels(spark):
+    schema = "productid long, image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
+    df = spark.createDataFrame([(1, ("", 1, 2, 1, 0, bytearray([7, 9]))), (2, None), (3, ("", 1, 1, 4, 24, bytearray([1, 2, 3, 4])))], schema)
+    assert sorted(map(tuple, images.image_pixels(df).collect())) == [(1, 0, 0, 7, 7, 7), (1, 0, 1, 9, 9, 9), (3, 0, 0, 3, 2, 1)]
