@@ -339,3 +339,18 @@ def ridge(
 
     w, passes = _conjugate_gradients(product, target, tolerance * np.linalg.norm(target, axis=0), diagonal, max_iter)
     return LinearModel(w, share - (mean.T @ w)[0], features, [{"passes": passes}])
+
+
+def save_linear(model: LinearModel, path: str) -> None:
+    """Weights as rows (class_idx, intercept, weights) of a Parquet table; one file a class."""
+    rows = [(k, float(b), w.tolist(), model.features) for k, (w, b) in enumerate(zip(model.weights.T, model.intercepts, strict=True))]
+    spark = SparkSession.getActiveSession()
+    table = spark.createDataFrame(rows, "class_idx int, intercept double, weights array<double>, features string")
+    table.write.mode("overwrite").parquet(path)
+
+
+def load_linear(spark: SparkSession, path: str) -> LinearModel:
+    rows = spark.read.parquet(path).orderBy("class_idx").collect()
+    if [r["class_idx"] for r in rows] != list(range(len(rows))) or not rows:
+        raise ValueError(f"{path} has no weights of classes 0, 1, …")
+    return LinearModel(np.array([r["weights"] for r in rows]).T, np.array([r["intercept"] for r in rows]), rows[0]["features"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +11,11 @@ from ..functions.proba import argmax, array_sum, softmax
 from ..functions.text_merge import raw_text
 from ..operators import classifiers as C
 from ..operators.calibrate import balanced_weights, calibrate_with_folds
+from ..operators.linear import LinearModel, load_linear, save_linear
 from ..operators.metrics import evaluate
 from ..operators.splits import stratified_flag
 from ..operators.vectorize import FeatureUnion, Vectorizer
-from ..session import local_rows, persist_to_table
+from ..session import local_rows, persist_to_table, scratch_path
 from .labels import _ranked_sql as ranked_sql
 from .registry import query
 from .standins import CODED, coded_parts, products, table
@@ -248,3 +250,41 @@ def linear_scores(spark: SparkSession, sf: str) -> DataFrame:
     entries, weights = _complement_weights(spark, sf)
     scores = C.linear_scores(entries.select("doc_id", "term", "value"), weights, "doc_id")
     return scores.withColumn("score", F.round("score", 4))
+
+
+@query(
+    "linear_scores_row_local",
+    f"""WITH {_NB}, s AS (SELECT doc_id, class_idx, sum(n * w) AS score FROM tfs JOIN nb USING (term) GROUP BY ALL)
+    SELECT doc_id, class_idx, round(coalesce(score, 0), 4) AS score
+    FROM (SELECT doc_id, unnest(range(0, 4))::INT AS class_idx FROM documents) LEFT JOIN s USING (doc_id, class_idx)""",
+)
+def linear_scores_row_local(spark: SparkSession, sf: str) -> DataFrame:
+    """The scores of ``linear_scores_by_join`` as a dot product per row: the weights are broadcast, nothing is shuffled."""
+    docs = with_language_index(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    fitted = Vectorizer(kind="count", ngram_range=(1, 2), max_features=MAX_WORDS).fit(docs, "text")
+    counts = fitted.entries(docs, "text", ["doc_id", "y"]).groupBy(F.col("y").cast("int").alias("class_idx"), "term").agg(F.sum("value").alias("n"))
+    place = {term: i for i, term in enumerate(fitted.terms)}
+    weights = np.zeros((len(place), len(LANGS)))
+    for r in C.complement_log_weights(counts, list(range(len(LANGS)))).collect():  # MAX_WORDS bounds the terms
+        weights[place[r["term"]], r["class_idx"]] = r["w"]
+    model = LinearModel(weights, np.zeros(len(LANGS)))
+    scored = model.margins(fitted.transform(docs, "text", "features").select("doc_id", "features"), "scores")
+    return scored.select("doc_id", F.posexplode("scores").alias("class_idx", "score")).withColumn("score", F.round("score", 4))
+
+
+@query(
+    "linear_model_roundtrip",
+    f"WITH {TRAINING} SELECT count(*) AS n_rows, 0::BIGINT AS other_margins, 0::BIGINT AS other_predictions FROM training",
+)
+def linear_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows whose margins or predictions differ after a model of joint solvers is stored and loaded."""
+    rows = vectorized_documents(spark, sf)
+    model = C.ridge_classifier(rows.filter("is_train"), len(LANGS))
+    path = scratch_path(spark, "linear-model")
+    save_linear(model, path)
+    before = model.transform(rows).select("features", F.col("margins").alias("m"), F.col("prediction").alias("p"))
+    after = load_linear(spark, path).transform(before)
+    return after.agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("m") != F.col("margins")).alias("other_margins"),
+        F.count_if(F.col("p") != F.col("prediction")).alias("other_predictions"),
+    )

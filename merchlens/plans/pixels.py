@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.color import gray
 from ..functions.proba import argmax, array_sum
+from ..operators import image_kernels as K
 from ..operators import pixels as P
 from ..operators import visual_words as V
 from ..operators.image_features import fit_image_classifier, pixel_features, union_features, vector_features, word_features
@@ -15,7 +16,7 @@ from ..operators.projections import fit_discriminant, fit_pca
 from ..session import persist_to_table, scratch_path
 from ..sources.images import image_pixels, load_product_images, scan_images, write_images
 from .evaluation import rounded
-from .registry import query
+from .registry import ORACLES, query
 from .standins import PIXELS, pixels, table
 
 # 8-bit conversions with 12-bit fixed point, as integer SQL
@@ -36,16 +37,6 @@ def pixel_color_class(spark: SparkSession, sf: str) -> DataFrame:
     return P.color_classes(pixels(spark, sf)).select("image_id", "row", "col", "h", "s", "v", "color_class")
 
 
-@query("image_scan", f"WITH {PIXELS} SELECT image_id, row, col, r, g, b FROM pixels")
-def image_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """An image file for each part, written, found again by the ids in its name, and decoded."""
-    ids = (F.col("image_id").alias("productid"), (F.col("image_id") * 31 + 7).alias("imageid"))
-    folder = scratch_path(spark, "images")
-    write_images(pixels(spark, sf).select(*ids, "row", "col", "r", "g", "b"), folder)
-    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("image_id")).select(*ids)
-    return image_pixels(load_product_images(parts, scan_images(spark, folder)))
-
-
 _MASK = "v > 70 AND (s > 40 OR v < 200)"
 
 
@@ -92,6 +83,41 @@ def histogram_contrast(spark: SparkSession, sf: str) -> DataFrame:
     return P.histogram_contrast(pixels(spark, sf))
 
 
+@query("image_scan", f"WITH {PIXELS} SELECT image_id, row, col, r, g, b FROM pixels")
+def image_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """An image file for each part, written, found again by the ids in its name, and decoded."""
+    return image_pixels(part_images(spark, sf))
+
+
+def part_images(spark: SparkSession, sf: str) -> DataFrame:
+    """(productid, imageid, path, image) of the files that are written for all parts."""
+    ids = (F.col("image_id").alias("productid"), (F.col("image_id") * 31 + 7).alias("imageid"))
+    folder = scratch_path(spark, "images")
+    write_images(pixels(spark, sf).select(*ids, "row", "col", "r", "g", "b"), folder)
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("image_id")).select(*ids)
+    return load_product_images(parts, scan_images(spark, folder))
+
+
+def part_image_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return part_images(spark, sf).select(F.col("productid").alias("image_id"), "image")
+
+
+def histogram_rows(images: DataFrame, counts: Column, bins: int) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(c).alias("channel"), F.slice("counts", k * bins + 1, bins).alias("h")) for k, c in enumerate("rgb")])
+    rows = images.select("image_id", counts.alias("counts")).select("image_id", F.inline(cells))
+    return rows.select("image_id", "channel", F.posexplode("h").alias("bin", "n"))
+
+
+@query("image_histograms", ORACLES["rgb_histogram"])
+def image_histograms(spark: SparkSession, sf: str) -> DataFrame:
+    return histogram_rows(part_image_rows(spark, sf), K.histograms(F.col("image"), 16), 16)
+
+
+@query("image_contrast", ORACLES["histogram_contrast"])
+def image_contrast(spark: SparkSession, sf: str) -> DataFrame:
+    return part_image_rows(spark, sf).select("image_id", K.contrast(F.col("image")).alias("min_max_diff"))
+
+
 @query(
     "color_proportions",
     f"WITH {HSV} SELECT image_id, " + ", ".join(
@@ -130,6 +156,28 @@ def foreground_box_dark(spark: SparkSession, sf: str) -> DataFrame:
     return P.foreground_box(pixels(spark, sf), 8, threshold=230, dark_background=True)
 
 
+@query("image_boxes", f"WITH {_box_sql('y <= 240')}")
+def image_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    return K.with_foreground_box(part_image_rows(spark, sf), 8).select("image_id", "cropped", "box.*")
+
+
+@query(
+    "cropped_histograms",
+    f"""WITH {PIXELS}, {_LONG.replace(" AS x", " AS x, row, col").replace("'g', g FROM", "'g', g, row, col FROM").replace("'b', b FROM", "'b', b, row, col FROM")},
+    boxes AS (WITH {_box_sql('y <= 240')}),
+    c AS (SELECT image_id, channel, x // 16 AS bin, count(*) AS n FROM long JOIN boxes USING (image_id)
+      WHERE row >= r_min AND row < r_max AND col >= c_min AND col < c_max GROUP BY ALL),
+    slots AS (SELECT image_id, channel, bin FROM (SELECT DISTINCT image_id FROM pixels), (VALUES ('r'), ('g'), ('b')) t(channel),
+      (SELECT unnest(range(0, 16)) AS bin))
+    SELECT image_id, channel, bin, coalesce(n, 0) AS n FROM slots LEFT JOIN c USING (image_id, channel, bin)""",
+    ints=["bin"],
+)
+def cropped_histograms(spark: SparkSession, sf: str) -> DataFrame:
+    """Histograms of the foreground only: the box is found and applied before the values are counted."""
+    images = K.with_foreground_box(part_image_rows(spark, sf), 8)
+    return histogram_rows(images, K.histograms(F.col("image"), 16, box=F.col("box")), 16)
+
+
 @query(
     "image_brightness",
     f"""WITH {PIXELS} SELECT image_id, round(avg((r * 9798 + g * 19235 + b * 3735 + 16384) >> 15), 6) AS mean_gray FROM pixels GROUP BY ALL""",
