@@ -97,11 +97,22 @@ def boosted_trees(
     return boosting.boosted_trees(df, n_classes, cols.features, cols.label, rounds, max_depth, learning_rate, bins=bins)
 
 
+def _all_classes(fit):
+    """``fit`` for classes from 0 to the largest label."""
+
+    def fitted(df: DataFrame, cols: Columns = Columns(), **params):
+        return fit(df, int(df.agg(F.max(cols.label)).first()[0]) + 1, cols, **params)
+
+    return fitted
+
+
 def fit_model(name: str, df: DataFrame, cols: Columns = Columns(), **params):
     """Fit a classifier by its short name."""
     fits = {
         "logreg": logistic_regression,
         "svm": linear_svm,
+        "linear_svc": _all_classes(squared_hinge_svm),
+        "ridge": _all_classes(ridge_classifier),
         "xgboost": boosted_trees,
         "rf": random_forest,
         "complement_nb": complement_naive_bayes,

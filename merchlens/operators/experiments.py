@@ -134,10 +134,11 @@ def grid_search(
     return result_table(train.sparkSession, records)
 
 
-def penalty_search(train: DataFrame, val: DataFrame, union: FeatureUnion, C_values, model: str = "svm", y: str = "y", **params) -> DataFrame:
+def penalty_search(train: DataFrame, val: DataFrame, union: FeatureUnion, C_values, model: str = "linear_svc", y: str = "y", **params) -> DataFrame:
     """Several penalties on one set of features, which are fitted only once."""
     fitted = union.fit(train)
-    a, b = fitted.transform(train), fitted.transform(val)
+    # every fit reads the vectors several times, so the texts are vectorised once
+    a, b = (persist_to_table(fitted.transform(rows).select(y, "features"), "penalty-vectors") for rows in (train, val))
     records = []
     for C in C_values:
         r = fit_evaluate_time(
@@ -197,7 +198,9 @@ def title_weight_sweep(
     fitted = union.fit(train)
     records = []
     for w in weights:
-        a, b = (fitted.transform(rows, "features", {"title": float(w)}) for rows in (train, val))
+        a, b = (
+            persist_to_table(fitted.transform(rows, "features", {"title": float(w)}).select(y, "features"), "title-vectors") for rows in (train, val)
+        )
         r = fit_evaluate_time(
             lambda rows: fit_model(model, rows, Columns(label=y), **params), lambda m, rows: m.transform(rows), a, b, y
         )
