@@ -71,6 +71,20 @@ def model_subsets(models: list[str], smallest: int = 2) -> list[list[str]]:
     return [list(c) for n in range(smallest, len(models) + 1) for c in combinations(models, n)]
 
 
+def configuration_scores(scored: DataFrame) -> DataFrame:
+    """Weighted F1 and log loss of each configuration, from rows (configuration, y_true, probs)."""
+    nll = negative_log_likelihood(F.col("probs"), F.col("y_true"))
+    counts = (
+        scored.withColumn("y_pred", argmax(F.col("probs")))
+        .groupBy("configuration", "y_true", "y_pred")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(nll).alias("nll"))
+    )
+    by = ["configuration"]
+    f1 = score_summary(class_scores(counts, by), by).select("configuration", "f1_weighted")
+    loss = counts.groupBy("configuration").agg((F.sum("nll") / F.sum("n")).alias("log_loss"))
+    return f1.join(loss, "configuration")
+
+
 def blend_sweep(
     df: DataFrame, models: list[str], y: str, is_eval: Column, configurations: list[list[str]] | None = None,
     weights_on_fit_rows_only: bool = False,
@@ -93,18 +107,10 @@ def blend_sweep(
         entries.append(F.struct(F.lit(name).alias("configuration"), blend.alias("probs")))
         weight_rows.append((name, *[w.get(m, 0.0) for m in models]))
     scored = df.filter(is_eval).select(F.col(y).alias("y_true"), F.inline(F.array(*entries)))
-    nll = negative_log_likelihood(F.col("probs"), F.col("y_true"))
-    counts = (
-        scored.withColumn("y_pred", argmax(F.col("probs")))
-        .groupBy("configuration", "y_true", "y_pred")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(nll).alias("nll"))
-    )
-    by = ["configuration"]
-    summary = score_summary(class_scores(counts, by), by).select("configuration", "f1_weighted")
-    loss = counts.groupBy("configuration").agg((F.sum("nll") / F.sum("n")).alias("log_loss"))
+    summary = configuration_scores(scored)
     names = ", ".join(f"w_{m} double" for m in models)
     weights = local_rows(df.sparkSession, weight_rows, f"configuration string, {names}")
-    return F.broadcast(weights).join(summary, "configuration").join(loss, "configuration")
+    return F.broadcast(weights).join(summary, "configuration")
 
 
 def stack_features(df: DataFrame, models: list[str], out: str = "stacked") -> DataFrame:

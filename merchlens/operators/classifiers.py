@@ -42,10 +42,12 @@ def _common(c: Columns) -> dict:
 TOLERANCE = 1e-4
 
 
-def logistic_regression(df: DataFrame, cols: Columns = Columns(), C: float = 1.0, max_iter: int = 1000, n: int | None = None):
+def logistic_regression(
+    df: DataFrame, cols: Columns = Columns(), C: float = 1.0, max_iter: int = 1000, n: int | None = None, tolerance: float = TOLERANCE
+):
     n = df.count() if n is None else n
     return LogisticRegression(
-        **_common(cols), family="multinomial", regParam=1.0 / (C * n), standardization=False, maxIter=max_iter, tol=TOLERANCE
+        **_common(cols), family="multinomial", regParam=1.0 / (C * n), standardization=False, maxIter=max_iter, tol=tolerance
     ).fit(df)
 
 

@@ -11,7 +11,6 @@ from ..operators import blending as B
 from ..operators import calibrate as K
 from ..operators.classifiers import Columns, logistic_regression
 from ..operators.splits import stratified_flag
-from ..session import local_rows
 from .registry import query
 from .standins import (
     LOGITS,
@@ -81,13 +80,6 @@ def best_grid_temperature(spark: SparkSession, sf: str) -> DataFrame:
     return best.withColumn("nll", F.round("nll", 6))
 
 
-@query("fitted_temperatures")
-def fitted_temperatures(spark: SparkSession, sf: str) -> DataFrame:
-    z = logits(spark, sf)
-    rows = [(m, K.fit_temperature(z, f"z_{m}", "y")) for m in NAMES]
-    return local_rows(spark, rows, "model string, temperature double")
-
-
 def sql_normalize(p: str) -> str:
     c = f"list_transform({p}, lambda v: least(greatest(v, 1e-12), 1))"
     return f"list_transform({c}, lambda v: v / list_sum({c}))"

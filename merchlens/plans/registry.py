@@ -13,7 +13,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 MODULES = (
     "catalog", "text", "numeric", "text_features", "vectors", "labels", "probabilities",
-    "models", "evaluation", "experiments", "pixels", "scoring",
+    "models", "evaluation", "experiments", "pixels", "scoring", "fusion",
 )
 
 
