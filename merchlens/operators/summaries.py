@@ -9,6 +9,8 @@ from ..session import local_rows
 
 QUANTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 ACCURACY = 10_000
+# Rows between the ends of a bracket that one task may rank
+INSIDE = 100_000
 
 
 def _moments(df: DataFrame, features: list[str]):
@@ -29,12 +31,55 @@ def _moments(df: DataFrame, features: list[str]):
     return df.agg(*aggs).first()
 
 
+def _narrowed(df: DataFrame, brackets: list[tuple]) -> tuple[list[tuple], list[int]]:
+    """Brackets (feature, q, position, lo, hi) with at most ``INSIDE`` rows strictly between their ends, and the rows below each.
+
+    A pass counts the rows below, at and between the ends of all brackets, and sketches the ranks around the wanted
+    position among those between. Rows equal to an end are one value, however many they are, and need no narrowing.
+    """
+    slack = 2.0 / ACCURACY
+    under = [0] * len(brackets)
+    left_open = list(range(len(brackets)))
+    while left_open:
+        aggs: list[Column] = []
+        for k in left_open:
+            name, _, _, lo, hi = brackets[k]
+            x = F.col(name).cast("double")
+            aggs += [F.count_if(x < lo).alias(f"b{k}"), F.count_if(x == lo).alias(f"l{k}"), F.count_if((x > lo) & (x < hi)).alias(f"n{k}")]
+        counts = df.agg(*aggs).first()
+        wide = {}
+        for k in left_open:
+            _, _, pos, lo, hi = brackets[k]
+            under[k], at_lo, between = counts[f"b{k}"], counts[f"l{k}"], counts[f"n{k}"]
+            if between <= INSIDE or lo == hi:
+                continue
+            first = pos - under[k] - at_lo  # rank of the wanted position among the rows between the ends
+            wide[k] = [first / between - slack, (first + 1) / between + slack]
+        if not wide:
+            break
+        aggs = []
+        for k, marks in wide.items():
+            name, _, _, lo, hi = brackets[k]
+            x = F.col(name).cast("double")
+            at = F.array(*[F.lit(min(max(m, 0.0), 1.0)) for m in marks])
+            aggs.append(F.percentile_approx(F.when((x > lo) & (x < hi), x), at, F.lit(ACCURACY)).alias(f"m{k}"))
+        found = df.agg(*aggs).first()
+        for k, (left, right) in wide.items():
+            name, q_name, pos, lo, hi = brackets[k]
+            low, high = found[f"m{k}"]
+            brackets[k] = (name, q_name, pos, float(low) if left > 0 else lo, float(high) if right < 1 else hi)
+        left_open = list(wide)
+    return brackets, under
+
+
 def describe_features(df: DataFrame, features: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles, max: one row per feature.
 
     Quartiles interpolate linearly between the two neighbouring order statistics.
-    A sketch brackets each of them within 4/10000 of the ranks; only values inside
-    the brackets are counted and ranked, so no task ever sees a whole column.
+    A sketch brackets each of them within 4/10000 of the ranks, and further sketches of
+    what lies inside narrow the brackets until none holds more than ``INSIDE`` rows
+    between its ends. Only the values of the brackets are counted and ranked, so the
+    work of the largest task is bounded at any number of rows.
     """
     m = _moments(df, features)
     brackets, rows = [], []
@@ -45,6 +90,7 @@ def describe_features(df: DataFrame, features: list[str]) -> DataFrame:
             continue
         for j, (q_name, q) in enumerate(QUANTILES.items()):
             brackets.append((name, q_name, q * (n - 1), float(marks[2 * j]), float(marks[2 * j + 1])))
+    brackets, under = _narrowed(df, brackets)
     spark = df.sparkSession
     base = local_rows(
         spark, rows, "feature string, count long, mean double, std double, min double, max double"
@@ -52,15 +98,13 @@ def describe_features(df: DataFrame, features: list[str]) -> DataFrame:
     if not brackets:
         return base.select("feature", "count", "mean", "std", "min", *[F.lit(None).cast("double").alias(q) for q in QUANTILES], "max")
 
-    structs, below = [], []
-    for k, (name, q_name, _, lo, hi) in enumerate(brackets):
+    structs = []
+    for k, (name, _, _, lo, hi) in enumerate(brackets):
         x = F.col(name).cast("double")
         structs.append(F.when((x >= lo) & (x <= hi), F.struct(F.lit(k).alias("k"), x.alias("value"))))
-        below.append(F.count_if(x < lo).alias(f"b{k}"))
-    under = df.agg(*below).first()
     plan = local_rows(
         spark,
-        [(k, name, q, pos, int(under[f"b{k}"])) for k, (name, q, pos, _, _) in enumerate(brackets)],
+        [(k, name, q, pos, under[k]) for k, (name, q, pos, _, _) in enumerate(brackets)],
         "k int, feature string, q string, pos double, below long",
     )
     inside = (
