@@ -167,21 +167,42 @@ def split_signature(spark: SparkSession, sf: str) -> DataFrame:
     return P.split_signature(P.assign_split(products(spark, sf).select("idx", "lang"), "lang", "idx"))
 
 
-@query(
-    "alignment_report",
-    """WITH a AS (SELECT doc_id AS idx FROM documents), b AS (SELECT doc_id AS idx FROM labels)
-    SELECT (SELECT count(*) FROM a) AS rows_left, (SELECT count(*) FROM b) AS rows_right,
-           (SELECT count(*) FROM (SELECT DISTINCT idx FROM a) WHERE idx NOT IN (SELECT idx FROM b)) AS missing_right,
-           (SELECT count(*) FROM (SELECT DISTINCT idx FROM b) WHERE idx NOT IN (SELECT idx FROM a)) AS missing_left,
-           0 AS different_multiplicity, false AS aligned""",
-    longs=["different_multiplicity"],
-)
+def _alignment_sql(left: str, right: str) -> str:
+    """Report on two queries that give ``idx``; aligned as the counts say."""
+    return f"""WITH a AS (SELECT idx, count(*) AS n FROM ({left}) GROUP BY idx), b AS (SELECT idx, count(*) AS n FROM ({right}) GROUP BY idx),
+    r AS (SELECT coalesce(sum(a.n), 0)::BIGINT AS rows_left, coalesce(sum(b.n), 0)::BIGINT AS rows_right,
+            count(*) FILTER (b.n IS NULL) AS missing_right, count(*) FILTER (a.n IS NULL) AS missing_left,
+            count(*) FILTER (a.n <> b.n) AS different_multiplicity
+          FROM a FULL JOIN b USING (idx))
+    SELECT *, missing_right + missing_left + different_multiplicity = 0 AS aligned FROM r"""
+
+
+@query("alignment_report", _alignment_sql("SELECT doc_id AS idx FROM documents", "SELECT doc_id AS idx FROM labels"))
 def alignment_report(spark: SparkSession, sf: str) -> DataFrame:
     left = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"))
     right = table(spark, sf, "labels").select(F.col("doc_id").alias("idx"))
     return P.alignment_report(left, right)
 
 
+_SIDES = {
+    "orders and lines": ("SELECT o_orderkey AS idx FROM orders", "SELECT l_orderkey AS idx FROM lineitem"),
+    "orders and their first lines": (
+        "SELECT DISTINCT l_orderkey AS idx FROM lineitem", "SELECT l_orderkey AS idx FROM lineitem WHERE l_linenumber = 1"
+    ),
+}
+
+
+@query("alignment_of_orders", " UNION ALL ".join(f"SELECT '{k}' AS sides, * FROM ({_alignment_sql(*v)})" for k, v in _SIDES.items()))
+def alignment_of_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids that occur several times on one side, and two sides that are aligned."""
+    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    every = lines.select(F.col("l_orderkey").alias("idx"))
+    first = lines.filter(F.col("l_linenumber") == 1).select(F.col("l_orderkey").alias("idx"))
+    pairs = ((orders.select(F.col("o_orderkey").alias("idx")), every), (every.distinct(), first))
+    parts = [P.alignment_report(*pair).select(F.lit(k).alias("sides"), "*") for k, pair in zip(_SIDES, pairs, strict=True)]
+    return parts[0].unionByName(parts[1])
+
+
 @query("refit_rows", f"WITH {_SPLIT} SELECT idx, lang, split FROM split WHERE split <> 'test'")
 def refit_rows(spark: SparkSession, sf: str) -> DataFrame:
     return P.refit_rows(P.assign_split(products(spark, sf).select("idx", "lang"), "lang", "idx"))

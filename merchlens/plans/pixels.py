@@ -256,6 +256,37 @@ def discriminant_projection(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("image_id", "y", F.size("lda").alias("directions"), F.round(F.abs(F.get("lda", F.lit(0))), 4).alias("first_abs"))
 
 
+@query(
+    "pca_norms",
+    """WITH cells AS (SELECT vec_id, pos, embedding[pos + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(0, 64)) AS pos)),
+    stats AS (SELECT pos, avg(v) AS m, stddev_pop(v) AS s FROM cells GROUP BY pos)
+    SELECT vec_id AS image_id, round(sum(CASE WHEN s > 0 THEN ((v - m) / s) ** 2 ELSE 0 END), 4) AS squared_norm, true AS in_order
+    FROM cells JOIN stats USING (pos) GROUP BY vec_id""",
+)
+def pca_norms(spark: SparkSession, sf: str) -> DataFrame:
+    """All components turn the scaled vectors without changing their lengths; the variance falls from one to the next."""
+    projected, model = fit_pca(_vectors(spark, sf), "x", COMPONENTS)
+    shares = model.explainedVariance.toArray()
+    in_order = bool((shares[:-1] >= shares[1:]).all())
+    squares = F.transform(vector_to_array(F.col("pca")), lambda v: v * v)
+    return projected.select("image_id", F.round(array_sum(squares), 4).alias("squared_norm"), F.lit(in_order).alias("in_order"))
+
+
+@query(
+    "discriminant_scatter",
+    """WITH n AS (SELECT count(*) AS n_rows, count(DISTINCT label) AS k FROM embeddings)
+    SELECT i::INT AS direction, n_rows, 1.0::DOUBLE AS within_variance FROM n, range(0, 64) r(i) WHERE i < k - 1""",
+)
+def discriminant_scatter(spark: SparkSession, sf: str) -> DataFrame:
+    """Variance within the classes along each direction, which the projection makes one."""
+    rows = _vectors(spark, sf)
+    projected = fit_discriminant(rows, "x", "y", 26).transform(rows, "x")
+    cells = projected.select("y", F.posexplode("lda").alias("direction", "v"))
+    classes = cells.groupBy("direction", "y").agg(F.count("v").alias("n"), F.var_pop("v").alias("spread"))
+    within = F.sum(F.col("n") * F.col("spread")) / (F.sum("n") - F.count("y"))
+    return classes.groupBy("direction").agg(F.sum("n").alias("n_rows"), F.round(within, 6).alias("within_variance"))
+
+
 @query("image_feature_classifier")
 def image_feature_classifier(spark: SparkSession, sf: str) -> DataFrame:
     """All image feature families of every part, with a balanced classifier.
