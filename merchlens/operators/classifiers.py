@@ -75,6 +75,11 @@ def squared_hinge_svm(df: DataFrame, n_classes: int, cols: Columns = Columns(),
     return linear.squared_hinge_svm(df, n_classes, cols.features, cols.label, C, TOLERANCE, max_iter)
 
 
+def softmax_regression(df: DataFrame, n_classes: int, cols: Columns = Columns(), C: float = 1.0, max_iter: int = 1000) -> LinearModel:
+    """The model of ``logistic_regression``, by joint Newton steps on packed rows; rows have no weights."""
+    return linear.softmax_regression(df, n_classes, cols.features, cols.label, C, TOLERANCE, max_iter)
+
+
 def ridge_classifier(df: DataFrame, n_classes: int, cols: Columns = Columns(), alpha: float = 1.0) -> LinearModel:
     """Least squares on -1/+1 targets, all classes solved together."""
     return linear.ridge(df, n_classes, cols.features, cols.label, alpha)
@@ -111,7 +116,7 @@ def _all_classes(fit):
 def fit_model(name: str, df: DataFrame, cols: Columns = Columns(), **params):
     """Fit a classifier by its short name."""
     fits = {
-        "logreg": logistic_regression,
+        "logreg": logistic_regression if cols.weight else _all_classes(softmax_regression),
         "svm": linear_svm,
         "linear_svc": _all_classes(squared_hinge_svm),
         "ridge": _all_classes(ridge_classifier),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
@@ -218,24 +219,52 @@ class LinearModel:
         return self.margins(df).withColumn("prediction", argmax(F.col("margins")).cast("double"))
 
 
-def _targets(block: Block, classes: int) -> np.ndarray:
-    """-1 and +1 for each row and class."""
-    return np.where(block.label[:, None] == np.arange(classes), 1.0, -1.0)
+# Fits of several strengths go together: the columns of their weights are ordered by class, then by fit.
 
 
-def _hinge_part(block: Block, w: np.ndarray) -> np.ndarray:
+def _targets(block: Block, columns: int, fits: int) -> np.ndarray:
+    """-1 and +1 for each row and column of the weights."""
+    return np.where(block.label[:, None] == np.arange(columns) // fits, 1.0, -1.0)
+
+
+def _hinge_part(block: Block, w: np.ndarray, fits: int) -> np.ndarray:
     """Sums below the gradient: half gradient of the squared hinge losses, and the losses as last row."""
-    y, z = _targets(block, w.shape[1]), block.times(w)
+    y, z = _targets(block, w.shape[1], fits), block.times(w)
     short = np.maximum(1.0 - y * z, 0.0)
     return np.vstack([block.transposed_times(-y * short, True), (short**2).sum(0)])
 
 
-def _curvature_part(block: Block, both: np.ndarray) -> np.ndarray:
+def _curvature_part(block: Block, both: np.ndarray, fits: int) -> np.ndarray:
     """X' D X v for v in the right half; D marks the rows within the margin of the weights in the left half."""
-    classes = both.shape[1] // 2
+    columns = both.shape[1] // 2
     z = block.times(both)
-    inside = _targets(block, classes) * z[:, :classes] < 1.0
-    return block.transposed_times(np.where(inside, z[:, classes:], 0.0), True)
+    inside = _targets(block, columns, fits) * z[:, :columns] < 1.0
+    return block.transposed_times(np.where(inside, z[:, columns:], 0.0), True)
+
+
+def _log_shares(z: np.ndarray, fits: int) -> np.ndarray:
+    """Log probabilities by row, class and fit."""
+    z = z.reshape(len(z), -1, fits)
+    z = z - z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+def _softmax_part(block: Block, w: np.ndarray, fits: int) -> np.ndarray:
+    """Gradient of the log losses, and the losses of each fit (in the columns of every class) as last row."""
+    shares, own = _log_shares(block.times(w), fits), block.label.astype(np.int64)
+    rows = np.arange(len(own))
+    loss = -shares[rows, own].sum(0)
+    miss = np.exp(shares)
+    miss[rows, own] -= 1.0
+    return np.vstack([block.transposed_times(miss.reshape(len(own), -1), True), np.tile(loss, shares.shape[1])])
+
+
+def _softmax_curvature_part(block: Block, both: np.ndarray, fits: int) -> np.ndarray:
+    """Second derivative of the log losses at the weights in the left half, times v in the right half."""
+    columns = both.shape[1] // 2
+    z = block.times(both)
+    p, u = np.exp(_log_shares(z[:, :columns], fits)), z[:, columns:].reshape(len(z), -1, fits)
+    return block.transposed_times((p * (u - (p * u).sum(1, keepdims=True))).reshape(len(z), -1), True)
 
 
 def _conjugate_gradients(product, target: np.ndarray, tolerance: np.ndarray, scale: np.ndarray | float = 1.0, max_iter: int = 1000):
@@ -260,51 +289,143 @@ def _conjugate_gradients(product, target: np.ndarray, tolerance: np.ndarray, sca
     raise RuntimeError(f"conjugate gradients not settled after {max_iter} passes")
 
 
-def squared_hinge_svm(
-    df: DataFrame, n_classes: int, features: str = "features", label: str = "y", C: float = 1.0, tolerance: float = 1e-4, max_iter: int = 1000
-) -> LinearModel:
-    """One-vs-rest support vector classifier: half the squared weights, the constant's included, plus C times the sum of
-    squared hinge losses.
+def _newton(start: np.ndarray, objective, curvature, settled, scale: np.ndarray | float, max_iter: int) -> tuple[np.ndarray, list[dict]]:
+    """Minimum of each column of ``objective`` (values, gradient) by Newton steps for all columns at once, and their history.
 
-    Newton steps for all classes at once: conjugate gradients on the rows within the margin, then the longest step of
-    1, 1/2, 1/4, … that lowers the objective enough. A class is settled when its gradient is ``tolerance`` times the first
-    one, by the share of its rarer side. Raises if a class does not settle.
+    Conjugate gradients on ``curvature(x)`` find the step, of which the longest of 1, 1/2, 1/4, … that lowers the objective
+    enough is taken. A column is settled when its gradient's norm is ``settled(first norms)``. Raises if one does not settle.
     """
-    rows = PackedRows.pack(df, features, label, n_classes)
-    shape = (rows.width + 1, n_classes)
-
-    def objective(w):
-        sums = rows.total(_hinge_part, (shape[0] + 1, n_classes), w)
-        return 0.5 * (w**2).sum(0) + C * sums[-1], w + 2 * C * sums[:-1]
-
-    w = np.zeros(shape)
-    value, gradient = objective(w)
-    rarer = np.maximum(np.minimum(rows.counts, rows.n - rows.counts), 1) / rows.n
-    settled_at = tolerance * rarer * np.linalg.norm(gradient, axis=0)
+    x = start
+    value, gradient = objective(x)
+    settled_at = settled(np.linalg.norm(gradient, axis=0))
     history = []
     for _ in range(max_iter):
         norm = np.linalg.norm(gradient, axis=0)
         history.append({"objective": value.copy(), "gradient": norm, "settled_at": settled_at})
         going = norm > settled_at
         if not going.any():
-            return LinearModel(w[:-1], w[-1], features, history)
-
-        def curvature(v, w=w):
-            return v + 2 * C * rows.total(_curvature_part, shape, np.hstack([w, v]))
-
-        step, _ = _conjugate_gradients(curvature, np.where(going, -gradient, 0.0), np.where(going, 0.05 * norm, 0.0))
+            return x, history
+        step, _ = _conjugate_gradients(curvature(x), np.where(going, -gradient, 0.0), np.where(going, 0.05 * norm, 0.0), scale)
         slope = (gradient * step).sum(0)
         length, open_ = np.where(going, 1.0, 0.0), going
         for _ in range(40):
-            new_value, new_gradient = objective(w + length * step)
+            new_value, new_gradient = objective(x + length * step)
             open_ = going & (new_value > value + 1e-4 * length * slope + 1e-12 * np.abs(value))
             if not open_.any():
                 break
             length = np.where(open_, length / 2, length)
         else:
             raise RuntimeError("no step lowers the objective")
-        w, value, gradient = w + length * step, new_value, new_gradient
-    raise RuntimeError(f"support vectors not settled after {max_iter} steps")
+        x, value, gradient = x + length * step, new_value, new_gradient
+    raise RuntimeError(f"not settled after {max_iter} steps")
+
+
+def _groups(rows: PackedRows, n_classes: int, fits: list) -> list[list]:
+    """Fits that go together: as many as ``MOST_CELLS`` weights hold."""
+    most = max(1, MOST_CELLS // ((rows.width + 1) * n_classes))
+    return [fits[i : i + most] for i in range(0, len(fits), most)]
+
+
+def squared_hinge_svm(
+    df: DataFrame, n_classes: int, features: str = "features", label: str = "y", C: float = 1.0, tolerance: float = 1e-4, max_iter: int = 1000
+) -> LinearModel:
+    """One-vs-rest support vector classifier: half the squared weights, the constant's included, plus C times the sum of
+    squared hinge losses.
+
+    Newton steps for all classes at once. A class is settled when its gradient is ``tolerance`` times the first one, by the
+    share of its rarer side. Raises if a class does not settle.
+    """
+    return squared_hinge_strengths(df, n_classes, [C], features, label, tolerance, max_iter)[0]
+
+
+def squared_hinge_strengths(
+    df: DataFrame, n_classes: int, strengths: list[float], features: str = "features", label: str = "y", tolerance: float = 1e-4, max_iter: int = 1000
+) -> list[LinearModel]:
+    """The model of :func:`squared_hinge_svm` for each strength C; a pass over the rows serves all of them."""
+    rows = PackedRows.pack(df, features, label, n_classes)
+    rarer = np.maximum(np.minimum(rows.counts, rows.n - rows.counts), 1) / rows.n
+    models = []
+    for group in _groups(rows, n_classes, list(strengths)):
+        fits = len(group)
+        c = np.tile(np.array(group, float), n_classes)
+        shape = (rows.width + 1, n_classes * fits)
+
+        def objective(w, c=c, shape=shape, fits=fits):
+            sums = rows.total(partial(_hinge_part, fits=fits), (shape[0] + 1, shape[1]), w)
+            return 0.5 * (w**2).sum(0) + c * sums[-1], w + 2 * c * sums[:-1]
+
+        def curvature(w, c=c, shape=shape, fits=fits):
+            return lambda v: v + 2 * c * rows.total(partial(_curvature_part, fits=fits), shape, np.hstack([w, v]))
+
+        settled = lambda first, fits=fits: tolerance * np.repeat(rarer, fits) * first
+        w, history = _newton(np.zeros(shape), objective, curvature, settled, 1.0, max_iter)
+        for i in range(fits):
+            mine = [{name: v[i::fits] for name, v in step.items()} for step in history]
+            models.append(LinearModel(w[:-1, i::fits], w[-1, i::fits], features, mine))
+    return models
+
+
+def softmax_regression(
+    df: DataFrame, n_classes: int, features: str = "features", label: str = "y", C: float = 1.0, tolerance: float = 1e-4, max_iter: int = 1000
+) -> LinearModel:
+    """Multinomial logistic regression: half the squared weights, the intercepts free, plus C times the sum of log losses.
+
+    Newton steps; settled when the gradient is ``tolerance`` times the first one. Raises if it does not settle.
+    """
+    return softmax_fits(df, n_classes, [(C, None)], features, label, tolerance, max_iter)[0]
+
+
+def softmax_fits(
+    df: DataFrame, n_classes: int, fits: list[tuple[float, np.ndarray | None]], features: str = "features", label: str = "y",
+    tolerance: float = 1e-4, max_iter: int = 1000,
+) -> list[LinearModel]:
+    """The model of :func:`softmax_regression` for each (strength C, factors of the columns or None).
+
+    A pass over the rows serves all fits. Their weights are for the columns as they are: the factors are part of them.
+    """
+    rows = PackedRows.pack(df, features, label, n_classes)
+    squares = rows.total(_moments_part, (rows.width, n_classes + 2), np.int64(n_classes))[:, -1]
+    models = []
+    for group in _groups(rows, n_classes, list(fits)):
+        many = len(group)
+        c = np.array([strength for strength, _ in group], float)
+        factor = np.ones((rows.width + 1, 1, many))
+        for i, (_, columns) in enumerate(group):
+            if columns is not None:
+                factor[:-1, 0, i] = columns
+        shape, flat = (rows.width + 1, n_classes, many), ((rows.width + 1) * n_classes, many)
+        wide = (shape[0], n_classes * many)
+        penalised = np.ones(shape)
+        penalised[-1] = 0.0
+        penalised = penalised.reshape(flat)
+        # the second derivative's diagonal where all classes are as likely
+        even = np.append(squares, rows.n)[:, None, None] * factor**2 * c * (n_classes - 1) / n_classes**2
+        scale = np.maximum(penalised + np.broadcast_to(even, shape).reshape(flat), 1e-12)
+
+        def spread(x, factor=factor, shape=shape, wide=wide):
+            return (x.reshape(shape) * factor).reshape(wide)
+
+        def gathered(x, factor=factor, shape=shape, flat=flat):
+            return (x.reshape(shape) * factor).reshape(flat)
+
+        def objective(x, c=c, many=many, wide=wide, penalised=penalised, spread=spread, gathered=gathered):
+            sums = rows.total(partial(_softmax_part, fits=many), (wide[0] + 1, wide[1]), spread(x))
+            return 0.5 * (penalised * x**2).sum(0) + c * sums[-1, :many], penalised * x + c * gathered(sums[:-1])
+
+        def curvature(x, c=c, many=many, wide=wide, penalised=penalised, spread=spread, gathered=gathered):
+            at = spread(x)
+
+            def product(v):
+                return penalised * v + c * gathered(rows.total(partial(_softmax_curvature_part, fits=many), wide, np.hstack([at, spread(v)])))
+
+            return product
+
+        x, history = _newton(np.zeros(flat), objective, curvature, lambda first: tolerance * first, scale, max_iter)
+        w = spread(x).reshape(shape)
+        for i in range(many):
+            mine = [{name: v[i] for name, v in step.items()} for step in history]
+            models.append(LinearModel(w[:-1, :, i], w[-1, :, i], features, mine))
+    return models
 
 
 def _moments_part(block: Block, classes: int) -> np.ndarray:

@@ -89,3 +89,49 @@ def test_odd_rows_are_errors(spark):
             L.ridge(bad, 3)
     with pytest.raises(RuntimeError):
         L.squared_hinge_svm(df, 3, max_iter=1)
+
+
+def softmax_gradient(x, y, w, b, C):
+    z = x @ w + b
+    z = z - z.max(1, keepdims=True)
+    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    value = 0.5 * (w**2).sum() - C * np.log(p[np.arange(len(y)), y]).sum()
+    miss = p - np.eye(w.shape[1])[y]
+    return value, np.vstack([w + C * x.T @ miss, C * miss.sum(0)])
+
+
+def test_softmax_fits_are_the_minima(spark):
+    """Several strengths and column factors in joint passes: each is the minimum of its own objective."""
+    x, y = made(6)
+    factors = np.array([2.0, 2.0, 1.0, 1.0, 0.5, 1.0])
+    fits = [(0.1, None), (1.0, factors), (8.0, None)]
+    for (C, f), model in zip(fits, L.softmax_fits(frame(spark, x, y), 3, fits), strict=True):
+        f = np.ones(6) if f is None else f
+        value, gradient = softmax_gradient(x * f, y, model.weights / f[:, None], model.intercepts, C)
+        first = np.linalg.norm(softmax_gradient(x * f, y, np.zeros((6, 3)), np.zeros(3), C)[1])
+        assert np.linalg.norm(gradient) <= 1e-4 * first
+        assert value == pytest.approx(model.history[-1]["objective"])
+
+
+def test_softmax_regression_is_the_library_model(spark):
+    from merchlens.operators.classifiers import fit_model, logistic_regression
+
+    x, y = made(7)
+    df = frame(spark, x, y)
+    joint, library = fit_model("logreg", df), logistic_regression(df, tolerance=1e-9)
+    want = library.coefficientMatrix.toArray().T
+    assert np.allclose(joint.weights, want - want.mean(1, keepdims=True), atol=2e-2)
+    same = joint.transform(df).select("idx", "prediction").exceptAll(library.transform(df).select("idx", "prediction")).count()
+    assert same <= 2
+
+
+def test_strengths_together_are_the_strengths_alone(spark, monkeypatch):
+    x, y = made(8)
+    df = frame(spark, x, y)
+    together = L.squared_hinge_strengths(df, 3, [0.03, 0.5, 2.0])
+    for C, model in zip([0.03, 0.5, 2.0], together, strict=True):
+        alone = L.squared_hinge_svm(df, 3, C=C, tolerance=1e-6)
+        assert np.allclose(model.weights, alone.weights, atol=1e-2)
+        assert (model.history[-1]["gradient"] <= model.history[-1]["settled_at"]).all()
+    monkeypatch.setattr(L, "MOST_CELLS", 50)  # two fits at a time
+    assert [m.weights.shape for m in L.softmax_fits(df, 3, [(c, None) for c in (0.1, 1.0, 2.0)])] == [(6, 3)] * 3
