@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import time
 from functools import partial, reduce
 from itertools import product
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_frame
+from ..functions.proba import argmax
 from ..session import local_rows, persist_to_table, run_all
 from .classifiers import Columns, fit_evaluate_time, fit_model
+from .linear import LinearModel, softmax_fits, squared_hinge_strengths
+from .metrics import evaluate
 from .scaling import PopulationScaler
 from .vectorize import FeatureUnion, merged_union, split_union
 
@@ -134,17 +139,51 @@ def grid_search(
     return result_table(train.sparkSession, records)
 
 
+def _vector_sides(fitted, train: DataFrame, val: DataFrame, y: str, name: str, *weights) -> tuple[DataFrame, DataFrame]:
+    """Vectors of both sides, written because every fit reads them several times."""
+    train, val = (persist_to_table(fitted.transform(rows, "features", *weights).select(y, "features"), name) for rows in (train, val))
+    return train, val
+
+
+def evaluate_fits(models: list[LinearModel], train: DataFrame, val: DataFrame, y: str = "y") -> dict[int, dict]:
+    """Weighted F1 of both sides and accuracy of several linear models by their place, in one pass over the vectors."""
+    sides = train.withColumn("part", F.lit("train")).unionByName(val.withColumn("part", F.lit("val")))
+    margins = sides.select("part", y, *[m.margin(F.col(m.features)).alias(f"_m{i}") for i, m in enumerate(models)])
+    each = [F.struct(F.lit(i).alias("fit"), argmax(F.col(f"_m{i}")).cast("double").alias("prediction")) for i in range(len(models))]
+    rows = margins.select("part", y, F.inline(F.array(*each)))
+    out: dict[int, dict] = {}
+    for r in evaluate(rows, y, "prediction", ["fit", "part"]).collect():
+        scores = out.setdefault(r["fit"], {})
+        scores[f"f1_{r['part']}"] = float(r["f1_weighted"])
+        if r["part"] == "val":
+            scores["accuracy"] = float(r["accuracy"])
+    return out
+
+
 def penalty_search(train: DataFrame, val: DataFrame, union: FeatureUnion, C_values, model: str = "linear_svc", y: str = "y", **params) -> DataFrame:
-    """Several penalties on one set of features, which are fitted only once."""
-    fitted = union.fit(train)
-    # every fit reads the vectors several times, so the texts are vectorised once
-    a, b = (persist_to_table(fitted.transform(rows).select(y, "features"), "penalty-vectors") for rows in (train, val))
-    records = []
-    for C in C_values:
-        r = fit_evaluate_time(
-            lambda rows, C=C: fit_model(model, rows, Columns(label=y), C=C, **params), lambda m, rows: m.transform(rows), a, b, y
-        )
-        records.append((float(C), r["f1_train"], r["f1_val"], r["train_time_s"]))
+    """Several penalties on one set of features, which are fitted only once.
+
+    ``linear_svc`` and ``logreg`` fit all penalties in joint passes; every row then has the time of the joint fit.
+    """
+    C_values = [float(C) for C in C_values]
+    a, b = _vector_sides(union.fit(train), train, val, y, "penalty-vectors")
+    if model in ("linear_svc", "logreg"):
+        start = time.perf_counter()
+        classes = int(a.agg(F.max(y)).first()[0]) + 1
+        if model == "linear_svc":
+            models = squared_hinge_strengths(a, classes, C_values, label=y, **params)
+        else:
+            models = softmax_fits(a, classes, [(C, None) for C in C_values], label=y, **params)
+        took = time.perf_counter() - start
+        scores = evaluate_fits(models, a, b, y)
+        records = [(C, scores[i]["f1_train"], scores[i]["f1_val"], took) for i, C in enumerate(C_values)]
+    else:
+        records = []
+        for C in C_values:
+            r = fit_evaluate_time(
+                lambda rows, C=C: fit_model(model, rows, Columns(label=y), C=C, **params), lambda m, rows: m.transform(rows), a, b, y
+            )
+            records.append((C, r["f1_train"], r["f1_val"], r["train_time_s"]))
     return local_rows(train.sparkSession, records, "C double, f1_train double, f1_val double, train_time_s double")
 
 
@@ -191,28 +230,41 @@ def run_manual_features(train: DataFrame, val: DataFrame, columns: list[str], mo
 
 def title_weight_sweep(
     train: DataFrame, val: DataFrame, text_columns: tuple[str, str], weights=(1.0, 1.5, 2.0, 2.5, 3.0),
-    model: str = "logreg", y: str = "y", max_features: int = 10_000, ngram_range=(1, 2), **params,
+    model: str = "logreg", y: str = "y", max_features: int = 10_000, ngram_range=(1, 2), C: float = 1.0, **params,
 ) -> DataFrame:
-    """Several title weights; vocabularies are fitted once, only the weighting is redone."""
+    """Several title weights; vocabularies are fitted once, only the weighting is redone.
+
+    ``logreg`` reads one set of vectors for all weights, which are factors of the title's columns in joint passes; every
+    row then has the times of all weights together. Other models are fitted for each weight on vectors of its own.
+    """
+    weights = [float(w) for w in weights]
     union = split_union(*text_columns, max_features=max_features, ngram_range=ngram_range)
     fitted = union.fit(train)
     records = []
-    for w in weights:
-        a, b = (
-            persist_to_table(fitted.transform(rows, "features", {"title": float(w)}).select(y, "features"), "title-vectors") for rows in (train, val)
-        )
-        r = fit_evaluate_time(
-            lambda rows: fit_model(model, rows, Columns(label=y), **params), lambda m, rows: m.transform(rows), a, b, y
-        )
-        records.append(
-            {
-                "vectorizer": "tfidf", "strategy": "split", "max_features": max_features,
-                "ngram_range": str(ngram_range), "title_weight": float(w), "model": model, "use_features": False,
-                "f1_score": r["f1_val"], "accuracy": r["accuracy"],
-                "train_time": r["train_time_s"], "predict_time": r["pred_time_s"],
-            }
-        )
-    return result_table(train.sparkSession, records)
+    if model == "logreg":
+        a, b = _vector_sides(fitted, train, val, y, "title-vectors", {"title": 1.0})
+        start = time.perf_counter()
+        classes = int(a.agg(F.max(y)).first()[0]) + 1
+        in_title = np.array([name.startswith("title__") for name in fitted.feature_names()])
+        models = softmax_fits(a, classes, [(C, np.where(in_title, w, 1.0)) for w in weights], label=y, **params)
+        middle = time.perf_counter()
+        scores = evaluate_fits(models, a, b, y)
+        times = {"train_time": middle - start, "predict_time": time.perf_counter() - middle}
+        records = [{"f1_score": scores[i]["f1_val"], "accuracy": scores[i]["accuracy"], **times} for i in range(len(weights))]
+    else:
+        for w in weights:
+            a, b = _vector_sides(fitted, train, val, y, "title-vectors", {"title": w})
+            r = fit_evaluate_time(
+                lambda rows: fit_model(model, rows, Columns(label=y), C=C, **params), lambda m, rows: m.transform(rows), a, b, y
+            )
+            records.append(
+                {"f1_score": r["f1_val"], "accuracy": r["accuracy"], "train_time": r["train_time_s"], "predict_time": r["pred_time_s"]}
+            )
+    common = {
+        "vectorizer": "tfidf", "strategy": "split", "max_features": max_features, "ngram_range": str(ngram_range),
+        "model": model, "use_features": False,
+    }
+    return result_table(train.sparkSession, [{**common, "title_weight": w, **r} for w, r in zip(weights, records, strict=True)])
 
 
 def cleaning_ablation(

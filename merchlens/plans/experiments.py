@@ -12,7 +12,7 @@ from ..operators.splits import stratified_flag
 from ..operators.vectorize import merged_union, split_union
 from ..session import local_rows, persist_to_table
 from .evaluation import rounded
-from .models import with_language_index
+from .models import MAX_UNION, with_language_index
 from .registry import query
 from .standins import GRID, RESULTS, experiment_results, grid_results, products
 
@@ -20,8 +20,6 @@ BASE = "A-F-1"
 MANUAL = ["designation_len_char", "description_len_words", "description_digit_ratio"]
 # Strengths that the support vector classifier is tried with
 PENALTIES = (0.03, 0.05, 0.1, 0.2, 0.3, 0.5, 1.0)
-# Smaller jobs than the operators' defaults, which take over two minutes at the smallest size (README)
-FAST = {"max_iter": 15}
 
 
 def experiment_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,10 +44,7 @@ def fit_evaluate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("cleaning_ablation")
 def cleaning_ablation(spark: SparkSession, sf: str) -> DataFrame:
-    rows = experiment_rows(spark, sf)
-    return X.cleaning_ablation(
-        rows, "text_raw", "y", F.col("is_train"), max_features=200, ngram_range=(1, 1), max_iter=10, parallelism=4
-    )
+    return X.cleaning_ablation(experiment_rows(spark, sf), "text_raw", "y", F.col("is_train"), parallelism=4)
 
 
 @query(
@@ -101,26 +96,26 @@ def vectorizer_experiment(spark: SparkSession, sf: str) -> DataFrame:
 @query("grid_search")
 def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     train, val = _sides(experiment_rows(spark, sf))
-    return X.grid_search(train, val, (100, 300), ((1, 1), (1, 2)), 4, text_columns=("designation", "description"), **FAST)
+    return X.grid_search(train, val, parallelism=4, text_columns=("designation", "description"))
 
 
 @query("penalty_search")
 def penalty_search(spark: SparkSession, sf: str) -> DataFrame:
     train, val = _sides(experiment_rows(spark, sf))
-    union = split_union("designation", "description", title_weight=1.2, max_features=2_000, ngram_range=(1, 1))
+    union = split_union("designation", "description", title_weight=1.2, max_features=MAX_UNION, ngram_range=(1, 2))
     return X.penalty_search(train, val, union, PENALTIES)
 
 
 @query("strategy_comparison")
 def strategy_comparison(spark: SparkSession, sf: str) -> DataFrame:
     train, val = _sides(experiment_rows(spark, sf))
-    return X.compare_strategies(train, val, ("designation", "description"), MANUAL, max_features=200, ngram_range=(1, 1), **FAST)
+    return X.compare_strategies(train, val, ("designation", "description"), MANUAL)
 
 
 @query("title_weight_sweep")
 def title_weights(spark: SparkSession, sf: str) -> DataFrame:
     train, val = _sides(experiment_rows(spark, sf))
-    return X.title_weight_sweep(train, val, ("designation", "description"), max_features=200, ngram_range=(1, 1), **FAST)
+    return X.title_weight_sweep(train, val, ("designation", "description"))
 
 
 @query(
