@@ -116,7 +116,8 @@ def _all_classes(fit):
 def fit_model(name: str, df: DataFrame, cols: Columns = Columns(), **params):
     """Fit a classifier by its short name."""
     fits = {
-        "logreg": logistic_regression if cols.weight else _all_classes(softmax_regression),
+        "logreg": logistic_regression,
+        "softmax": _all_classes(softmax_regression),
         "svm": linear_svm,
         "linear_svc": _all_classes(squared_hinge_svm),
         "ridge": _all_classes(ridge_classifier),

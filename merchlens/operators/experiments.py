@@ -190,15 +190,16 @@ def penalty_search(train: DataFrame, val: DataFrame, union: FeatureUnion, C_valu
 def compare_strategies(
     train: DataFrame, val: DataFrame, text_columns: tuple[str, str], feature_columns: list[str],
     models: tuple[str, ...] = ("logreg",), y: str = "y", max_features: int = 10_000,
-    ngram_range: tuple[int, int] = (1, 2), **params,
+    ngram_range: tuple[int, int] = (1, 2), parallelism: int = 1, **params,
 ) -> DataFrame:
     """Manual features alone, counts, TF-IDF, and both with the manual features."""
     plans = [
         ("manual", None, True), ("count", "count", False), ("tfidf", "tfidf", False),
         ("manual+count", "count", True), ("manual+tfidf", "tfidf", True),
     ]
-    records = []
-    for (name, kind, manual), model in product(plans, models):
+
+    def run(plan: tuple, model: str) -> dict:
+        name, kind, manual = plan
         if kind is None:
             result = run_manual_features(train, val, feature_columns, model, y, **params)
             record = {"vectorizer": "None", "model": model, "use_features": True, **result}
@@ -207,7 +208,9 @@ def compare_strategies(
                 train, val, kind=kind, text_columns=text_columns, feature_columns=feature_columns if manual else None,
                 max_features=max_features, ngram_range=ngram_range, model=model, y=y, **params,
             )
-        records.append({**record, "strategy": name})
+        return {**record, "strategy": name}
+
+    records = run_all([partial(run, *job) for job in product(plans, models)], parallelism)
     return result_table(train.sparkSession, records)
 
 

@@ -15,6 +15,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkContext
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -198,7 +199,7 @@ class LinearModel:
 
     def margin(self, features: Column) -> Column:
         """Decision values of all classes: a dot product per row, without a shuffle."""
-        context = SparkSession.getActiveSession().sparkContext
+        context = SparkContext.getOrCreate()  # experiments run in threads, which have no active session
         shared = context.broadcast((self.weights, self.intercepts))
 
         @F.arrow_udf("array<double>")

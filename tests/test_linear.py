@@ -118,7 +118,7 @@ def test_softmax_regression_is_the_library_model(spark):
 
     x, y = made(7)
     df = frame(spark, x, y)
-    joint, library = fit_model("logreg", df), logistic_regression(df, tolerance=1e-9)
+    joint, library = fit_model("softmax", df), logistic_regression(df, tolerance=1e-9)
     want = library.coefficientMatrix.toArray().T
     assert np.allclose(joint.weights, want - want.mean(1, keepdims=True), atol=2e-2)
     same = joint.transform(df).select("idx", "prediction").exceptAll(library.transform(df).select("idx", "prediction")).count()
