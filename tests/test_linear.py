@@ -135,3 +135,19 @@ def test_strengths_together_are_the_strengths_alone(spark, monkeypatch):
         assert (model.history[-1]["gradient"] <= model.history[-1]["settled_at"]).all()
     monkeypatch.setattr(L, "MOST_CELLS", 50)  # two fits at a time
     assert [m.weights.shape for m in L.softmax_fits(df, 3, [(c, None) for c in (0.1, 1.0, 2.0)])] == [(6, 3)] * 3
+
+
+def test_fits_scored_together_are_scored_alone(spark):
+    from merchlens.operators.experiments import evaluate_fits
+    from merchlens.operators.metrics import evaluate
+
+    x, y = made(9)
+    df = frame(spark, x, y)
+    train, val = df.filter("idx < 160"), df.filter("idx >= 160")
+    models = L.softmax_fits(train, 3, [(0.01, None), (1.0, None)])
+    together = evaluate_fits(models, train, val)
+    for i, model in enumerate(models):
+        for part, rows in (("train", train), ("val", val)):
+            alone = evaluate(model.transform(rows), "y", "prediction").first()
+            assert together[i][f"f1_{part}"] == pytest.approx(alone["f1_weighted"])
+        assert together[i]["accuracy"] == pytest.approx(alone["accuracy"])
