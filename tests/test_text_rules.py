@@ -1,5 +1,7 @@
 """Golden rows of the text rules."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +201,16 @@ def test_every_unit_factor(spark):
     df = spark.createDataFrame([(u,) for u in FACTORS], "u string")
     got = {r[0]: r[1] for r in df.select("u", unit_factor(unit_symbol(F.col("u")))).collect()}
     assert got == {u: pytest.approx(f) for u, f in FACTORS.items()}
+
+
+def test_plain_keywords_are_counted_on_arrow_batches(spark):
+    texts = ["jeux jeu jeujeux", "xjeuxjeu", "JEU jeU", "", None, "é😀jeux\0jeu\njeux", "bébé bebe bébébébé"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    terms = {"first": ["jeu", "jeux"], "longer": ["jeux", "jeu"], "accents": ["bébé", "béb"]}
+    rows = df.select("x", *[c.alias(n) for n, c in keyword_counts(F.col("x"), terms).items()])
+    for r in rows.collect():
+        for name, words in terms.items():
+            assert r[f"{name}_keywords"] == len(re.findall("|".join(words), r["x"] or ""))
+    assert [f.dataType.simpleString() for f in rows.schema.fields[1:]] == ["int"] * 3
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_count" not in plan and "regexp_extract_all" not in plan
