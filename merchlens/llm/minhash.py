@@ -12,6 +12,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +23,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 10
 ROWS = 3
-#: Shingles in more than this share of the documents get a lower weight, all others the highest. At most
-#: (shingles per document) / HEAVY of them exist, whatever the number of documents.
-HEAVY = 0.1
-SKETCH_BITS = 17
+#: Weights fall with the share of the documents from this share on: below one document of any table, so all frequencies count.
+HEAVY = 1e-12
+#: Shingles whose frequencies are counted together, bytes of text whose shingles travel together, shingles sampled at once.
+SLOT_SHINGLES = 1 << 21
+GROUP_BYTES = 1 << 22
+SAMPLED = 1 << 16
 #: Buckets up to this size compare all their members; larger ones are split by a second band and compared with leaders.
 SMALL = 32
 #: Scramblings that pick a leader of a large bucket, besides its smallest member, and the leader of its parts.
@@ -47,60 +50,95 @@ def weighted_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
     return (both[at] >> U64(48)).astype(np.int64), both[at] & _LOW48, np.diff(np.append(at, len(both)))
 
 
-class Weights:
-    """Inverse document frequency of shingles: 1 + log10(documents / frequency), at most that of a frequency of
-    ``HEAVY`` of all documents. Only the shingles below that maximum are listed."""
+def idf(df: np.ndarray, n: int) -> np.ndarray:
+    """Inverse document frequency of shingles in ``df`` of ``n`` documents, at most that of a share of ``HEAVY``."""
+    return np.minimum(1 + np.log10(max(1, n) / np.maximum(1, df)), 1 + np.log10(1 / HEAVY))
 
-    def __init__(self, key: np.ndarray, df: np.ndarray, n: int):
-        order = np.argsort(key)
-        self.key = key[order]
-        self.top = 1 + np.log10(1 / HEAVY)
-        self.idf = np.minimum(1 + np.log10(max(1, n) / np.maximum(1, df[order])), self.top)
 
-    def of(self, key: np.ndarray) -> np.ndarray:
-        if not len(self.key):
-            return np.full(len(key), self.top)
-        at = np.searchsorted(self.key, key)
-        at[at == len(self.key)] = 0
-        return np.where(self.key[at] == key, self.idf[at], self.top)
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 in the fewest bytes each that hold the largest."""
+    return x.astype(np.min_scalar_type(x.max(initial=0))).tobytes()
 
 
-def shingle_weights(texts: DataFrame) -> Weights:
-    """Counts over all texts, exact for heavy shingles: a sketch of hashed counts over the whole corpus bounds every
-    frequency from above, then the shingles of the buckets that may hold a heavy one are counted."""
-    bits = U64(48 - SKETCH_BITS)
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, f"u{len(packed) // n}").astype(np.int64) if n else np.empty(0, np.int64)
 
-    def sketch(batches):
-        total, n = np.zeros(1 << SKETCH_BITS, np.int64), 0
-        for batch in batches:
-            for _, _, data, offsets in blocks(batch.column("text")):
-                row, key, _ = weighted_shingles(data, offsets)
-                total += np.bincount((key >> bits).astype(np.int64), minlength=len(total))
-                n += len(np.unique(row))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"slot": np.append(at, -1).astype(np.int32), "n": np.append(total[at], n)})
-
-    counts = texts.mapInArrow(sketch, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    counts = written(counts, "shingle-sketch")
-    n = int(counts.filter("slot = -1").agg(F.sum("n")).first()[0] or 0)
-    least = max(1.0, HEAVY * n)
-    hot_slots = counts.filter((F.col("slot") >= 0) & (F.col("n") >= least)).select("slot").toArrow().column("slot").to_numpy()
-    hot = np.zeros(1 << SKETCH_BITS, bool)
-    hot[hot_slots] = True
-    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(hot))
-
-    def exact(batches):
-        maybe = np.unpackbits(shared.value).astype(bool)
+
+def _low_bytes(key: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _from_low_bytes(data: np.ndarray, width: int) -> np.ndarray:
+    wide = np.zeros((len(data) // width, 8), np.uint8)
+    wide[:, :width] = data.reshape(-1, width)
+    return wide.view("<u8").ravel().astype(U64)
+
+
+CELL = "group long, slot long, keys binary, steps binary, tf binary"
+
+
+def shingle_cells(documents: DataFrame, bits: int) -> DataFrame:
+    """The shingles of groups of rows, cut by the first ``bits`` bits of their keys.
+
+    A cell holds the other bits of its keys, ordered by row and key, the steps from row to row and the frequencies. A
+    group has one more row, in a slot of its own below 0: ids, which of them are null, and keys of the whole texts.
+    """
+    rest = U64(48 - bits)
+    width = (48 - bits + 7) // 8
+
+    def cells(group, ids, texts, parts):
+        slots, keys, steps, tfs = [-1 - group], [ids.fill_null(0).to_numpy().tobytes()], [_packed(ids.is_null().to_numpy(False))], []
+        tfs.append(texts.to_numpy().tobytes())
+        row, key, tf = (np.concatenate(x) for x in zip(*parts, strict=True))
+        slot = (key >> rest).astype(np.uint16)
+        order = np.argsort(slot, kind="stable")
+        slot, row, key, tf = slot[order], row[order], key[order] & ((U64(1) << rest) - U64(1)), tf[order]
+        begins = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else np.empty(0, np.int64)
+        for low, high in zip(begins.tolist(), [*begins[1:].tolist(), len(slot)], strict=False):
+            slots.append(int(slot[low]))
+            keys.append(_low_bytes(key[low:high], width))
+            steps.append(_packed(np.diff(row[low:high], prepend=0)))
+            tfs.append(_packed(tf[low:high]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([group] * len(slots), pa.int64()), pa.array(slots, pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, steps, tfs))],
+            names=["group", "slot", "keys", "steps", "tf"],
+        )
+
+    def run(batches):
+        group = TaskContext.get().partitionId() << 32
         for batch in batches:
-            found = []
-            for _, _, data, offsets in blocks(batch.column("text")):
-                _, key, _ = weighted_shingles(data, offsets)
-                found.append(key[maybe[(key >> bits).astype(np.int64)]])
-            key, df = np.unique(np.concatenate(found or [np.empty(0, U64)]), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"key": signed(key), "n": df})
+            begin, size, parts = 0, 0, []
+            for low, high, data, offsets in blocks(batch.column("text")):
+                row, key, tf = weighted_shingles(data, offsets)
+                parts.append((row + (low - begin), key, tf))
+                size += len(data)
+                if size >= GROUP_BYTES or high == batch.num_rows:
+                    yield cells(group, batch.column("doc_id")[begin:high], batch.column("text_key")[begin:high], parts)
+                    group, begin, size, parts = group + 1, high, 0, []
+
+    return documents.selectExpr("doc_id", "text", TEXT_KEY).mapInArrow(run, CELL)
 
-    heavy = texts.mapInArrow(exact, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
-    return Weights(heavy.column("key").to_numpy().view(U64), heavy.column("n").to_numpy(), n)
+
+def with_frequencies(cells: DataFrame, bits: int) -> DataFrame:
+    """Cells with the document frequency of each of their shingles. All cells of a slot meet, so counts are exact; a slot
+    has about ``SLOT_SHINGLES`` shingles, and those in most documents add a few bytes a document to one of them."""
+    width = (48 - bits + 7) // 8
+
+    def run(slot: pa.Table) -> pa.Table:
+        if slot.column("slot")[0].as_py() < 0:
+            return slot.append_column("df", pa.nulls(len(slot), pa.binary()))
+        data, offsets = text_arrays(slot.column("keys"))
+        key = _from_low_bytes(data[offsets[0] : offsets[-1]], width)
+        distinct, df = np.empty(0, U64), np.empty(0, np.int64)
+        for part in np.array_split(key, -(-len(key) // SLOT_SHINGLES)):
+            more, count = np.unique(part, return_counts=True)
+            distinct, at = np.unique(np.concatenate([distinct, more]), return_inverse=True)
+            df = np.bincount(at, np.concatenate([df, count]), len(distinct)).astype(np.int64)
+        ends = (offsets - offsets[0]) // width
+        found = [_packed(df[np.searchsorted(distinct, key[i:j])]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        return slot.append_column("df", pa.array(found, pa.binary()))
+
+    return cells.groupBy("slot").applyInArrow(run, f"{CELL}, df binary")
 
 
 @cache
@@ -135,45 +173,75 @@ def samples(row: np.ndarray, key: np.ndarray, weight: np.ndarray, n_rows: int) -
     return out
 
 
-SIGNATURE = "doc_id long, bag1 long, bag2 long, bands array<long>"
-
-
-def signatures(documents: DataFrame, weights: Weights) -> DataFrame:
-    """Per document: two keys of its weighted shingles and its band keys; all null for a text without words."""
-    shared = documents.sparkSession.sparkContext.broadcast(weights)
+SIGNATURE = "doc_id long, text_key long, bag1 long, bag2 long, bands array<long>, df binary"
+TEXT_KEY = "xxhash64(text) AS text_key"
+
+
+def signatures(documents: DataFrame) -> DataFrame:
+    """Per document: two keys of its weighted shingles, its band keys and the document frequencies of its shingles by
+    key; all null for a text without words."""
+    size, full = documents.agg(F.sum(F.octet_length("text")), F.count_if(F.col("text").rlike(r"[^\x20\x09-\x0D]"))).first()
+    # a shingle has some six bytes; two bytes hold a slot
+    bits = min(16, max(8, int((size or 0) // (6 * SLOT_SHINGLES)).bit_length()))
+    return group_signatures(with_frequencies(shingle_cells(documents, bits), bits), bits, full)
+
+
+def group_signatures(cells: DataFrame, bits: int, n_documents: int) -> DataFrame:
+    rest = U64(48 - bits)
+    width = (48 - bits + 7) // 8
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("slot")
+        ids, nulls, text_key = (group.column(c)[0].as_py() for c in ("keys", "steps", "tf"))
+        n = len(ids) // 8
+        row, key, tf, df = [np.empty(0, np.int64)], [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for cell in group.slice(1).to_pylist():
+            low = _from_low_bytes(np.frombuffer(cell["keys"], np.uint8), width)
+            key.append(low | U64(cell["slot"]) << rest)
+            row.append(np.cumsum(_unpacked(cell["steps"], len(low))))
+            tf.append(_unpacked(cell["tf"], len(low)))
+            df.append(_unpacked(cell["df"], len(low)))
+        row, key, tf, df = (np.concatenate(x) for x in (row, key, tf, df))
+        order = np.argsort(row, kind="stable")
+        row, key, tf, df = row[order], key[order], tf[order], df[order]
+        first = np.searchsorted(row, np.arange(n + 1))
+        bags = np.zeros((2, n), np.int64)
+        bands = []
+        at = 0
+        while at < n:
+            to = min(n, max(at + 1, int(np.searchsorted(first, first[at] + SAMPLED, "right")) - 1))
+            part = slice(first[at], first[to])
+            if first[at] < first[to]:
+                full = np.unique(row[part])
+                begins = np.searchsorted(row[part], full)
+                for i in (0, 1):
+                    term = mix(mix(key[part] + U64(i * 0x632BE59BD9B4E019)) + tf[part].astype(U64) * U64(0x9FB21C651E98DF25))
+                    bags[i, full] = signed(mix(np.add.reduceat(term, begins)))
+                taken = samples(row[part], key[part], tf[part] * idf(df[part], n_documents), len(full))
+                grouped = taken.reshape(BANDS, ROWS, -1)
+                band = np.arange(BANDS, dtype=U64)[:, None] * U64(0xD1B54A32D192ED03)
+                for i in range(ROWS):
+                    band = mix(band * U64(0xA0761D6478BD642F) + grouped[:, i])
+                bands.append(signed(np.ascontiguousarray(band.T)).ravel())
+            at = to
+        none = first[1:] == first[:-1]
+        ends = np.concatenate([[0], np.cumsum(~none * BANDS)])
+        frequencies = [None if i == j else _packed(df[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
+        return pa.Table.from_arrays(
+            [
+                pa.array(np.frombuffer(ids, np.int64), mask=_unpacked(nulls, n).astype(bool)),
+                pa.array(np.frombuffer(text_key, np.int64)),
+                pa.array(bags[0], mask=none),
+                pa.array(bags[1], mask=none),
+                pa.ListArray.from_arrays(
+                    pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *bands])), mask=pa.array(none)
+                ),
+                pa.array(frequencies, pa.binary()),
+            ],
+            names=["doc_id", "text_key", "bag1", "bag2", "bands", "df"],
+        )
 
-    def run(batches):
-        for batch in batches:
-            for low, high, data, offsets in blocks(batch.column("text")):
-                row, key, tf = weighted_shingles(data, offsets)
-                full = np.unique(row)
-                bags = np.zeros((2, high - low), np.int64)
-                bands = np.empty((0, BANDS), np.int64)
-                if len(full):
-                    begins = np.searchsorted(row, full)
-                    for i in (0, 1):
-                        term = mix(mix(key + U64(i * 0x632BE59BD9B4E019)) + tf.astype(U64) * U64(0x9FB21C651E98DF25))
-                        bags[i, full] = signed(mix(np.add.reduceat(term, begins)))
-                    taken = samples(row, key, tf * shared.value.of(key), len(full))
-                    grouped = taken.reshape(BANDS, ROWS, -1)
-                    band = np.arange(BANDS, dtype=U64)[:, None] * U64(0xD1B54A32D192ED03)
-                    for i in range(ROWS):
-                        band = mix(band * U64(0xA0761D6478BD642F) + grouped[:, i])
-                    bands = signed(np.ascontiguousarray(band.T))
-                none = np.ones(high - low, bool)
-                none[full] = False
-                ends = np.concatenate([[0], np.cumsum(~none * BANDS)])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id")[low:high],
-                        pa.array(bags[0], mask=none),
-                        pa.array(bags[1], mask=none),
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands.ravel()), mask=pa.array(none)),
-                    ],
-                    names=["doc_id", "bag1", "bag2", "bands"],
-                )
-
-    return documents.select("doc_id", "text").mapInArrow(run, SIGNATURE)
+    return cells.groupBy("group").applyInArrow(run, SIGNATURE)
 
 
 def _bucket_pairs(placed: DataFrame, scramble: int, smallest: bool) -> tuple[DataFrame, DataFrame]:
@@ -209,11 +277,17 @@ def candidate_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(pairs.union(more).distinct(), "minhash-pairs"), large.select("key", "rep")
 
 
-def weighted_jaccard(left, right, weights: Weights) -> np.ndarray:
-    """Similarity of the texts of two blocks, row by row; 0 where one has no words."""
+def _frequencies(column, row: np.ndarray) -> np.ndarray:
+    """Document frequencies of the shingles of texts, whose rows are given, from a column of them."""
+    packed = column.to_pylist()
+    return np.concatenate([np.empty(0, np.int64), *map(_unpacked, packed, np.bincount(row, minlength=len(packed)).tolist())])
+
+
+def weighted_jaccard(left, right, n_documents: int) -> np.ndarray:
+    """Similarity of the texts of two blocks (bytes, offsets, frequencies), row by row; 0 where one has no words."""
     n = len(left[1]) - 1
-    (ra, ka, ta), (rb, kb, tb) = weighted_shingles(*left), weighted_shingles(*right)
-    wa, wb = ta * weights.of(ka), tb * weights.of(kb)
+    (ra, ka, ta), (rb, kb, tb) = weighted_shingles(*left[:2]), weighted_shingles(*right[:2])
+    wa, wb = ta * idf(_frequencies(left[2], ra), n_documents), tb * idf(_frequencies(right[2], rb), n_documents)
     ka, kb = (ra.astype(U64) << U64(48)) | ka, (rb.astype(U64) << U64(48)) | kb
     both = np.zeros(n)
     if len(ka) and len(kb):
@@ -225,30 +299,41 @@ def weighted_jaccard(left, right, weights: Weights) -> np.ndarray:
     return np.divide(both, total, out=np.zeros(n), where=total > 0)
 
 
-def verified(pairs: DataFrame, documents: DataFrame, weights: Weights) -> DataFrame:
+def weighed_texts(documents: DataFrame, marked: DataFrame, needed: DataFrame) -> DataFrame:
+    """(doc_id, text, df) of the needed ids: their texts with words and the document frequencies of their shingles."""
+    # merge joins at every size: the ids and texts needed grow with the documents
+    found = marked.filter("df IS NOT NULL").select("doc_id", "text_key", "df").join(needed.hint("merge"), "doc_id", "left_semi")
+    found = found.dropDuplicates(["doc_id", "text_key"])
+    texts = documents.selectExpr("doc_id", "text", TEXT_KEY)
+    return texts.join(found.hint("merge"), ["doc_id", "text_key"]).select("doc_id", "text", "df")
+
+
+def verified(pairs: DataFrame, documents: DataFrame, marked: DataFrame, n_documents: int) -> DataFrame:
     """(a, b, similarity) of the pairs whose whole texts are similar enough."""
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    # merge joins at every size: the ids and texts needed grow with the documents
-    texts = written(documents.select("doc_id", "text").join(needed.hint("merge"), "doc_id", "left_semi"), "minhash-texts")
-    left, right = texts.selectExpr("doc_id AS a", "text AS ta"), texts.selectExpr("doc_id AS b", "text AS tb")
+    texts = written(weighed_texts(documents, marked, needed), "minhash-texts")
+    left, right = texts.selectExpr("doc_id AS a", "text AS ta", "df AS da"), texts.selectExpr("doc_id AS b", "text AS tb", "df AS db")
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    shared = documents.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         for batch in batches:
             right_column = batch.column("tb")
             for low, high, data, offsets in blocks(batch.column("ta"), rows=1024):
                 for at, to, other, others in blocks(right_column[low:high]):
-                    left = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-                    score = weighted_jaccard(left, (other, others), shared.value)
+                    da, db = (batch.column(c)[low + at : low + to] for c in ("da", "db"))
+                    left = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], da
+                    score = weighted_jaccard(left, (other, others, db), n_documents)
                     keep = pa.array(score >= SIMILARITY)
                     part = [batch.column(c)[low + at : low + to].filter(keep) for c in ("a", "b")]
                     yield pa.RecordBatch.from_arrays([*part, pa.array(score[score >= SIMILARITY])], names=["a", "b", "similarity"])
 
-    return written(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double"), "minhash-links")
+    columns = both.select("a", "b", "ta", "tb", "da", "db")
+    return written(columns.mapInArrow(run, "a long, b long, similarity double"), "minhash-links")
 
 
-def unlinked_links(large: DataFrame, nodes: DataFrame, documents: DataFrame, weights: Weights) -> DataFrame | None:
+def unlinked_links(
+    large: DataFrame, nodes: DataFrame, documents: DataFrame, marked: DataFrame, n_documents: int
+) -> DataFrame | None:
     """Links (a, b) between components of ``nodes`` (rep, component) that have similar texts in one large bucket; None if
     every large bucket (key, rep) lies in one component.
 
@@ -263,8 +348,8 @@ def unlinked_links(large: DataFrame, nodes: DataFrame, documents: DataFrame, wei
     if members.isEmpty():
         return None
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = documents.select("doc_id", "text").join(needed.hint("merge"), "doc_id", "left_semi")
-    texts = written(texts.withColumnRenamed("doc_id", "rep"), "minhash-unlinked-texts")
+    texts = weighed_texts(documents, marked, needed).withColumnRenamed("doc_id", "rep")
+    texts = written(texts, "minhash-unlinked-texts")
     sized = members.join(texts.select("rep", F.octet_length("text").alias("bytes")).hint("merge"), "rep")
 
     def segments(n, size):
@@ -289,15 +374,14 @@ def unlinked_links(large: DataFrame, nodes: DataFrame, documents: DataFrame, wei
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
     cells = placed_at(True, own("n_rest"), every("n_all")).union(placed_at(False, every("n_rest"), own("n_all")))
-    cells = cells.join(texts.hint("merge"), "rep").select("key", "i", "j", "rep", "part", "rest", "left", "text")
-    shared = documents.sparkSession.sparkContext.broadcast(weights)
+    cells = cells.join(texts.hint("merge"), "rep").select("key", "i", "j", "rep", "part", "rest", "left", "text", "df")
 
     def run(cell: pa.Table) -> pa.Table:
         rep, part, rest, left = (cell.column(c).to_numpy() for c in ("rep", "part", "rest", "left"))
         n = len(rep)
         data, offsets = text_arrays(cell.column("text"))
         row, key, tf = weighted_shingles(data[offsets[0] : offsets[-1]], offsets - offsets[0])
-        weight = tf * shared.value.of(key)
+        weight = tf * idf(_frequencies(cell.column("df"), row), n_documents)
         total, first = np.bincount(row, weight, n), np.searchsorted(row, np.arange(n + 1))
         at = np.flatnonzero(~left[row])
         at = at[np.argsort(key[at], kind="stable")]
@@ -328,15 +412,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     id (class null). Rows that repeat an id count as one document. Other columns are not read.
     """
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    weights = shingle_weights(documents.select("text"))
-    marked = written(signatures(documents, weights), "minhash-signatures")
+    marked = written(signatures(documents), "minhash-signatures")
+    n_documents = marked.filter("bag1 IS NOT NULL").count()
     usable = marked.filter("bag1 IS NOT NULL AND doc_id IS NOT NULL")
     reps = usable.groupBy("bag1", "bag2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     reps = written(reps, "minhash-reps")
     pairs, large = candidate_pairs(reps.select("rep", "bands"))
-    links = verified(pairs, documents, weights).select("a", "b")
+    links = verified(pairs, documents, marked, n_documents).select("a", "b")
     nodes = components(links, "minhash-components").withColumnRenamed("node", "rep")
-    more = unlinked_links(large, nodes, documents, weights)
+    more = unlinked_links(large, nodes, documents, marked, n_documents)
     if more is not None:
         nodes = components(links.union(more), "minhash-components").withColumnRenamed("node", "rep")
     classes = reps.select("bag1", "bag2", "rep").join(nodes, "rep", "left")

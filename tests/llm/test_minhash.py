@@ -99,3 +99,18 @@ def test_near_copies_inside_a_family_just_below_the_similarity(spark, monkeypatc
     want = brute_classes(docs)
     assert len(set(want.values())) > 30
     assert {r["doc_id"]: r["class_id"] for r in M.near_duplicates(df).collect()} == want
+
+
+def test_every_frequency_counts(spark):
+    shared = prose(3000, 100)
+    docs = {i: f"{shared} {prose(3100 + i, 10)}" for i in range(8)} | {100 + i: prose(3200 + i, 30) for i in range(92)}
+    bags = {i: shingle_bag(t) for i, t in docs.items()}
+    df = Counter(s for b in bags.values() for s in b)
+    weight = {s: 1 + np.log10(len(docs) / d) for s, d in df.items()}
+    one, two = bags[0], bags[1]
+    assert (one & two).total() / (one | two).total() >= M.SIMILARITY
+    assert sum(c * weight[s] for s, c in (one & two).items()) / sum(c * weight[s] for s, c in (one | two).items()) < M.SIMILARITY
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r["doc_id"]: Counter(np.frombuffer(r["df"], np.uint8).tolist()) for r in M.signatures(frame).collect()}
+    assert got == {i: Counter(df[s] for s in b) for i, b in bags.items()}
+    assert {r["doc_id"]: r["class_id"] for r in M.near_duplicates(frame).collect()} == {i: i for i in docs}
