@@ -161,8 +161,8 @@ def fit(learnable: DataFrame, text: str = "text", label: str = "lang") -> Model
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"feature": np.append(at, -1).astype(np.int32), "n": np.append(total[at], n)})
 
-    found = rows.select("text").mapInArrow(frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
-    table = dict(zip(found["feature"], found["n"], strict=True))
+    found = rows.select("text").mapInArrow(frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    table = dict(zip(found["feature"].to_pylist(), found["n"].to_pylist(), strict=True))
     n_docs = int(table.pop(-1, 0))
     df = np.zeros(DIMENSIONS)
     df[list(table.keys())] = list(table.values())

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import LOWER_WORDS, U64, blocks, mix, ragged, shingles, signed, split_words, text_arrays
-from .common import components, written
+from .common import among, components, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -29,6 +29,8 @@ HEAVY = 1e-12
 SLOT_SHINGLES = 1 << 21
 GROUP_BYTES = 1 << 22
 SAMPLED = 1 << 16
+#: Bits a document of the map of the ids whose texts are compared: it passes up to an eighth of the others too.
+HASH_BITS = 8
 #: Buckets up to this size compare all their members; larger ones are split by a second band and compared with leaders.
 SMALL = 32
 #: Scramblings that pick a leader of a large bucket, besides its smallest member, and the leader of its parts.
@@ -64,6 +66,16 @@ def _unpacked(packed: bytes, n: int) -> np.ndarray:
     return np.frombuffer(packed, f"u{len(packed) // n}").astype(np.int64) if n else np.empty(0, np.int64)
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """``_packed`` numbers under an entropy code, after a byte with their width."""
+    packed = _packed(x)
+    return bytes([len(packed) // max(1, len(x))]) + pa.compress(packed, codec="zstd", asbytes=True)
+
+
+def _expanded(squeezed: bytes, n: int) -> np.ndarray:
+    return _unpacked(pa.decompress(squeezed[1:], squeezed[0] * n, codec="zstd", asbytes=True), n)
+
+
 def _low_bytes(key: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
@@ -80,8 +92,8 @@ CELL = "group long, slot long, keys binary, steps binary, tf binary"
 def shingle_cells(documents: DataFrame, bits: int) -> DataFrame:
     """The shingles of groups of rows, cut by the first ``bits`` bits of their keys.
 
-    A cell holds the other bits of its keys, ordered by row and key, the steps from row to row and the frequencies. A
-    group has one more row, in a slot of its own below 0: ids, which of them are null, and keys of the whole texts.
+    A cell holds the other bits of its keys, ordered by row and key, the squeezed steps from row to row and the frequencies.
+    A group has one more row, in a slot of its own below 0: ids, which of them are null, and keys of the whole texts.
     """
     rest = U64(48 - bits)
     width = (48 - bits + 7) // 8
@@ -97,7 +109,7 @@ def shingle_cells(documents: DataFrame, bits: int) -> DataFrame:
         for low, high in zip(begins.tolist(), [*begins[1:].tolist(), len(slot)], strict=False):
             slots.append(int(slot[low]))
             keys.append(_low_bytes(key[low:high], width))
-            steps.append(_packed(np.diff(row[low:high], prepend=0)))
+            steps.append(_squeezed(np.diff(row[low:high], prepend=0)))
             tfs.append(_packed(tf[low:high]))
         return pa.RecordBatch.from_arrays(
             [pa.array([group] * len(slots), pa.int64()), pa.array(slots, pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, steps, tfs))],
@@ -198,7 +210,7 @@ def group_signatures(cells: DataFrame, bits: int, n_documents: int) -> DataFrame
         for cell in group.slice(1).to_pylist():
             low = _from_low_bytes(np.frombuffer(cell["keys"], np.uint8), width)
             key.append(low | U64(cell["slot"]) << rest)
-            row.append(np.cumsum(_unpacked(cell["steps"], len(low))))
+            row.append(np.cumsum(_expanded(cell["steps"], len(low))))
             tf.append(_unpacked(cell["tf"], len(low)))
             df.append(_unpacked(cell["df"], len(low)))
         row, key, tf, df = (np.concatenate(x) for x in (row, key, tf, df))
@@ -299,19 +311,22 @@ def weighted_jaccard(left, right, n_documents: int) -> np.ndarray:
     return np.divide(both, total, out=np.zeros(n), where=total > 0)
 
 
-def weighed_texts(documents: DataFrame, marked: DataFrame, needed: DataFrame) -> DataFrame:
+def weighed_texts(documents: DataFrame, marked: DataFrame, needed: DataFrame, n_documents: int) -> DataFrame:
     """(doc_id, text, df) of the needed ids: their texts with words and the document frequencies of their shingles."""
+    # ids without the hash of a needed one go before the joins, which would shuffle all texts: HASH_BITS bits a document
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(HASH_BITS * max(1, n_documents)))
+    places = needed.select(place.alias("place"))
     # merge joins at every size: the ids and texts needed grow with the documents
-    found = marked.filter("df IS NOT NULL").select("doc_id", "text_key", "df").join(needed.hint("merge"), "doc_id", "left_semi")
-    found = found.dropDuplicates(["doc_id", "text_key"])
-    texts = documents.selectExpr("doc_id", "text", TEXT_KEY)
+    found = among(marked.filter("df IS NOT NULL").select("doc_id", "text_key", "df"), place, places, "place")
+    found = found.join(needed.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text_key"])
+    texts = among(documents.selectExpr("doc_id", "text", TEXT_KEY), place, places, "place")
     return texts.join(found.hint("merge"), ["doc_id", "text_key"]).select("doc_id", "text", "df")
 
 
 def verified(pairs: DataFrame, documents: DataFrame, marked: DataFrame, n_documents: int) -> DataFrame:
     """(a, b, similarity) of the pairs whose whole texts are similar enough."""
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(weighed_texts(documents, marked, needed), "minhash-texts")
+    texts = written(weighed_texts(documents, marked, needed, n_documents), "minhash-texts")
     left, right = texts.selectExpr("doc_id AS a", "text AS ta", "df AS da"), texts.selectExpr("doc_id AS b", "text AS tb", "df AS db")
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
 
@@ -348,7 +363,7 @@ def unlinked_links(
     if members.isEmpty():
         return None
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = weighed_texts(documents, marked, needed).withColumnRenamed("doc_id", "rep")
+    texts = weighed_texts(documents, marked, needed, n_documents).withColumnRenamed("doc_id", "rep")
     texts = written(texts, "minhash-unlinked-texts")
     sized = members.join(texts.select("rep", F.octet_length("text").alias("bytes")).hint("merge"), "rep")
 

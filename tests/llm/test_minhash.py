@@ -114,3 +114,11 @@ def test_every_frequency_counts(spark):
     got = {r["doc_id"]: Counter(np.frombuffer(r["df"], np.uint8).tolist()) for r in M.signatures(frame).collect()}
     assert got == {i: Counter(df[s] for s in b) for i, b in bags.items()}
     assert {r["doc_id"]: r["class_id"] for r in M.near_duplicates(frame).collect()} == {i: i for i in docs}
+
+
+def test_squeezed_numbers_are_the_numbers():
+    rng = np.random.default_rng(3)
+    steps = rng.poisson(0.8, 3000)
+    for x in (steps, np.zeros(1, np.int64), np.array([0, 70_000, 5]), np.empty(0, np.int64)):
+        assert (M._expanded(M._squeezed(x), len(x)) == x).all()
+    assert len(M._squeezed(steps)) < 0.4 * len(M._packed(steps))
