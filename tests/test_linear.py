@@ -151,3 +151,16 @@ def test_fits_scored_together_are_scored_alone(spark):
             alone = evaluate(model.transform(rows), "y", "prediction").first()
             assert together[i][f"f1_{part}"] == pytest.approx(alone["f1_weighted"])
         assert together[i]["accuracy"] == pytest.approx(alone["accuracy"])
+
+
+def test_products_of_blocks_with_rows_without_values():
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(9, 5)) * (rng.random((9, 5)) < 0.5)
+    x[[0, 4, 8]] = 0.0
+    row, column = x.nonzero()
+    w, r = rng.normal(size=(6, 3)), rng.normal(size=(9, 3))
+    block = L.Block(np.zeros(9), row, column.astype(np.int32), x[row, column], 5)
+    assert np.allclose(block.times(w), x @ w[:5] + w[5]) and np.allclose(block.times(w[:5]), x @ w[:5])
+    assert np.allclose(block.transposed_times(r, True), np.vstack([x.T @ r, r.sum(0)]))
+    empty = L.Block(np.zeros(2), row[:0], column[:0].astype(np.int32), np.empty(0), 5)
+    assert not empty.times(w[:5]).any() and not empty.transposed_times(r[:2], False).any()
