@@ -23,8 +23,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 10
 ROWS = 3
-#: Weights fall with the share of the documents from this share on: below one document of any table, so all frequencies count.
-HEAVY = 1e-12
+#: Weights fall with the share of the documents from this share on. Rarer shingles weigh the same: else what the copies of a
+#: group share weighs less than their edits, by more the larger the group and the table are, and near copies part.
+HEAVY = 0.01
 #: Shingles whose frequencies are counted together, bytes of text whose shingles travel together, shingles sampled at once.
 SLOT_SHINGLES = 1 << 21
 GROUP_BYTES = 1 << 22

@@ -116,6 +116,16 @@ def test_every_frequency_counts(spark):
     assert {r["doc_id"]: r["class_id"] for r in M.near_duplicates(frame).collect()} == {i: i for i in docs}
 
 
+def test_near_copies_in_a_larger_group_are_found_in_a_large_table(spark):
+    shared = prose(4000, 100)
+    docs = {i: f"{shared} {prose(4100 + i, 10)}" for i in range(30)}
+    assert (shingle_bag(docs[0]) & shingle_bag(docs[1])).total() >= M.SIMILARITY * (shingle_bag(docs[0]) | shingle_bag(docs[1])).total()
+    docs |= {100 + i: prose(5000 + i, 8) for i in range(3000)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    classes = {r["doc_id"]: r["class_id"] for r in M.near_duplicates(frame).collect()}
+    assert classes == {i: 0 if i < 30 else i for i in docs}
+
+
 def test_squeezed_numbers_are_the_numbers():
     rng = np.random.default_rng(3)
     steps = rng.poisson(0.8, 3000)
