@@ -1,5 +1,7 @@
 """Experiment queries run the reference's whole jobs."""
 
+from itertools import product
+
 import pytest
 
 from merchlens.operators import experiments as X
@@ -26,6 +28,12 @@ def test_cleaning_ablation_has_all_terms_and_iterations(spark, sf, runs):
     assert all(r == (10_000, (1, 2), "softmax", {"C": 2.0, "max_iter": 1000}) for r in runs)
 
 
+def test_grid_search_has_the_whole_grid(spark, sf, runs):
+    rows = registry.QUERIES["grid_search"](spark, sf).collect()
+    assert {r[:2] for r in runs} == set(product((5000, 10_000, 20_000), ((1, 1), (1, 2), (1, 3)))) and len(runs) == len(rows) == 9
+    assert all(r[2:] == ("softmax", {}) for r in runs) and {r["model"] for r in rows} == {"logreg"}
+
+
 def test_joint_solver_predicts_as_the_library_does(spark, sf):
     train, val = (df.limit(80) for df in registry_sides(spark, sf))
     by = [X.run_vectorizer_experiment(train, val, text_columns=("designation", "description"), solver=s) for s in (None, "softmax")]
