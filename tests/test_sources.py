@@ -155,3 +155,33 @@ def test_shades_and_missing_images_as_pixels(spark):
     schema = "productid long, image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
     df = spark.createDataFrame([(1, ("", 1, 2, 1, 0, bytearray([7, 9]))), (2, None), (3, ("", 1, 1, 4, 24, bytearray([1, 2, 3, 4])))], schema)
     assert sorted(map(tuple, images.image_pixels(df).collect())) == [(1, 0, 0, 7, 7, 7), (1, 0, 1, 9, 9, 9), (3, 0, 0, 3, 2, 1)]
+
+
+def test_images_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    reads, read = [], images._read_images
+    monkeypatch.setattr(images, "LISTED", 1)
+    monkeypatch.setattr(images, "_read_images", lambda spark, paths, decode: reads.append(len(paths)) or read(spark, paths, decode))
+    want = [(k, 7 * k, row, col, k % 256, row, 255 - col) for k in range(40) for row in range(2) for col in range(3)]
+    schema = "productid long, imageid long, row int, col int, r int, g int, b int"
+    # a place that comes twice shows the larger shades, as before; a shade that is null is black
+    pixels = spark.createDataFrame([*want, (3, 21, 0, 0, 1, 9, 9), (99, 1, 0, 0, None, 2, 3)], schema).repartition(7)
+    assert images.write_images(pixels, str(tmp_path / "d")) == 41
+    files = sorted((tmp_path / "d").rglob("*.bmp"))
+    assert len({f.parent for f in files}) > 1
+    found = images.scan_images(spark, str(tmp_path / "d"))
+    assert not reads and found.count() == 41
+    assert {tuple(r) for r in images.image_pixels(found).collect()} == {(k, *rest) for k, _, *rest in want} | {(99, 0, 0, 0, 2, 3)}
+    assert images.scan_images(spark, str(tmp_path / "d"), decode=False).count() == 41
+    # the same as the library reads; one of 8 bits and a file that is no image go to the library
+    plain = {r["path"].rsplit("/")[-1]: tuple(r["image"])[1:] for r in read(spark, [str(f) for f in files], True).collect()}
+    assert {r["path"].rsplit("/")[-1]: tuple(r["image"])[1:] for r in found.collect()} == plain
+    folder = files[0].parent
+    palette = np.repeat(np.arange(256, dtype=np.uint8), 4).reshape(256, 4)
+    palette[:, 3] = 0
+    head = struct.pack("<2sIHHI", b"BM", 1082, 0, 0, 1078) + struct.pack("<IiiHHIIiiII", 40, 1, 1, 1, 8, 0, 4, 0, 0, 256, 0)
+    (folder / "image_5_product_500.bmp").write_bytes(head + palette.tobytes() + bytes([77, 0, 0, 0]))
+    (folder / "image_6_product_600.bmp").write_bytes(b"BM")
+    more = images.image_pixels(images.scan_images(spark, str(tmp_path / "d")))
+    assert [tuple(r) for r in more.filter("image_id >= 500").collect()] == [(500, 0, 0, 77, 77, 77)] and reads[-2:] == [1, 1]
